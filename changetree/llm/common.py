@@ -23,15 +23,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """The rows of df written once to the shared checkpoint folder; lineage ends there, so a lost
-    executor costs a re-read and not a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """As persisted, for larger tables: a Parquet table in the checkpoint folder, whose columns and
-    size later plans see."""
+    """The rows of df as a Parquet table in the shared checkpoint folder. Lineage ends there, so a lost
+    executor costs a re-read and not a recomputation; unlike with checkpoint(), later plans see the table's size and read
+    only the columns they need, and no constraints pile up from one round of an iteration to the next."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"

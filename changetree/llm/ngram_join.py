@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build_filter, membership
-from .common import free_name, persisted, table, written
+from .common import free_name, persisted, table
 from .components import components
 from .words import shingle_set, texts_words
 
@@ -260,7 +260,7 @@ class Verifier:
         ids = persisted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         known = membership(ids.sparkSession, build_filter(ids.select(F.xxhash64("id").alias("h"))))
         wanted = self.texts.where(known(F.xxhash64("id"))).join(ids, "id", "left_semi")
-        sets = written(wanted.mapInArrow(_sets(self.width), "id long, set binary"))
+        sets = persisted(wanted.mapInArrow(_sets(self.width), "id long, set binary"))
         joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         return persisted(joined.select("a", "b", "percent", "set_a", "set_b").mapInPandas(_verify, "a long, b long, shared long, na long, nb long").distinct())
 
@@ -281,7 +281,7 @@ def links(texts: DataFrame, postings: DataFrame, width: int) -> DataFrame:
     postings has token, id, n of the representatives' short lists; texts has id, text."""
     verify = Verifier(texts, width)
     dealt = postings.repartition("token").sortWithinPartitions("token", "n", "id")
-    lists = written(dealt.mapInPandas(_shared_lists, "token long, id long, n long, pivot long"))
+    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, id long, n long, pivot long"))
     # 1: each list's members against its first
     sized = lists.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("nb"))
     stars = verify(sized.withColumn("percent", F.lit(SIMILAR)).where("20 * c >= nb").select("a", "b", "percent")).where(LINKED)
@@ -289,12 +289,12 @@ def links(texts: DataFrame, postings: DataFrame, width: int) -> DataFrame:
     cluster = persisted(heads.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("root"), F.col("na").alias("root_n"))).alias("h")).select("id", "h.root", "h.root_n"))
     wide = persisted(cluster.select(F.col("root").alias("id"), F.lit(True).alias("is_root")).distinct())
     owned = lists.join(cluster, "id", "left").join(wide, "id", "left")
-    owned = written(
+    owned = persisted(
         owned.select("token", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("root_n", "n").alias("root_n"), (F.col("root").isNotNull() | F.col("is_root").isNotNull()).alias("wide"))
     )
     # 2: heads that meet
     rows = owned.select("token", "root", F.col("root_n").alias("n"), "wide").distinct()
-    paired = written(rows.repartition("token").sortWithinPartitions("token", "root").mapInPandas(_pairs_of_heads, "a long, b long, na long, nb long, wa boolean, wb boolean, c long, token long"))
+    paired = persisted(rows.repartition("token").sortWithinPartitions("token", "root").mapInPandas(_pairs_of_heads, "a long, b long, na long, nb long, wa boolean, wb boolean, c long, token long"))
     short = paired.where("b IS NOT NULL").drop("token")
     long = paired.where("b IS NULL").select("token", "a", "na", "wa")
     other = long.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("wa").alias("wb"))
@@ -332,7 +332,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), width))
-    keys = written(texts.mapInArrow(_keys(width, shared), "id long, n long, a long, b long, prefix binary"))
+    keys = persisted(texts.mapInArrow(_keys(width, shared), "id long, n long, a long, b long, prefix binary"))
     solid = keys.where("id IS NOT NULL AND n > 0")
     classes = persisted(solid.groupBy("a", "b").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     repeated = persisted(classes.where("size > 1").drop("size"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changetree.llm.common import table, written
+from changetree.llm.common import persisted, table
 from changetree.llm.decontaminate import decontaminate
 from changetree.llm.exact_dedup import keep_first
 from changetree.llm.ngram_join import keep_one
@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs)
+            docs = persisted(docs)
     return docs
