@@ -25,9 +25,9 @@ MASKS = ["1111", "110101", "1001011", "101000011"]
 SIEVE = 1 << 22
 
 
-def lowered(texts) -> list[np.ndarray]:
+def lowered(texts):
     """The word hashes of the texts in lower case, whatever the script."""
-    return texts_words([t.lower() if isinstance(t, str) else None for t in texts])
+    return texts_words(t.lower() if isinstance(t, str) else None for t in texts)
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -83,7 +83,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_seeds: int):
     at a time. Items of fewer words than the shortest mask can't be found and are left out."""
     shortest, held, size = min(map(len, MASKS)), [], 0
     for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col).toLocalIterator():
-        words = lowered([row[1]])[0]
+        words = next(lowered([row[1]]))
         if len(words) < shortest:
             continue
         held.append((row[0], words))

@@ -40,6 +40,8 @@ SIMILAR = 80
 MOST_FREQUENT = 1 << 17
 #: A shingle is counted as frequent where so many different sets of one batch hold it.
 FREQUENT_IN_BATCH = 8
+#: Shingles in such a batch, about.
+FREQUENT_BATCH = 1 << 21
 #: Lists of at most so many heads are paired in the task that has them, longer ones by a join that Spark splits.
 SHORT_LIST = 64
 
@@ -61,13 +63,16 @@ def _set_digest(s: np.ndarray) -> tuple[int, int]:
 def _frequent(width: int):
     def run(batches):
         for pdf in batches:
-            sets = {}
-            for words in texts_words(pdf["text"]):
+            sets, held = {}, 0
+            for k, words in enumerate(texts_words(pdf["text"]), 1):
                 s = shingle_set(words, width)
+                held += len(s)
                 sets.setdefault(_set_digest(s), s)
-            token, n = np.unique(np.concatenate([np.empty(0, U), *sets.values()]), return_counts=True)
-            often = n >= FREQUENT_IN_BATCH
-            yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
+                if held > FREQUENT_BATCH or k == len(pdf):
+                    token, n = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+                    often = n >= FREQUENT_IN_BATCH
+                    yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
+                    sets, held = {}, 0
 
     return run
 

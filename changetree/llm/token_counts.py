@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import regex
@@ -28,7 +28,7 @@ from .common import free_name, table
 #: Characters in a chunk; a scan over a text's chunks composes their maps.
 CHUNK = 1 << 16
 #: Words and states that a task keeps; beyond it the tables start anew. Bounds memory, not results.
-MOST_WORDS, MOST_STATES = 1 << 20, 1 << 19
+MOST_WORDS, MOST_STATES = 1 << 19, 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -135,6 +135,8 @@ class Transducer:
         shown[-1] += self.end
         if len(self.keys) > MOST_STATES:
             self.reset()
+        if len(self.pairs) > MOST_STATES:
+            self.pairs.clear()
         at, total, steps = self.start, 0, self.steps
         for s in shown:
             step = steps[at].get(s)
@@ -170,9 +172,13 @@ class Counter:
             raise ValueError("only byte-level BPE files that keep the matches of one pattern are compiled")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.added = regex.compile("|".join(regex.escape(a["content"]) for a in spec["added_tokens"]) or r"(?!)")
-        self.machine = Transducer(spec["model"])
+        self.model = spec["model"]
         self.space = regex.compile(r"\s")
 
+    @cached_property
+    def machine(self) -> Transducer:
+        return Transducer(self.model)
+
     def pieces(self, text: str) -> list[str]:
         """The words of a text without added tokens' strings; white space never is inside a word."""
         if text.isascii():

@@ -14,7 +14,7 @@ U = np.uint64
 #: Odd multiplier of the polynomial and the mixing constants (fixed values of the hash).
 BASE, MIX_1, MIX_2, STEP = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 #: Texts are hashed in slabs of about this many bytes; longer texts make slabs of their own.
-SLAB = 4 << 20
+SLAB = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def byte_values() -> tuple[np.ndarray, np.ndarray]:
     return values, space
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < size."""
     inverse = U(pow(int(BASE), -1, 1 << 64))
@@ -50,36 +50,32 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = ~space[raw]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers(max(2 * SLAB, 1 << (len(raw) + 1).bit_length()))
+    up, down = powers(max(2 * SLAB, 1 << len(raw).bit_length()))
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, U), np.cumsum(values[raw] * up[: len(raw)], dtype=U)))
         h = (total[ends] - total[starts]) * down[starts]
         return mix(h + (ends - starts).astype(U)), starts
 
 
-def texts_words(texts) -> list[np.ndarray]:
-    """For each text (None: empty) the hashes of its words in order."""
-    out: list[np.ndarray] = []
+def texts_words(texts):
+    """For each text (None: empty) the hashes of its words in order; slab by slab, so that few are held at once."""
     slab: list[bytes] = []
     size = 0
 
-    def flush():
-        nonlocal slab, size
-        if slab:
-            h, starts = word_hashes(b"\n".join(slab))
-            lengths = np.array([len(x) + 1 for x in slab])
-            cuts = np.searchsorted(starts, np.cumsum(lengths))[:-1]
-            out.extend(np.split(h, cuts))
-        slab, size = [], 0
+    def hashed():
+        h, starts = word_hashes(b"\n".join(slab))
+        cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in slab]))[:-1]
+        return np.split(h, cuts)
 
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-        if size + len(raw) > SLAB:
-            flush()
+        if slab and size + len(raw) > SLAB:
+            yield from hashed()
+            slab, size = [], 0
         slab.append(raw)
         size += len(raw) + 1
-    flush()
-    return out
+    if slab:
+        yield from hashed()
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:

@@ -115,7 +115,7 @@ def test_components(spark):
 
 def test_words_are_split_as_text(texts):
     rows = [*texts.values(), None, "", "ÀB c", "x" * 100_000]
-    hashes = texts_words(rows)
+    hashes = [*texts_words(rows)]
     split = [re.findall("[^\x20\x09-\x0d]+", (t or "").translate(ASCII)) for t in rows]
     assert [len(h) for h in hashes] == [len(w) for w in split]
     seen = {}
