@@ -7,8 +7,8 @@ pair that can link meets in one of them. In Spark the short lists are one shuffl
 rarely to reach T are dropped, and the others are settled in tasks by DivideSkip over the whole sets: a heap
 merges the short lists and the long ones are probed by binary search.
 
-Texts with equal sets are one class from the start. In a list of many classes each is compared with
-the list's first only; what links to it forms a cluster, and by the triangle inequality of the Jaccard
+Texts with equal sets are one class from the start. In a list each class is first compared with
+the list's most central one only; what links to it forms a cluster, and by the triangle inequality of the Jaccard
 distance two clusters whose heads are further apart than their radii allow can have no link. Only heads
 of clusters meet in pairs, and members only of clusters that are near and not yet connected, so a group
 of many near copies costs in proportion to its size. No links are lost: a link is left unchecked only
@@ -132,29 +132,38 @@ def _postings(batches):
 
 
 def _shared_lists(batches):
-    """Rows sorted by (token, n, id): those of lists with two rows or more, each with the list's first id
-    as pivot. Only a list's first row is kept from one batch to the next."""
-    token = pivot = size = None
-    told = True
+    """Rows sorted by (token, id): those of lists with two rows or more. Only the last row is kept from one
+    batch to the next."""
+    last, told = None, True
     for pdf in batches:
-        t, i, n = (pdf[c].to_numpy(np.int64) for c in ("token", "id", "n"))
+        rows = pdf[["token", "id", "n"]].to_numpy(np.int64)
+        if not len(rows):
+            continue
+        if last is not None:
+            rows = np.concatenate((last[None], rows))
+        same = rows[1:, 0] == rows[:-1, 0]
+        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        fresh = shared.copy()
+        if last is not None and told:
+            fresh[0] = False
+        yield pd.DataFrame(rows[fresh], columns=["token", "id", "n"])
+        told = bool(shared[-1]) if len(rows) > 1 or last is None else told
+        last = rows[-1]
+
+
+def _stars(batches):
+    """Rows (token, bucket, id, n) sorted so that the most central comes first: each other one with it."""
+    token = bucket = head = size = None
+    for pdf in batches:
+        t, s, i, n = (pdf[c].to_numpy(np.int64) for c in ("token", "bucket", "id", "n"))
         if not len(t):
             continue
-        new = np.concatenate(([t[0] != token], t[1:] != t[:-1]))
-        group = np.cumsum(new) - new[0]  # 0 is the list carried over, if it goes on
-        first = np.flatnonzero(new)
-        pivots = i[first] if new[0] else np.concatenate(([pivot], i[first]))
-        sizes = np.bincount(group) + (0 if new[0] else np.eye(1, group[-1] + 1, dtype=np.int64)[0])
-        out = sizes[group] > 1
-        frames = [pd.DataFrame({"token": t[out], "id": i[out], "n": n[out], "pivot": pivots[group[out]]})]
-        if not new[0] and not told:
-            frames.insert(0, pd.DataFrame({"token": [token], "id": [pivot], "n": [size], "pivot": [pivot]}))
-        yield pd.concat(frames)
-        if len(first):
-            token, pivot, size = t[-1], i[first[-1]], n[first[-1]]
-            told = bool(sizes[-1] > 1)
-        else:
-            told = True
+        new = np.concatenate(([token is None or (t[0], s[0]) != (token, bucket)], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+        heads, sizes = np.where(first < 0, head or 0, i[first]), np.where(first < 0, size or 0, n[first])
+        out = heads != i
+        yield pd.DataFrame({"a": heads[out], "b": i[out], "na": sizes[out], "nb": n[out]})
+        token, bucket, head, size = t[-1], s[-1], heads[-1], sizes[-1]
 
 
 def _could_fit(x: tuple, y: tuple) -> bool:
@@ -285,11 +294,13 @@ def links(texts: DataFrame, postings: DataFrame, width: int) -> DataFrame:
 
     postings has token, id, n of the representatives' short lists; texts has id, text."""
     verify = Verifier(texts, width)
-    dealt = postings.repartition("token").sortWithinPartitions("token", "n", "id")
-    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, id long, n long, pivot long"))
-    # 1: each list's members against its first
-    sized = lists.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("nb"))
-    stars = verify(sized.withColumn("percent", F.lit(SIMILAR)).where("20 * c >= nb").select("a", "b", "percent")).where(LINKED)
+    dealt = postings.repartition("token").sortWithinPartitions("token", "id")
+    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, id long, n long"))
+    # 1: members of a list against the most central one of about their size: the one most of whose short part is shared
+    central = lists.groupBy("id").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
+    ranked = lists.withColumn("bucket", F.floor(F.log("n") / math.log(100 / SIMILAR))).join(central, "id").repartition("token").sortWithinPartitions("token", "bucket", F.desc("central"), "id")
+    met = ranked.mapInPandas(_stars, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "na", "nb"))
+    stars = verify(persisted(met.select("a", "b", F.lit(SIMILAR).alias("percent")))).where(LINKED)
     heads = stars.join(stars.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     cluster = persisted(heads.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("root"), F.col("na").alias("root_n"))).alias("h")).select("id", "h.root", "h.root_n"))
     wide = persisted(cluster.select(F.col("root").alias("id"), F.lit(True).alias("is_root")).distinct())
