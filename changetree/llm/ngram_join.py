@@ -95,13 +95,35 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
     return token[order], ranks[order]
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """A bit for each of about 2 n hash cells: whether an odd number of elements fall into it. Two sketches
+    differ in at most as many bits as their sets differ in elements."""
+    bits = 1 << max(6, (2 * len(s)).bit_length())
+    return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements that are in one of two sets only; the longer sketch is folded."""
+    a, b = (np.frombuffer(z, np.uint8) for z in ((x, y) if len(x) >= len(y) else (y, x)))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(batches):
+    for pdf in batches:
+        good = [least_difference(x, y) <= na + nb - 2 * required(na, nb, p) for x, y, na, nb, p in zip(pdf["x"], pdf["y"], pdf["na"].tolist(), pdf["nb"].tolist(), pdf["percent"].tolist())]
+        yield pdf[["a", "b", "percent"]][np.array(good, bool)]
+
+
 def _keys(width: int, shared):
-    """Arrow batches of (id, text) to (id, n, a, b, prefix): set size, digest, first shingles in the order."""
+    """Arrow batches of (id, text) to (id, n, a, b, prefix, sketch): set size, digest, first shingles in the
+    order, parity sketch."""
 
     def run(batches):
         frequent, ranks = shared.value
         for batch in batches:
-            n, a, b, prefix = [], [], [], []
+            n, a, b, prefix, sketch = [], [], [], [], []
             for words in texts_words(batch.column(1).to_pylist()):
                 s = shingle_set(words, width)
                 p = prefix_length(len(s))
@@ -114,8 +136,8 @@ def _keys(width: int, shared):
                 else:
                     first = s[:p]
                 d = _set_digest(s)
-                n.append(len(s)), a.append(d[0]), b.append(d[1]), prefix.append(first.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary())], ["id", "n", "a", "b", "prefix"])
+                n.append(len(s)), a.append(d[0]), b.append(d[1]), prefix.append(first.tobytes()), sketch.append(parity_sketch(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "a", "b", "prefix", "sketch"])
 
     return run
 
@@ -264,13 +286,17 @@ def _sets(width: int):
 
 
 class Verifier:
-    """Settles candidate pairs (a, b, percent) over the whole sets. Texts are read again for the ids in
+    """Settles candidate pairs (a, b, percent). Parity sketches, a thirtieth of the sets' size, rule out pairs
+    that differ too much; the others are settled over the whole sets. Texts are read again for the ids in
     question only: a Bloom filter of fixed size keeps most others from the join."""
 
-    def __init__(self, texts: DataFrame, width: int):
-        self.texts, self.width = texts, width
+    def __init__(self, texts: DataFrame, sketches: DataFrame, width: int):
+        self.texts, self.sketches, self.width = texts, sketches, width
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
+        x, y = (self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+        possible = pairs.join(x, "a").join(y, "b").select("a", "b", "percent", "na", "nb", "x", "y").mapInPandas(_possible, "a long, b long, percent int")
+        pairs = persisted(possible.distinct())
         ids = persisted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         known = membership(ids.sparkSession, build_filter(ids.select(F.xxhash64("id").alias("h"))))
         wanted = self.texts.where(known(F.xxhash64("id"))).join(ids, "id", "left_semi")
@@ -289,11 +315,12 @@ def _enough(c: str, na: str, nb: str) -> str:
     return f"(100 * least({na}, {nb}) >= {SIMILAR} * greatest({na}, {nb}) AND {c} + greatest({t(na)}, {t(nb)}) - 1 >= ceil({SIMILAR} * ({na} + {nb}) / {100 + SIMILAR}))"
 
 
-def links(texts: DataFrame, postings: DataFrame, width: int) -> DataFrame:
+def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) between class representatives that connect exactly what links connect.
 
-    postings has token, id, n of the representatives' short lists; texts has id, text."""
-    verify = Verifier(texts, width)
+    postings has token, id, n of the representatives' short lists; texts has id, text; sketches id, n,
+    sketch."""
+    verify = Verifier(texts, sketches, width)
     dealt = postings.repartition("token").sortWithinPartitions("token", "id")
     lists = persisted(dealt.mapInPandas(_shared_lists, "token long, id long, n long"))
     # 1: members of a list against the most central one of about their size: the one most of whose short part is shared
@@ -348,13 +375,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), width))
-    keys = persisted(texts.mapInArrow(_keys(width, shared), "id long, n long, a long, b long, prefix binary"))
+    keys = persisted(texts.mapInArrow(_keys(width, shared), "id long, n long, a long, b long, prefix binary, sketch binary"))
     solid = keys.where("id IS NOT NULL AND n > 0")
     classes = persisted(solid.groupBy("a", "b").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     repeated = persisted(classes.where("size > 1").drop("size"))
     copies = persisted(solid.select("id", "a", "b").join(repeated, ["a", "b"]).where("id <> class_id").select("id", "a", "b"))
     heads = solid.join(copies, ["id", "a", "b"], "left_anti").select("id", "n", "prefix")
-    edges = links(texts.where("id IS NOT NULL"), heads.mapInArrow(_postings, "token long, id long, n long"), width)
+    edges = links(texts.where("id IS NOT NULL"), heads.mapInArrow(_postings, "token long, id long, n long"), solid.select("id", "n", "sketch"), width)
     # one id with different texts joins its classes
     twice = solid.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
     several = solid.select("id", "a", "b").join(twice, "id").join(classes, ["a", "b"]).select(F.col("id").alias("u"), F.col("class_id").alias("v"))

@@ -101,6 +101,14 @@ def test_divide_skip_counts_overlaps():
     assert nj.divide_skip(query, sets, need) == [n if n >= k else -1 for n, k in zip(exact, need)]
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 3000, rng.integers(1, 2500)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        assert nj.least_difference(nj.parity_sketch(x), nj.parity_sketch(y)) <= len(np.setxor1d(x, y))
+    assert nj.least_difference(nj.parity_sketch(x), nj.parity_sketch(x)) == 0
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(900, 900 + k) for k in range(50)]
