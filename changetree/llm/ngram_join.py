@@ -44,6 +44,8 @@ FREQUENT_IN_BATCH = 8
 FREQUENT_BATCH = 1 << 21
 #: Lists of at most so many heads are paired in the task that has them, longer ones by a join that Spark splits.
 SHORT_LIST = 64
+#: Bits of the filter (8 MB) of the ids whose texts are read again.
+FILTER_BITS = 1 << 26
 
 
 def required(n: int, m: int, percent: int = SIMILAR) -> int:
@@ -263,17 +265,19 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: list[int]
 
 
 def _verify(batches):
-    for pdf in batches:
-        frames = []
-        for _, part in pdf.groupby("a", sort=False):
-            query = np.frombuffer(part["set_a"].iloc[0], U)
-            sets = [np.frombuffer(x, U) for x in part["set_b"]]
-            need = [max(1, required(len(query), len(s), p)) for s, p in zip(sets, part["percent"])]
-            found = np.array(divide_skip(query, sets, need))
-            good = found > 0
-            frames.append(pd.DataFrame({"a": part["a"].to_numpy()[good], "b": part["b"].to_numpy()[good], "shared": found[good], "na": len(query), "nb": np.array([len(s) for s in sets])[good]}))
-        if frames:
-            yield pd.concat(frames)
+    """Arrow batches of (a, b, percent, set_a, set_b), each run of equal a as one query; sets are read in place."""
+    for batch in batches:
+        a, b, percent = (batch.column(k).to_numpy() for k in range(3))
+        set_of = lambda k, i: np.frombuffer(batch.column(k)[int(i)].as_buffer(), U)
+        order, out = np.argsort(a, kind="stable"), []
+        for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
+            query = set_of(3, run[0])
+            for k in range(0, len(run), 256):
+                part = run[k : k + 256]
+                sets = [set_of(4, i) for i in part]
+                found = divide_skip(query, sets, [max(1, required(len(query), len(s), int(p))) for s, p in zip(sets, percent[part])])
+                out += [(int(a[i]), int(b[i]), n, len(query), len(s)) for i, n, s in zip(part, found, sets) if n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["a", "b", "shared", "na", "nb"])
 
 
 def _sets(width: int):
@@ -298,11 +302,13 @@ class Verifier:
         possible = pairs.join(x, "a").join(y, "b").select("a", "b", "percent", "na", "nb", "x", "y").mapInPandas(_possible, "a long, b long, percent int")
         pairs = persisted(possible.distinct())
         ids = persisted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        known = membership(ids.sparkSession, build_filter(ids.select(F.xxhash64("id").alias("h"))))
-        wanted = self.texts.where(known(F.xxhash64("id"))).join(ids, "id", "left_semi")
+        known = membership(ids.sparkSession, build_filter(ids.select(F.xxhash64("id").alias("h")), FILTER_BITS))
+        wanted = self.texts.where(known(F.xxhash64("id")))
+        if ids.count() > FILTER_BITS // 16:  # a full filter lets too many through
+            wanted = wanted.join(ids, "id", "left_semi")
         sets = persisted(wanted.mapInArrow(_sets(self.width), "id long, set binary"))
         joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        return persisted(joined.select("a", "b", "percent", "set_a", "set_b").mapInPandas(_verify, "a long, b long, shared long, na long, nb long").distinct())
+        return persisted(joined.select("a", "b", "percent", "set_a", "set_b").mapInArrow(_verify, "a long, b long, shared long, na long, nb long").distinct())
 
 
 LINKED = f"100 * shared >= {SIMILAR} * (na + nb - shared)"
