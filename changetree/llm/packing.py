@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import persisted, table
-from .token_counts import MOST_WORDS, Counter, counter, default_tokenizer
+from .token_counts import Remembered, default_tokenizer
 
 #: Choices of (groups of equal cardinality, share of a sequence beyond which a length is large). A plan is
 #: made of each, on the histogram, and the one with the fewest sequences is used.
@@ -32,30 +32,21 @@ CHOICES = [(16, 1 / 4), (48, 1 / 4), (48, 1 / 8), (128, 1 / 4)]
 
 
 class Ids:
-    """Token ids of texts as bytes, by the library; words already seen come from a table."""
+    """Token ids of texts as bytes, by the library. White space, which the tokenizer drops, never is inside a
+    token or a special token, so a text's ids are those of its stretches between white space; a stretch is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.splitter: Counter = counter(path)
-        self.known: dict[str, bytes] = {}
-        self.other = regex.compile("[^\\x00-\\u024f]").search
+        self.known = Remembered()
+        self.not_space = regex.compile("[\\x1c-\\x1f]").search  # split() splits here, the tokenizer doesn't
 
     def of(self, text: str) -> bytes:
-        if self.other(text) or ("<" in text and self.splitter.added.search(text)):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.splitter.pieces(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            new = [*set(words).difference(known)]
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(self.known.all([text] if self.not_space(text) else text.split(), self.encode))
+
+    def encode(self, words: list[str]):
+        return (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False))
 
 
 @lru_cache(maxsize=2)

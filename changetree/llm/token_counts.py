@@ -40,6 +40,29 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Remembered:
+    """What was found for words before. When MOST_WORDS are held the table becomes the old one, from which
+    words that turn up again are taken over, and a new one starts."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def all(self, words: list[str], find):
+        """The values of all words, in order; find gets a list of new words and gives their values."""
+        try:
+            return [*map(self.now.__getitem__, words)]
+        except KeyError:
+            if len(self.now) > MOST_WORDS:
+                self.now, self.old = {}, self.now
+            now, old = self.now, self.old
+            missing = set(words).difference(now)
+            now.update((w, old[w]) for w in missing if w in old)
+            if new := [w for w in missing if w not in now]:
+                now.update(zip(new, find(new)))
+            return [*map(now.__getitem__, words)]
+
+
 class Transducer:
     """The compiled vocabulary. count(word) runs it over a word's symbols."""
 
@@ -54,7 +77,7 @@ class Transducer:
         self.prefixes = {u[:k] for u in self.units for k in range(1, len(u) + 1)}
         self.valid: dict[tuple, bool] = {}
         self.pairs: dict[tuple, bool] = {}
-        self.words: dict[str, int] = {}
+        self.words = Remembered()
         self.reset()
 
     def split(self, text: str) -> tuple[str, ...]:
@@ -148,15 +171,7 @@ class Transducer:
 
     def count(self, words: list[str]) -> int:
         """Tokens of the words; each distinct one runs through the transducer once."""
-        known = self.words
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self.run(w)
-            return sum(map(known.__getitem__, words))
+        return sum(self.words.all(words, lambda new: map(self.run, new)))
 
 
 class Counter:
