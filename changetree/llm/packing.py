@@ -45,8 +45,14 @@ class Ids:
     def of(self, text: str) -> bytes:
         return b"".join(self.known.all([text] if self.not_space(text) else text.split(), self.encode))
 
-    def encode(self, words: list[str]):
-        return (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+    def encode(self, stretches: list[str]):
+        """The ids of each stretch, many in one call; offsets tell where each begins."""
+        for k in range(0, len(stretches), 1024):
+            part = stretches[k : k + 1024]
+            got = self.library.encode(" ".join(part), add_special_tokens=False)
+            starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
+            cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in part])[:-1])
+            yield from (x.tobytes() for x in np.split(np.array(got.ids, "<u4"), cuts))
 
 
 @lru_cache(maxsize=2)
