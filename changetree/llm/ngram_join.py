@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bloom import build_filter, membership
 from .common import free_name, persisted, table
 from .components import components
-from .words import shingle_set, texts_words
+from .words import column_texts, shingle_set, texts_words
 
 U = np.uint64
 #: Similarity in percent. Clusters reach so far from their heads.
@@ -64,16 +64,16 @@ def _set_digest(s: np.ndarray) -> tuple[int, int]:
 
 def _frequent(width: int):
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             sets, held = {}, 0
-            for k, words in enumerate(texts_words(pdf["text"]), 1):
+            for k, words in enumerate(texts_words(column_texts(batch.column(0))), 1):
                 s = shingle_set(words, width)
                 held += len(s)
                 sets.setdefault(_set_digest(s), s)
-                if held > FREQUENT_BATCH or k == len(pdf):
+                if held > FREQUENT_BATCH or k == len(batch):
                     token, n = np.unique(np.concatenate([*sets.values()]), return_counts=True)
                     often = n >= FREQUENT_IN_BATCH
-                    yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
+                    yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
                     sets, held = {}, 0
 
     return run
@@ -82,7 +82,7 @@ def _frequent(width: int):
 def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles in order, their ranks by count) of the most frequent ones, MOST_FREQUENT at most. The
     cut is a power of two of the count, found on a histogram of 64 rows."""
-    counts = persisted(texts.mapInPandas(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = persisted(texts.mapInArrow(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect()
     cut, held = 64, 0
     for level, n in sorted(map(tuple, levels), reverse=True):
@@ -126,7 +126,7 @@ def _keys(width: int, shared):
         frequent, ranks = shared.value
         for batch in batches:
             n, a, b, prefix, sketch = [], [], [], [], []
-            for words in texts_words(batch.column(1).to_pylist()):
+            for words in texts_words(column_texts(batch.column(1))):
                 s = shingle_set(words, width)
                 p = prefix_length(len(s))
                 if len(frequent) and p:
@@ -283,7 +283,7 @@ def _verify(batches):
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(w, width).tobytes() for w in texts_words(batch.column(1).to_pylist())]
+            sets = [shingle_set(w, width).tobytes() for w in texts_words(column_texts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     return run

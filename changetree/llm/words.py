@@ -14,7 +14,7 @@ U = np.uint64
 #: Odd multiplier of the polynomial and the mixing constants (fixed values of the hash).
 BASE, MIX_1, MIX_2, STEP = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 #: Texts are hashed in slabs of about this many bytes; longer texts make slabs of their own.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,6 +78,12 @@ def texts_words(texts):
         yield from hashed()
 
 
+def column_texts(column, rows: int = 256):
+    """The texts of an Arrow column, few at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of the word sequences of the given width, in order; with fewer words the whole
     sequence is the only one; without words there is none."""
