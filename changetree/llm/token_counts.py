@@ -28,7 +28,7 @@ from .common import free_name, table
 #: Characters in a chunk; a scan over a text's chunks composes their maps.
 CHUNK = 1 << 16
 #: Words and states that a task keeps; beyond it the tables start anew. Bounds memory, not results.
-MOST_WORDS, MOST_STATES = 1 << 19, 1 << 18
+MOST_WORDS, MOST_STATES = 1 << 18, 1 << 17
 
 
 @lru_cache(maxsize=1)
