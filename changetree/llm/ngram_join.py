@@ -349,6 +349,11 @@ def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int
     other = long.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("wa").alias("wb"))
     met = long.join(other, "token").where("a < b AND (wa OR wb OR " + _enough("1e9", "na", "nb") + ")").select("a", "b", "na", "nb", "wa", "wb", F.lit(1).cast("long").alias("c"))
     summed = short.unionByName(met).groupBy("a", "b", "na", "nb", "wa", "wb").agg(F.sum("c").alias("c")).where("wa OR wb OR " + _enough("c", "na", "nb"))
+    # of wide clusters, even the smallest and the largest member must have enough in common: as _enough, without rounding
+    spans = persisted(owned.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    left, right = (spans.select(F.col("root").alias(k), F.col("low").alias(f"{k}_low"), F.col("high").alias(f"{k}_high")) for k in ("a", "b"))
+    s, t = SIMILAR / (100 + SIMILAR), SIMILAR / 100
+    summed = summed.join(left, "a").join(right, "b").where(f"NOT (wa OR wb) OR c >= {s} * least(a_low, b_low) - {t - s} * greatest(a_high, b_high) - 0.001").drop("a_low", "a_high", "b_low", "b_high")
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     percent = F.lit(SIMILAR) - 20 * (F.col("wa").cast("int") + F.col("wb").cast("int"))
     apart = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
