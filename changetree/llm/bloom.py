@@ -40,14 +40,18 @@ def build_filter(hashes: DataFrame, bits: int = 1 << 25, probes: int = 4) -> np.
     return out.view(U)
 
 
+def held_in(words: np.ndarray, h: np.ndarray, probes: int = 4) -> np.ndarray:
+    """Whether each hash may be in the filter; false only for hashes that it lacks."""
+    where = positions(h.view(U), len(words) * 64, probes)
+    return ((words[(where >> U(6)).astype(np.int64)] >> (where & U(63))) & U(1)).all(axis=1)
+
+
 def membership(spark: SparkSession, words: np.ndarray, probes: int = 4):
     """A column function of a hash: false only for hashes that the filter lacks; the filter is broadcast."""
-    shared, bits = spark.sparkContext.broadcast(words), len(words) * 64
+    shared = spark.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
     def known(h: pd.Series) -> pd.Series:
-        where = positions(h.to_numpy(np.int64).view(U), bits, probes)
-        held = (shared.value[(where >> U(6)).astype(np.int64)] >> (where & U(63))) & U(1)
-        return pd.Series(held.all(axis=1))
+        return pd.Series(held_in(shared.value, h.to_numpy(np.int64), probes))
 
     return known

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ASCII white space as the contracts define it.
 SPACE_RUN = r"[\t-\r][ \t-\r]*| [ \t-\r]+"
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; only where none is named, as in
@@ -33,6 +38,20 @@ def persisted(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 4 MB, so that batches of long texts or large sets stay small in the JVM and in Python
+    workers. A size that the session sets itself is left as it is."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def collapse_space(text: Column) -> Column:
     """text (null: empty) with each run of ASCII white space replaced by one space.
 

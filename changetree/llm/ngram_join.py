@@ -9,7 +9,7 @@ merges the short lists and the long ones are probed by binary search.
 
 Texts with equal sets are one class from the start. In a list each class is first compared with
 the list's most central one only; what links to it forms a cluster, and by the triangle inequality of the Jaccard
-distance two clusters whose heads are further apart than their radii allow can have no link. Only heads
+distance two clusters whose heads are further apart than their measured radii allow can have no link. Only heads
 of clusters meet in pairs, and members only of clusters that are near and not yet connected, so a group
 of many near copies costs in proportion to its size. No links are lost: a link is left unchecked only
 between texts that other links connect already."""
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import build_filter, membership
-from .common import free_name, persisted, table
+from .bloom import build_filter, held_in
+from .common import free_name, give_back, persisted, small_batches, table
 from .components import components
 from .words import column_texts, shingle_set, texts_words
 
@@ -75,6 +75,7 @@ def _frequent(width: int):
                     often = n >= FREQUENT_IN_BATCH
                     yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
                     sets, held = {}, 0
+        give_back()
 
     return run
 
@@ -140,6 +141,7 @@ def _keys(width: int, shared):
                 d = _set_digest(s)
                 n.append(len(s)), a.append(d[0]), b.append(d[1]), prefix.append(first.tobytes()), sketch.append(parity_sketch(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "a", "b", "prefix", "sketch"])
+        give_back()
 
     return run
 
@@ -191,23 +193,24 @@ def _stars(batches):
 
 
 def _could_fit(x: tuple, y: tuple) -> bool:
-    """Whether members of two clusters (root, n of the root, whether it is wide) can be of sizes that link."""
+    """Whether members of two clusters (root, n of the root, radius in percent) can be of sizes that link: a
+    member's size and its head's are as much alike as their sets at least."""
     low, high = sorted((x[1], y[1]))
-    return 100 * low >= SIMILAR * (1, 0.8, 0.64)[x[2] + y[2]] * high - 1
+    return 100 * low >= SIMILAR * (1 - x[2] / 100) * (1 - y[2] / 100) * high - 1
 
 
 def _pairs_of_heads(batches):
-    """Rows (token, root, n, wide) sorted by token and root: counts of the pairs of heads that short lists
+    """Rows (token, root, n, radius) sorted by token and root: counts of the pairs of heads that short lists
     hold; the rows of longer lists as they are (b null). A task keeps one short list and a bounded table of counts."""
     counts: dict[tuple, int] = {}
     long: list[tuple] = []
-    types = {"b": "Int64", "nb": "Int64", "wb": "boolean", "token": "Int64"}
+    types = {"b": "Int64", "nb": "Int64", "rb": "Int64", "token": "Int64"}
 
     def drained():
         rows = [(x[0], y[0], x[1], y[1], x[2], y[2], c, None) for (x, y), c in counts.items()] + [(x[0], None, x[1], None, x[2], None, 0, t) for t, x in long]
         counts.clear()
         long.clear()
-        return pd.DataFrame(rows, columns=["a", "b", "na", "nb", "wa", "wb", "c", "token"]).astype(types)
+        return pd.DataFrame(rows, columns=["a", "b", "na", "nb", "ra", "rb", "c", "token"]).astype(types)
 
     def close():
         for k, x in enumerate(held):
@@ -217,7 +220,7 @@ def _pairs_of_heads(batches):
 
     token, held, too_long = None, [], False
     for pdf in batches:
-        for t, *x in zip(*(pdf[c].tolist() for c in ("token", "root", "n", "wide"))):
+        for t, *x in zip(*(pdf[c].tolist() for c in ("token", "root", "n", "radius"))):
             if t != token:
                 close()
                 token, held, too_long = t, [], False
@@ -278,13 +281,20 @@ def _verify(batches):
                 found = divide_skip(query, sets, [max(1, required(len(query), len(s), int(p))) for s, p in zip(sets, percent[part])])
                 out += [(int(a[i]), int(b[i]), n, len(query), len(s)) for i, n, s in zip(part, found, sets) if n > 0]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["a", "b", "shared", "na", "nb"])
+    give_back()
 
 
-def _sets(width: int):
+def _sets(width: int, shared):
+    """Arrow batches of (id, text, h) to (id, set) of the rows whose h the filter may hold."""
+
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(w, width).tobytes() for w in texts_words(column_texts(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            wanted = batch.filter(pa.array(held_in(shared.value, batch.column(2).to_numpy())))
+            for k in range(0, len(wanted), 256):
+                part = wanted.slice(k, 256)
+                sets = [shingle_set(w, width).tobytes() for w in texts_words(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+        give_back()
 
     return run
 
@@ -302,11 +312,11 @@ class Verifier:
         possible = pairs.join(x, "a").join(y, "b").select("a", "b", "percent", "na", "nb", "x", "y").mapInPandas(_possible, "a long, b long, percent int")
         pairs = persisted(possible.distinct())
         ids = persisted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        known = membership(ids.sparkSession, build_filter(ids.select(F.xxhash64("id").alias("h")), FILTER_BITS))
-        wanted = self.texts.where(known(F.xxhash64("id")))
+        known = ids.sparkSession.sparkContext.broadcast(build_filter(ids.select(F.xxhash64("id").alias("h")), FILTER_BITS))
+        wanted = self.texts.withColumn("h", F.xxhash64("id"))
         if ids.count() > FILTER_BITS // 16:  # a full filter lets too many through
             wanted = wanted.join(ids, "id", "left_semi")
-        sets = persisted(wanted.mapInArrow(_sets(self.width), "id long, set binary"))
+        sets = persisted(wanted.mapInArrow(_sets(self.width, known), "id long, set binary"))
         joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         return persisted(joined.select("a", "b", "percent", "set_a", "set_b").mapInArrow(_verify, "a long, b long, shared long, na long, nb long").distinct())
 
@@ -335,27 +345,27 @@ def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int
     met = ranked.mapInPandas(_stars, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "na", "nb"))
     stars = verify(persisted(met.select("a", "b", F.lit(SIMILAR).alias("percent")))).where(LINKED)
     heads = stars.join(stars.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-    cluster = persisted(heads.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("root"), F.col("na").alias("root_n"))).alias("h")).select("id", "h.root", "h.root_n"))
-    wide = persisted(cluster.select(F.col("root").alias("id"), F.lit(True).alias("is_root")).distinct())
-    owned = lists.join(cluster, "id", "left").join(wide, "id", "left")
-    owned = persisted(
-        owned.select("token", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("root_n", "n").alias("root_n"), (F.col("root").isNotNull() | F.col("is_root").isNotNull()).alias("wide"))
-    )
+    # distances in percent, rounded up; a cluster's radius is its farthest member's
+    off = F.ceil(100 - 100 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) + 1e-9).cast("int")
+    cluster = persisted(heads.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("root"), F.col("na").alias("root_n"), off.alias("off"))).alias("h")).select("id", "h.root", "h.root_n", "h.off"))
+    radii = persisted(cluster.groupBy("root").agg(F.max("off").alias("radius")))
+    owned = lists.join(cluster, "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("root_n", "n").alias("root_n"), F.coalesce("off", F.lit(0)).alias("off"))
+    owned = persisted(owned.join(radii, "root", "left").withColumn("radius", F.coalesce("radius", F.lit(0))))
     # 2: heads that meet
-    rows = owned.select("token", "root", F.col("root_n").alias("n"), "wide").distinct()
-    paired = persisted(rows.repartition("token").sortWithinPartitions("token", "root").mapInPandas(_pairs_of_heads, "a long, b long, na long, nb long, wa boolean, wb boolean, c long, token long"))
+    rows = owned.select("token", "root", F.col("root_n").alias("n"), "radius").distinct()
+    paired = persisted(rows.repartition("token").sortWithinPartitions("token", "root").mapInPandas(_pairs_of_heads, "a long, b long, na long, nb long, ra int, rb int, c long, token long"))
     short = paired.where("b IS NOT NULL").drop("token")
-    long = paired.where("b IS NULL").select("token", "a", "na", "wa")
-    other = long.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("wa").alias("wb"))
-    met = long.join(other, "token").where("a < b AND (wa OR wb OR " + _enough("1e9", "na", "nb") + ")").select("a", "b", "na", "nb", "wa", "wb", F.lit(1).cast("long").alias("c"))
-    summed = short.unionByName(met).groupBy("a", "b", "na", "nb", "wa", "wb").agg(F.sum("c").alias("c")).where("wa OR wb OR " + _enough("c", "na", "nb"))
+    long = paired.where("b IS NULL").select("token", "a", "na", "ra")
+    other = long.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
+    met = long.join(other, "token").where("a < b AND (ra + rb > 0 OR " + _enough("1e9", "na", "nb") + ")").select("a", "b", "na", "nb", "ra", "rb", F.lit(1).cast("long").alias("c"))
+    summed = short.unionByName(met).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.sum("c").alias("c")).where("ra + rb > 0 OR " + _enough("c", "na", "nb"))
     # of wide clusters, even the smallest and the largest member must have enough in common: as _enough, without rounding
     spans = persisted(owned.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     left, right = (spans.select(F.col("root").alias(k), F.col("low").alias(f"{k}_low"), F.col("high").alias(f"{k}_high")) for k in ("a", "b"))
     s, t = SIMILAR / (100 + SIMILAR), SIMILAR / 100
-    summed = summed.join(left, "a").join(right, "b").where(f"NOT (wa OR wb) OR c >= {s} * least(a_low, b_low) - {t - s} * greatest(a_high, b_high) - 0.001").drop("a_low", "a_high", "b_low", "b_high")
+    summed = summed.join(left, "a").join(right, "b").where(f"ra + rb = 0 OR c >= {s} * least(a_low, b_low) - {t - s} * greatest(a_high, b_high) - 0.001").drop("a_low", "a_high", "b_low", "b_high")
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    percent = F.lit(SIMILAR) - 20 * (F.col("wa").cast("int") + F.col("wb").cast("int"))
+    percent = F.lit(SIMILAR) - F.col("ra") - F.col("rb")
     apart = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
     left, right = (apart.select(F.col("id").alias(k), F.col("component").alias(f"{k}_at")) for k in ("a", "b"))
     open_pairs = summed.join(known, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where("coalesce(a_at, a) <> coalesce(b_at, b)")
@@ -364,12 +374,15 @@ def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int
     # 3: members of clusters that are near and still apart
     apart = components(edges)
     left, right = (apart.select(F.col("id").alias(k), F.col("component").alias(f"{k}_at")) for k in ("a", "b"))
-    rest = persisted(near.where(f"NOT ({LINKED})").join(left, "a", "left").join(right, "b", "left").where("coalesce(a_at, a) <> coalesce(b_at, b)").select(F.col("a").alias("ra"), F.col("b").alias("rb")))
+    rest = persisted(near.where(f"NOT ({LINKED})").join(left, "a", "left").join(right, "b", "left").where("coalesce(a_at, a) <> coalesce(b_at, b)").select(F.col("a").alias("ra"), F.col("b").alias("rb"), (100 - 100 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("apart")))
     if rest.isEmpty():
         return edges
-    of_a = owned.join(rest, owned["root"] == rest["ra"]).select("token", "ra", "rb", F.col("id").alias("a"), F.col("n").alias("na"))
-    of_b = owned.join(rest, owned["root"] == rest["rb"]).select("token", "ra", "rb", F.col("id").alias("b"), F.col("n").alias("nb"))
-    members = of_a.join(of_b, ["token", "ra", "rb"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "na", "nb"))
+    of_a = owned.join(rest, owned["root"] == rest["ra"]).select("token", "ra", "rb", "apart", F.col("id").alias("a"), F.col("n").alias("na"), F.col("off").alias("oa"))
+    of_b = owned.join(rest, owned["root"] == rest["rb"]).select(F.col("ra").alias("ra_"), F.col("rb").alias("rb_"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("off").alias("ob"), F.col("token").alias("token_"))
+    # the triangle inequality again, with the members' own distances
+    fits = (F.col("token") == F.col("token_")) & (F.col("ra") == F.col("ra_")) & (F.col("rb") == F.col("rb_")) & (F.col("apart") <= F.col("oa") + F.col("ob") + (100 - SIMILAR) + 0.001)
+    fits &= F.expr(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)")
+    members = of_a.join(of_b, fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "na", "nb"))
     last = verify(persisted(members.select("a", "b", F.lit(SIMILAR).alias("percent")))).where(LINKED)
     return edges.unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -384,6 +397,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     set and links with nothing, so both are its own id. A row with a null id has null for both and links with nothing. Rows that
     share an id are one document: they get one component. An empty table gives an empty result. Ids are integers."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), width))
     keys = persisted(texts.mapInArrow(_keys(width, shared), "id long, n long, a long, b long, prefix binary, sketch binary"))
