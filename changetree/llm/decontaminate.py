@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, small_batches, table
 from .words import STEP, mix, texts_words
 
 U = np.uint64
@@ -107,6 +107,7 @@ def decontaminate(
     the smallest id) and are null without one. Null and empty texts, and null or too short items, match nothing.
     Repeated rows are all kept; empty tables are allowed."""
     spark = docs.sparkSession
+    small_batches(spark)
     names = [free_name(docs, c) for c in ("contaminated", "n_items", "item", "agreeing", "share")]
     hit, item_type = free_name(docs, "hit"), benchmark.schema[item_col].dataType.simpleString()
     schema = f"n_items long, item {item_type}, agreeing long, share double"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import persisted, table
+from .common import give_back, persisted, small_batches, table
 from .token_counts import Remembered, default_tokenizer
 
 #: Choices of (groups of equal cardinality, share of a sequence beyond which a length is large). A plan is
@@ -77,6 +77,7 @@ def _cut(path: str, budget: int, end_id: int):
                     ranks[n] = rank[-1] + 1
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, [part] * len(at), rank))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        give_back()
 
     return run
 
@@ -224,6 +225,7 @@ def pack(docs: DataFrame, tokenizer_path: str, budget: int = 4096, end_id: int =
     A document's ids are the tokenizer's, then end_id; only longer ones than budget are cut. A null or empty
     text is a document of end_id alone; a null id is carried as null; repeated rows are packed each by itself.
     An empty table gives an empty result. Sequences have no gaps and no overlaps."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     pieces = persisted(
         docs.select(id_col, text_col).mapInArrow(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, small_batches, table
 from .words import texts_words
 
 #: Groups of bytes whose shares are features.
@@ -189,6 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     used. Null and empty texts are scored as a text without features; without a usable positive label every score is 0.5.
     Repeated rows get equal scores; an empty table gives an empty result. Training takes about
     most_rows rows of each kind, chosen by a hash of the id; everything else covers all rows."""
+    small_batches(docs.sparkSession)
     held, score, predicted = (free_name(docs, c) for c in ("held_out", "score", "predicted"))
     model = fit(docs, labels, id_col, text_col, most_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, small_batches, table
 
 #: Characters in a chunk; a scan over a text's chunks composes their maps.
 CHUNK = 1 << 16
@@ -268,6 +268,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text_c
     count as one token each, as the library has it. Repeated rows are all kept; an empty table gives an empty
     result. The tokenizer file has to be at tokenizer_path on every executor."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([*map(counter(tokenizer_path).tokens, texts)], dtype="int64")
