@@ -342,7 +342,11 @@ def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int
     # 1: members of a list against the most central one of about their size: the one most of whose short part is shared
     central = lists.groupBy("id").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
     ranked = lists.withColumn("bucket", F.floor(F.log("n") / math.log(100 / SIMILAR))).join(central, "id").repartition("token").sortWithinPartitions("token", "bucket", F.desc("central"), "id")
-    met = ranked.mapInPandas(_stars, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "na", "nb"))
+    met = persisted(ranked.mapInPandas(_stars, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")))
+    # where a member's lists have different heads no count may suffice, so it is also compared with the one it meets most
+    alike = f"c > 1 AND 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
+    most = met.where(alike).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    met = met.where(_enough("c", "na", "nb")).select("a", "b").unionByName(most.select("a", "b"))
     stars = verify(persisted(met.select("a", "b", F.lit(SIMILAR).alias("percent")))).where(LINKED)
     heads = stars.join(stars.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     # distances in percent, rounded up; a cluster's radius is its farthest member's
