@@ -3,78 +3,107 @@
 URLs that a rule accepts or rejects train two variable-order Markov models over bytes; each order's
 estimate is smoothed by the next shorter one, as far as its context has been seen. A URL without a rule
 is judged by the difference of its log-likelihoods a byte, against a threshold calibrated on a fold of
-the ruled URLs that training leaves out. Counts cover all ruled URLs and are summed in Spark; they are
-kept in tables of a fixed number of hashed cells, so what is broadcast has a bound."""
+the ruled URLs that training leaves out.
+
+Counts are exact and grow with the input: an order's context and the byte behind it are one number, and
+the counts of these numbers are Parquet tables. As an estimate depends on the longest context only, each
+distinct number of the corpus gets its value once, by joins from order to order. URLs are dealt in chunks of bounded
+size; the distinct numbers of a chunk fetch their values in a join, with which the chunk's URLs are scored."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, table
-from .words import mix
+from .common import free_name, persisted, small_batches, table
 
-U = np.uint64
-#: Longest context in bytes, hashed cells for each order, weight of the shorter context's estimate.
-ORDER, CELLS, WEIGHT = 5, 1 << 16, 4.0
+#: Longest context in bytes, weight of the shorter context's estimate.
+ORDER, WEIGHT = 5, 4.0
+# Symbols are bytes, the end and what stands before the beginning; bits of a symbol.
+END, START, BITS = 256, 257, 9
+#: Bytes of the URLs that are scored together.
+CHUNK = 1 << 18
 #: Of the ruled URLs one in FOLDS calibrates the threshold; width and number of the histogram's bins.
 FOLDS, BIN, BINS = 5, 0.005, 4000
 # The rules of the contract, (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
-def _cells(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each predicted byte, context cells, context-and-byte cells); cells have a row for each order."""
-    raws = [(t or "").encode("utf-8", "surrogatepass") + b"\x03" for t in texts]
-    pad = b"\x02" * ORDER
-    data = np.frombuffer(b"".join(pad + r for r in raws), np.uint8).astype(U)
-    lengths = np.array([len(r) for r in raws], np.int64)
+def grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of each predicted symbol: the symbol in the lowest bits, above it the ORDER symbols before it,
+    the nearest first."""
+    lengths = np.array([len(r) + 1 for r in raws], np.int64)
     rows = np.repeat(np.arange(len(raws)), lengths)
-    at = np.arange(lengths.sum()) + (rows + 1) * ORDER
-    context, joint = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    h = np.ones(len(at), U)
-    with np.errstate(over="ignore"):
-        for k in range(ORDER + 1):
-            if k:
-                h = mix(h * U(257) + data[at - k] + U(1))
-            context[k] = (h % U(CELLS)).astype(np.int64)
-            joint[k] = (mix(h * U(263) + data[at] + U(7)) % U(CELLS)).astype(np.int64)
-    return rows, context, joint
-
-
-def _counts(batches):
-    for pdf in batches:
-        for accepted, part in pdf.groupby("accepted"):
-            _, context, joint = _cells(part["text"])
-            for kind, cells in (("context", context), ("joint", joint)):
-                for k in range(ORDER + 1):
-                    n = np.bincount(cells[k], minlength=CELLS)
-                    some = np.flatnonzero(n)
-                    yield pd.DataFrame({"accepted": bool(accepted), "kind": kind, "k": k, "cell": some, "n": n[some]})
-
-
-def train(ruled: DataFrame) -> np.ndarray:
-    """Counts [class, context or joint, order, cell] of the columns text, accepted; 24 * CELLS numbers."""
-    sums = ruled.mapInPandas(_counts, "accepted boolean, kind string, k int, cell int, n long").groupBy("accepted", "kind", "k", "cell").agg(F.sum("n").alias("n"))
-    got, out = sums.toPandas(), np.zeros((2, 2, ORDER + 1, CELLS))
-    out[got["accepted"].astype(int), (got["kind"] == "joint").astype(int), got["k"].astype(int), got["cell"].astype(int)] = got["n"].astype(float)
+    flat = np.frombuffer(b"".join(r + b"\0" for r in raws), np.uint8).astype(np.int64)
+    flat[np.cumsum(lengths) - 1] = END
+    at = np.arange(len(flat)) + (rows + 1) * ORDER
+    data = np.full(len(flat) + len(raws) * ORDER, START, np.int64)
+    data[at] = flat
+    out = np.zeros(len(flat), np.int64)
+    for k in range(ORDER + 1):
+        out |= data[at - k] << (BITS * k)
+    return rows, out
+
+
+def _chunked(batches):
+    """The rows with a chunk: a task's rows of one fold, as many as CHUNK bytes hold; the lowest three bits are the fold."""
+    made, task = 0, TaskContext.get().partitionId()
+    open_chunks: dict[int, tuple[int, int]] = {}
+    for batch in batches:
+        out = []
+        for fold, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist()):
+            number, held = open_chunks.get(fold, (0, CHUNK))
+            if held >= CHUNK:
+                number, held, made = made, 0, made + 1
+            open_chunks[fold] = (number, held + len(text) + 1)
+            out.append((task << 32 | number) << 3 | fold)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
+
+
+def _counted(batches):
+    """For each chunk its distinct grams and how often they stand in accepted and in rejected ruled URLs."""
+    for batch in batches:
+        chunks, said = np.array(batch.column(0)), batch.column(2).to_pylist()
+        raws = batch.column(1).to_pylist()
+        for chunk in np.unique(chunks):
+            of = np.flatnonzero(chunks == chunk)
+            rows, found = grams([raws[i] for i in of])
+            which, where = np.unique(found, return_inverse=True)
+            yes, no = (np.bincount(where, weights=np.array([said[i] == v for i in of], float)[rows], minlength=len(which)).astype(np.int64) for v in ("allow", "block"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), chunk)), pa.array(which), pa.array(yes), pa.array(no)], ["chunk", "gram", "yes", "no"])
+
+
+def estimates(counts: DataFrame, names: list[str]) -> DataFrame:
+    """gram and, for each name of a count column, the smoothed probability of its last symbol, from the rows
+    (gram, counts...) of the longest contexts; grams without counts may stand among them."""
+    levels = [counts]
+    for k in range(ORDER - 1, -1, -1):
+        levels.insert(0, persisted(levels[0].groupBy(F.col("gram").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("gram")).agg(*[F.sum(n).alias(n) for n in names])))
+    below = None
+    for k, level in enumerate(levels):
+        context = Window.partitionBy(F.shiftright("gram", BITS))
+        level = level.select("gram", *names, *[F.sum(n).over(context).alias(f"{n}_all") for n in names])
+        if k:
+            level = level.withColumn("shorter", F.col("gram").bitwiseAND((1 << BITS * k) - 1)).join(below, "shorter")
+        else:
+            level = level.select("*", *[F.lit(1 / 257).alias(f"{n}_p") for n in names])
+        out = level.select("gram", *[((F.col(n) + WEIGHT * F.col(f"{n}_p")) / (F.col(f"{n}_all") + WEIGHT)).alias(n) for n in names])
+        below = out.select(F.col("gram").alias("shorter"), *[F.col(n).alias(f"{n}_p") for n in names])
     return out
 
 
-def scores(texts, counts: np.ndarray) -> np.ndarray:
-    """For each text the mean over its bytes of log p(accepted) - log p(rejected)."""
-    rows, context, joint = _cells(texts)
-    logs = []
-    for c in (1, 0):
-        p = np.full(len(rows), 1 / 257)
-        for k in range(ORDER + 1):
-            both = counts[c, 1, k, joint[k]]
-            p = (both + WEIGHT * p) / (np.maximum(counts[c, 0, k, context[k]], both) + WEIGHT)
-        logs.append(np.log(p))
-    n = np.bincount(rows, minlength=len(texts))
-    return np.bincount(rows, weights=logs[0] - logs[1], minlength=len(texts)) / np.maximum(n, 1)
+def _scored(rows: pa.Table, values: pa.Table) -> pa.Table:
+    """A chunk's rows with the mean of the values of their grams."""
+    gram, value = np.array(values["gram"]), np.array(values["value"])
+    order = np.argsort(gram)
+    gram, value = gram[order], value[order]
+    of, found = grams(rows["text"].to_pylist())
+    score = np.bincount(of, weights=value[np.searchsorted(gram, found)]) / np.bincount(of)
+    return rows.select(["row", "said", "fold"]).append_column("score", pa.array(score))
 
 
 def calibrate(histogram: dict[tuple[bool, int], int]) -> float:
@@ -106,29 +135,32 @@ def url_filter(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     A null URL or one without :// has an empty host and path and no rule; the models judge the empty
     text. Without ruled URLs of both classes the models don't differ and every other URL is allowed.
     Repeated rows are all kept and count as often as they stand; an empty table gives an empty result."""
-    spark = pages.sparkSession
+    small_batches(pages.sparkSession)
     host, path, rule, verdict, score = (free_name(pages, c) for c in ("host", "path", "rule", "verdict", "score"))
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     url = F.coalesce(F.col(url_col), F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     split = pages.withColumn(host, F.translate(F.regexp_extract(url, pattern, 1), upper, upper.lower())).withColumn(path, F.regexp_extract(url, pattern, 2))
     named, said = rule_of(F.col(host), F.col(path), rules)
-    split = split.withColumn(rule, named).withColumn(verdict, said)
-    text = F.concat(F.col(host), F.col(path))
-    ruled = split.where(F.col(verdict).isNotNull()).select(text.alias("text"), (F.col(verdict) == "allow").alias("accepted"))
-    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    counts = train(ruled.where(fold != 0))
-    shared = spark.sparkContext.broadcast(counts)
-
-    @F.pandas_udf("double")
-    def ratio(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(texts, shared.value))
-
-    held = ruled.where(fold == 0).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(ratio("text") / BIN).cast("int") + BINS // 2)))
-    threshold = calibrate({(r[0], r[1]): r[2] for r in held.groupBy("accepted", "bin").count().collect()}) if counts.any(axis=(1, 2, 3)).all() else float("-inf")
-    judged = split.withColumn(score, ratio(text))
-    by_model = F.when(F.col(score) >= threshold, "allow").otherwise("block")
-    return judged.withColumn(verdict, F.coalesce(F.col(verdict), by_model))
+    text = F.concat(F.col(host), F.col(path)).cast("binary")
+    columns = [*(F.col(f"`{c}`") for c in pages.columns), F.col(host), F.col(path), named.alias(rule)]
+    fold = F.when(said.isNotNull(), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")).otherwise(FOLDS)
+    split = split.select(F.struct(*columns).alias("row"), said.alias("said"), text.alias("text"), fold.alias("fold"))
+    rows = persisted(split.mapInArrow(_chunked, T.StructType([*split.schema, T.StructField("chunk", T.LongType())])))
+    counted = persisted(rows.select("chunk", "text", "said").mapInArrow(_counted, "chunk long, gram long, yes long, no long"))
+    learnt = F.col("chunk").bitwiseAND(7) != 0
+    counts = persisted(counted.groupBy("gram").agg(*[F.sum(F.when(learnt, F.col(c)).otherwise(0)).alias(c) for c in ("yes", "no")]))
+    values = estimates(counts, ["yes", "no"]).select("gram", (F.log("yes") - F.log("no")).alias("value"))
+    values = counted.select("chunk", "gram").join(values, "gram")
+    schema = T.StructType([*rows.select("row", "said", "fold").schema, T.StructField("score", T.DoubleType())])
+    judged = persisted(rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored, schema))
+
+    held = judged.where(F.col("fold") == 0).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("score") / BIN).cast("int") + BINS // 2)))
+    classes = counts.agg(F.sum("yes"), F.sum("no")).first()
+    threshold = calibrate({(r[0], r[1]): r[2] for r in held.groupBy(F.col("said") == "allow", "bin").count().collect()}) if all(classes) else float("-inf")
+    by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    given = [F.col("row")[c].alias(c) for c in (*pages.columns, host, path, rule)]
+    return judged.select(*given, F.coalesce("said", by_model).alias(verdict), F.col("score").alias(score))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
