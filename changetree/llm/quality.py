@@ -8,6 +8,8 @@ in Spark tasks for every whole text."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,7 @@ def features(texts) -> np.ndarray:
         pairs = words[:-1] * np.uint64(31) + words[1:] if n > 1 else words
         distinct_pairs = len(np.unique(pairs))
         lengths = np.array([len(x) for x in solid])
+        lines_times = Counter(solid)
         row[len(GROUPS) + 1 :] = (
             np.log1p(n),
             np.log1p(len(raw) / n),
@@ -67,12 +70,12 @@ def features(texts) -> np.ndarray:
             _entropy(times),
             _entropy(times) / np.log(n + 1),
             _entropy(counts[counts > 0]),
-            len(set(solid)) / len(solid),
+            len(lines_times) / len(solid),
             np.log1p(len(solid)),
             np.log1p(lengths.mean()),
             np.log1p(lengths.std()),
             sum(x.rstrip()[-1] in ".!?:;\"')" for x in solid) / len(solid),
-            sum(len(x) for x in solid if solid.count(x) > 1) / lengths.sum() if len(solid) < 200 else 1 - len(set(solid)) / len(solid),
+            sum(len(x) * c for x, c in lines_times.items() if c > 1) / lengths.sum(),
         )
     return out
 
