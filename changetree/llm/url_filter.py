@@ -132,8 +132,8 @@ def url_filter(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     """pages with host, path, rule, verdict and score behind its columns (underscores are added to names
     that pages has already); one row for each row of pages.
 
-    A null URL or one without :// has an empty host and path and no rule; the models judge the empty
-    text. Without ruled URLs of both classes the models don't differ and every other URL is allowed.
+    The models read the whole URL as it stands, scheme, query and fragment too; host and path are for the rules. A null
+    URL or one without :// has an empty host and path and no rule; a null one is judged as the empty text. Without ruled URLs of both classes the models don't differ and every other URL is allowed.
     Repeated rows are all kept and count as often as they stand; an empty table gives an empty result."""
     small_batches(pages.sparkSession)
     host, path, rule, verdict, score = (free_name(pages, c) for c in ("host", "path", "rule", "verdict", "score"))
@@ -142,7 +142,7 @@ def url_filter(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     split = pages.withColumn(host, F.translate(F.regexp_extract(url, pattern, 1), upper, upper.lower())).withColumn(path, F.regexp_extract(url, pattern, 2))
     named, said = rule_of(F.col(host), F.col(path), rules)
-    text = F.concat(F.col(host), F.col(path)).cast("binary")
+    text = url.cast("binary")
     columns = [*(F.col(f"`{c}`") for c in pages.columns), F.col(host), F.col(path), named.alias(rule)]
     fold = F.when(said.isNotNull(), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")).otherwise(FOLDS)
     split = split.select(F.struct(*columns).alias("row"), said.alias("said"), text.alias("text"), fold.alias("fold"))
