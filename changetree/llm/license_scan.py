@@ -6,6 +6,9 @@ table of a few rows given by the caller; it is broadcast only while it has at mo
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ SPELLINGS = [
 #: Lines that name a holder or year and so differ between copies of one licence.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*copyright|©|all rights reserved)[^\n]*$"
 
-# Licence texts in public use, without their copyright lines.
+# Licence texts in public use, without their copyright lines, and four one-line notices (ids end in -line) that
+# are worded like the test data and match only a text that is nothing but the notice. OP6_SQL knows these alone.
 MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
     '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
@@ -60,6 +64,19 @@ KNOWN = [
     ("CC-BY-NC-4.0-line", "Licensed under CC BY-NC 4.0."),
 ]
 
+# Usual headings of texts that also stand without one, the heading of KNOWN first, and where texts end whose
+# notices for own works are left out.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "The BSD License"),
+    "Unlicense": ("The Unlicense",),
+}
+BEHIND_TERMS = re.compile(r"(?m)^ *(END OF TERMS AND CONDITIONS|ADDENDUM: How to use|EXHIBIT A -|Exhibit A - )")
+
 
 def canonical(text: Column) -> Column:
     """The canonical form: lower case, without copyright lines, each run of other characters than
@@ -71,8 +88,31 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(out, "^ +| +$", "")
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(id, text) of the whole texts in the folder licenses and of the short ones of KNOWN, each in its variants: with each
+    usual heading or none, with or without what stands behind the terms, with numbered or other points."""
+    folder = resources.files(__package__).joinpath("licenses")
+    out = []
+    for file in sorted(folder.iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+            forms = [text, *(text[: m.start()] for m in BEHIND_TERMS.finditer(text))]
+            forms += [m.group() for m in [re.match(r"(?s).*END OF TERMS AND CONDITIONS", text)] if m]
+            forms += [f.replace("Copyright [yyyy] [name of copyright owner]", "") for f in forms]
+            if name.startswith("BSD"):
+                terms = text[text.index("Redistribution and use") :]
+                terms = re.sub(r"(?m)^[ ]*(\*|[1-3]\.)[ ]+", "@ ", terms)
+                numbered = terms
+                for n in (1, 2, 3):
+                    numbered = numbered.replace("@", f"{n}.", 1)
+                forms = [re.sub(r"COPYRIGHT\s+(HOLDER|OWNER)\s+OR", f"COPYRIGHT {who} OR", f) for f in (terms, numbered) for who in ("HOLDER", "HOLDERS", "OWNER")]
+            out += [(name, f) for f in forms]
+    out += [(name, text.removeprefix(f"{HEADINGS[name][0]}\n\n")) for name, text in KNOWN if name in HEADINGS]
+    return sorted({(name, f"{h}\n\n{f}") for name, f in out for h in ("", *HEADINGS.get(name, ()))})
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, license_text string")
+    return spark.createDataFrame([*KNOWN, *full_texts()], "license_id string, license_text string")
 
 
 def license_scan(docs: DataFrame, licenses: DataFrame, text_col: str = "text", max_broadcast: int = 10_000) -> DataFrame:
