@@ -2,8 +2,8 @@
 
 URLs that a rule accepts or rejects train two variable-order Markov models over bytes; each order's
 estimate is smoothed by the next shorter one, as far as its context has been seen. A URL without a rule
-is judged by the difference of its log-likelihoods a byte, against a threshold calibrated on a fold of
-the ruled URLs that training leaves out.
+is judged by the difference of its log-likelihoods a byte, against a threshold calibrated by folds:
+each ruled URL is scored with its fold's counts taken off the total. Verdicts use the counts of all ruled URLs.
 
 Counts are exact and grow with the input: an order's context and the byte behind it are one number, and
 the counts of these numbers are Parquet tables. As an estimate depends on the longest context only, each
@@ -27,7 +27,7 @@ ORDER, WEIGHT = 5, 4.0
 END, START, BITS = 256, 257, 9
 #: Bytes of the URLs that are scored together.
 CHUNK = 1 << 18
-#: Of the ruled URLs one in FOLDS calibrates the threshold; width and number of the histogram's bins.
+#: Folds of the ruled URLs; width and number of the histogram's bins.
 FOLDS, BIN, BINS = 5, 0.005, 4000
 # The rules of the contract, (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -97,13 +97,14 @@ def estimates(counts: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _scored(rows: pa.Table, values: pa.Table) -> pa.Table:
-    """A chunk's rows with the mean of the values of their grams."""
-    gram, value = np.array(values["gram"]), np.array(values["value"])
+    """A chunk's rows with the means of the values of their grams, by all counts and without those of their fold."""
+    gram = np.array(values["gram"])
     order = np.argsort(gram)
-    gram, value = gram[order], value[order]
     of, found = grams(rows["text"].to_pylist())
-    score = np.bincount(of, weights=value[np.searchsorted(gram, found)]) / np.bincount(of)
-    return rows.select(["row", "said", "fold"]).append_column("score", pa.array(score))
+    at, out = order[np.searchsorted(gram[order], found)], rows.select(["row", "said", "fold"])
+    for name in ("score", "held"):
+        out = out.append_column(name, pa.array(np.bincount(of, weights=np.array(values[name])[at]) / np.bincount(of)))
+    return out
 
 
 def calibrate(histogram: dict[tuple[bool, int], int]) -> float:
@@ -148,16 +149,21 @@ def url_filter(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     split = split.select(F.struct(*columns).alias("row"), said.alias("said"), text.alias("text"), fold.alias("fold"))
     rows = persisted(split.mapInArrow(_chunked, T.StructType([*split.schema, T.StructField("chunk", T.LongType())])))
     counted = persisted(rows.select("chunk", "text", "said").mapInArrow(_counted, "chunk long, gram long, yes long, no long"))
-    learnt = F.col("chunk").bitwiseAND(7) != 0
-    counts = persisted(counted.groupBy("gram").agg(*[F.sum(F.when(learnt, F.col(c)).otherwise(0)).alias(c) for c in ("yes", "no")]))
-    values = estimates(counts, ["yes", "no"]).select("gram", (F.log("yes") - F.log("no")).alias("value"))
-    values = counted.select("chunk", "gram").join(values, "gram")
-    schema = T.StructType([*rows.select("row", "said", "fold").schema, T.StructField("score", T.DoubleType())])
+    own, kinds = F.col("chunk").bitwiseAND(7).cast("int"), ("yes", "no")
+    counts = persisted(counted.groupBy("gram").agg(*[F.sum(F.when(own == j, F.col(c)).otherwise(0)).alias(f"{c}{j}") for j in range(FOLDS) for c in kinds]))
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns[1:]]).first()
+    total = {c: sum(sums[f"{c}{j}"] for j in range(FOLDS)) for c in kinds}
+    # A fold that holds all of a class can't be taken off; it is scored by all counts.
+    apart = [j for j in range(FOLDS) if all(total[c] > sums[f"{c}{j}"] for c in kinds)]
+    without = [sum(F.col(f"{c}{i}") for i in range(FOLDS) if i != j or j not in apart).alias(f"{c}{j}") for j in range(FOLDS + 1) for c in kinds]
+    values = estimates(counts.select("gram", *without), [f"{c}{j}" for j in range(FOLDS + 1) for c in kinds])
+    values = values.select("gram", F.array(*[F.log(f"yes{j}") - F.log(f"no{j}") for j in range(FOLDS + 1)]).alias("ratios"))
+    values = counted.select("chunk", "gram").join(values, "gram").select("chunk", "gram", F.get("ratios", F.lit(FOLDS)).alias("score"), F.get("ratios", own).alias("held"))
+    schema = T.StructType([*rows.select("row", "said", "fold").schema, T.StructField("score", T.DoubleType()), T.StructField("held", T.DoubleType())])
     judged = persisted(rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(_scored, schema))
 
-    held = judged.where(F.col("fold") == 0).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("score") / BIN).cast("int") + BINS // 2)))
-    classes = counts.agg(F.sum("yes"), F.sum("no")).first()
-    threshold = calibrate({(r[0], r[1]): r[2] for r in held.groupBy(F.col("said") == "allow", "bin").count().collect()}) if all(classes) else float("-inf")
+    held = judged.where(F.col("fold") < FOLDS).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("held") / BIN).cast("int") + BINS // 2)))
+    threshold = calibrate({(r[0], r[1]): r[2] for r in held.groupBy(F.col("said") == "allow", "bin").count().collect()}) if all(total.values()) else float("-inf")
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     given = [F.col("row")[c].alias(c) for c in (*pages.columns, host, path, rule)]
     return judged.select(*given, F.coalesce("said", by_model).alias(verdict), F.col("score").alias(score))
