@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted
+from .common import dropped, persisted
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -16,7 +16,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = persisted(around.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
     joined = around.join(least, "u")
     moved = joined.where("v > u") if large else joined.where("v <> m").unionByName(least.selectExpr("u", "u AS v", "m"))
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    out = persisted(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+    dropped(least, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = persisted(edges.where("u <> v").distinct())
     seen = None
     while True:
-        edges = persisted(_star(_star(edges, True), False))
+        edges = _star(_star(edges, True), False)
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == seen or not now[0]:
             break

@@ -8,11 +8,9 @@ rarely to reach T are dropped, and the others are settled in tasks by DivideSkip
 merges the short lists and the long ones are probed by binary search.
 
 Texts with equal sets are one class from the start. In a list each class is first compared with
-the list's most central one only; what links to it forms a cluster, and by the triangle inequality of the Jaccard
-distance two clusters whose heads are further apart than their measured radii allow can have no link. Only heads
-of clusters meet in pairs, and members only of clusters that are near and not yet connected, so a group
-of many near copies costs in proportion to its size. No links are lost: a link is left unchecked only
-between texts that other links connect already."""
+the list's most central one only; what links to it is connected, so a group of many near copies costs in proportion to its
+size. Then every two texts of a list that are still in different components are counted, in cells of bounded size.
+No links are lost: a link is left unchecked only between texts that other links connect already."""
 
 from __future__ import annotations
 
@@ -29,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build_filter, held_in
-from .common import free_name, give_back, persisted, small_batches, table
+from .common import dropped, free_name, give_back, persisted, small_batches, table
 from .components import components
-from .words import column_texts, shingle_set, texts_words
+from .words import column_texts, mix, shingle_set, texts_words
 
 U = np.uint64
-#: Similarity in percent. Clusters reach so far from their heads.
+#: Similarity in percent.
 SIMILAR = 80
 #: Shingles that go last in the order, at most; they are broadcast (1 MB). Any order gives the same links.
 MOST_FREQUENT = 1 << 17
@@ -42,8 +40,12 @@ MOST_FREQUENT = 1 << 17
 FREQUENT_IN_BATCH = 8
 #: Shingles in such a batch, about.
 FREQUENT_BATCH = 1 << 21
-#: Lists of at most so many heads are paired in the task that has them, longer ones by a join that Spark splits.
-SHORT_LIST = 64
+#: Lists of more rows are paired in cells, by blocks of about so many rows.
+CELL = 512
+#: The list of a shingle counted more often is dealt out in parts of about so many rows before it is first gathered.
+PART = 1 << 16
+#: Pairs that a task holds to add up their counts.
+PAIRS_HELD = 1 << 19
 #: Bits of the filter (8 MB) of the ids whose texts are read again.
 FILTER_BITS = 1 << 26
 
@@ -80,8 +82,8 @@ def _frequent(width: int):
     return run
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, their ranks by count) of the most frequent ones, MOST_FREQUENT at most. The
+def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles in order, their ranks by count, their counts) of the most frequent ones, MOST_FREQUENT at most. The
     cut is a power of two of the count, found on a histogram of 64 rows."""
     counts = persisted(texts.mapInArrow(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect()
@@ -95,7 +97,8 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
     order = np.argsort(token)
     ranks = np.empty(len(token), np.int64)
     ranks[np.lexsort((token, n))] = np.arange(len(token))
-    return token[order], ranks[order]
+    dropped(counts)
+    return token[order], ranks[order], n[order]
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -115,8 +118,8 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 def _possible(batches):
     for pdf in batches:
-        good = [least_difference(x, y) <= na + nb - 2 * required(na, nb, p) for x, y, na, nb, p in zip(pdf["x"], pdf["y"], pdf["na"].tolist(), pdf["nb"].tolist(), pdf["percent"].tolist())]
-        yield pdf[["a", "b", "percent"]][np.array(good, bool)]
+        rows = zip(pdf["x"], pdf["y"], pdf["na"].tolist(), pdf["nb"].tolist())
+        yield pdf[["a", "b"]][np.array([least_difference(x, y) <= na + nb - 2 * required(na, nb) for x, y, na, nb in rows], bool)]
 
 
 def _keys(width: int, shared):
@@ -146,97 +149,150 @@ def _keys(width: int, shared):
     return run
 
 
-def _postings(batches):
-    for batch in batches:
-        tokens = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        lengths = [len(x) for x in tokens]
-        ids, n = (np.repeat(batch.column(k).to_numpy(), lengths) for k in (0, 1))
-        flat = np.concatenate([np.empty(0, np.int64), *tokens])
-        for at in range(0, len(flat), 1 << 16):
-            cut = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[cut]), pa.array(ids[cut]), pa.array(n[cut])], ["token", "id", "n"])
+def _postings(shared):
+    """Arrow batches of (id, n, prefix) to (token, part, id, n). The list of a very frequent shingle is dealt out in
+    parts, numbered from 1; others have part 0."""
+
+    def run(batches):
+        often, parts = shared.value
+        for batch in batches:
+            tokens = [np.frombuffer(x, U) for x in batch.column(2).to_pylist()]
+            lengths = [len(x) for x in tokens]
+            ids, n = (np.repeat(batch.column(k).to_numpy(), lengths) for k in (0, 1))
+            flat = np.concatenate([np.empty(0, U), *tokens])
+            part = np.zeros(len(flat), np.int32)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+                hit = often[at] == flat
+                part[hit] = 1 + mix(ids[hit].view(U)) % parts[at[hit]].astype(U)
+            for k in range(0, len(flat), 1 << 16):
+                cut = slice(k, k + (1 << 16))
+                columns = [pa.array(flat[cut].view(np.int64)), pa.array(part[cut]), pa.array(ids[cut]), pa.array(n[cut])]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "part", "id", "n"])
+
+    return run
 
 
 def _shared_lists(batches):
-    """Rows sorted by (token, id): those of lists with two rows or more. Only the last row is kept from one
-    batch to the next."""
-    last, told = None, True
+    """Rows sorted by (token, part, id): those of lists with two rows or more, and all that have a part. Only the last
+    row is kept from one batch to the next."""
+    names, last, told = ["token", "part", "id", "n"], None, True
     for pdf in batches:
-        rows = pdf[["token", "id", "n"]].to_numpy(np.int64)
+        rows = pdf[names].to_numpy(np.int64)
         if not len(rows):
             continue
         if last is not None:
             rows = np.concatenate((last[None], rows))
-        same = rows[1:, 0] == rows[:-1, 0]
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
+        shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (rows[:, 1] > 0)
         fresh = shared.copy()
         if last is not None and told:
             fresh[0] = False
-        yield pd.DataFrame(rows[fresh], columns=["token", "id", "n"])
-        told = bool(shared[-1]) if len(rows) > 1 or last is None else told
+        yield pd.DataFrame(rows[fresh], columns=names)
+        told = bool(shared[-1])
         last = rows[-1]
 
 
 def _stars(batches):
-    """Rows (token, bucket, id, n) sorted so that the most central comes first: each other one with it."""
-    token = bucket = head = size = None
+    """Rows (token, part, bucket, id, n) sorted so that the most central comes first: each other one with it."""
+    key = head = size = None
     for pdf in batches:
-        t, s, i, n = (pdf[c].to_numpy(np.int64) for c in ("token", "bucket", "id", "n"))
+        t, p, s, i, n = (pdf[c].to_numpy(np.int64) for c in ("token", "part", "bucket", "id", "n"))
         if not len(t):
             continue
-        new = np.concatenate(([token is None or (t[0], s[0]) != (token, bucket)], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
+        new = np.concatenate(([key != (t[0], p[0], s[0])], (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1])))
         first = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
         heads, sizes = np.where(first < 0, head or 0, i[first]), np.where(first < 0, size or 0, n[first])
         out = heads != i
         yield pd.DataFrame({"a": heads[out], "b": i[out], "na": sizes[out], "nb": n[out]})
-        token, bucket, head, size = t[-1], s[-1], heads[-1], sizes[-1]
-
-
-def _could_fit(x: tuple, y: tuple) -> bool:
-    """Whether members of two clusters (root, n of the root, radius in percent) can be of sizes that link: a
-    member's size and its head's are as much alike as their sets at least."""
-    low, high = sorted((x[1], y[1]))
-    return 100 * low >= SIMILAR * (1 - x[2] / 100) * (1 - y[2] / 100) * high - 1
+        key, head, size = (t[-1], p[-1], s[-1]), heads[-1], sizes[-1]
+
+
+def _counted_pairs(batches):
+    """Arrow batches of (token, cell, block, once, id, n, component), sorted by token and cell, to (a, b, na, nb, c): the
+    pairs of a cell that lie in different components and are of sizes that can link, with the number of cells they meet in. A cell
+    has a bounded number of rows; rows of the last one are carried on from batch to batch."""
+    names = ["token", "cell", "block", "once", "id", "n", "component"]
+    held = {c: np.empty(0, np.int64) for c in names}
+    found, size = [], 0
+
+    def met(cut: int):
+        """Pairs of the first cut rows, which are whole cells: each row with the next, the one after it, and so on."""
+        t, cell, block, once, i, n, comp = (held[c][:cut] for c in names)
+        left, step = np.arange(cut), 0
+        while len(left):
+            step += 1
+            left = left[left + step < cut]
+            right = left + step
+            same = (t[left] == t[right]) & (cell[left] == cell[right])
+            left, right = left[same], right[same]
+            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            fits = (comp[left] != comp[right]) & (100 * low >= SIMILAR * high) & ((once[left] == 1) | (block[left] != block[right]))
+            x, y = left[fits], right[fits]
+            if len(x):
+                turn = i[x] > i[y]
+                x, y = np.where(turn, y, x), np.where(turn, x, y)
+                yield np.stack((i[x], i[y], n[x], n[y], np.ones(len(x), np.int64)))
+
+    def summed():
+        rows = np.concatenate(found, axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        starts = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
+        out = rows[:, starts]
+        out[4] = np.add.reduceat(rows[4], starts)
+        return out
+
+    def told(rows):
+        for k in range(0, rows.shape[1], 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in rows], ["a", "b", "na", "nb", "c"])
+
+    def taken(cut: int):
+        nonlocal found, size
+        for rows in met(cut):
+            found.append(rows)
+            size += rows.shape[1]
+            if size > PAIRS_HELD:
+                found = [summed()]
+                size = found[0].shape[1]
+                if size > PAIRS_HELD // 2:
+                    yield from told(found[0])
+                    found, size = [], 0
 
+    for batch in batches:
+        held = {c: np.concatenate((held[c], batch.column(k).to_numpy().astype(np.int64))) for k, c in enumerate(names)}
+        new = np.flatnonzero((held["token"][1:] != held["token"][:-1]) | (held["cell"][1:] != held["cell"][:-1]))
+        if len(new):
+            cut = int(new[-1]) + 1
+            yield from taken(cut)
+            held = {c: x[cut:] for c, x in held.items()}
+    yield from taken(len(held["id"]))
+    if found:
+        yield from told(summed())
+    give_back()
 
-def _pairs_of_heads(batches):
-    """Rows (token, root, n, radius) sorted by token and root: counts of the pairs of heads that short lists
-    hold; the rows of longer lists as they are (b null). A task keeps one short list and a bounded table of counts."""
-    counts: dict[tuple, int] = {}
-    long: list[tuple] = []
-    types = {"b": "Int64", "nb": "Int64", "rb": "Int64", "token": "Int64"}
-
-    def drained():
-        rows = [(x[0], y[0], x[1], y[1], x[2], y[2], c, None) for (x, y), c in counts.items()] + [(x[0], None, x[1], None, x[2], None, 0, t) for t, x in long]
-        counts.clear()
-        long.clear()
-        return pd.DataFrame(rows, columns=["a", "b", "na", "nb", "ra", "rb", "c", "token"]).astype(types)
 
-    def close():
-        for k, x in enumerate(held):
-            for y in held[k + 1 :]:
-                if _could_fit(x, y):
-                    counts[x, y] = counts.get((x, y), 0) + 1
-
-    token, held, too_long = None, [], False
-    for pdf in batches:
-        for t, *x in zip(*(pdf[c].tolist() for c in ("token", "root", "n", "radius"))):
-            if t != token:
-                close()
-                token, held, too_long = t, [], False
-                if len(counts) + len(long) > 1 << 18:
-                    yield drained()
-            if too_long:
-                long.append((t, tuple(x)))
-                continue
-            held.append(tuple(x))
-            if len(held) > SHORT_LIST:
-                long += [(t, y) for y in held]
-                held, too_long = [], True
-        if len(long) > 1 << 16:
-            yield drained()
-    close()
-    yield drained()
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Lists (token, id, n, component) cut into cells of about 2 CELL rows at most, such that any two rows of a list that are in different
+    components share exactly one cell. Lists of one component have none. A longer list is cut into blocks,
+    those of its largest component apart from the others; that component's blocks meet the others only, so
+    a list costs in proportion to its length times the number of rows outside of its largest component."""
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "k")
+    lists = persisted(lists)
+    rows = rows.join(lists, "token")
+    short = rows.where(F.col("k") <= CELL).select("token", F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("once"), "id", "n", "component")
+    long = rows.where(F.col("k") > CELL)
+    by_component = long.groupBy("token", "k", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = by_component.groupBy("token").agg(F.max(F.struct("m", "component")).alias("x"), F.max("k").alias("k"))
+    largest = largest.select("token", F.col("x.component").alias("main"), F.ceil((F.col("k") - F.col("x.m")) / CELL).cast("int").alias("others"), F.ceil(F.col("x.m") / CELL).cast("int").alias("mains"))
+    cut = long.join(persisted(largest), "token").withColumn("is_main", F.col("component") == F.col("main"))
+    own = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("id"), "mains")).otherwise(F.pmod(F.xxhash64("id"), "others")).cast("int")
+    partner = F.explode(F.when(F.col("is_main"), F.expr("sequence(0, others - 1)")).otherwise(F.expr("sequence(0, others + mains - 1)")))
+    cut = cut.withColumn("block", own).withColumn("partner", partner)
+    cut = cut.select(
+        "token", (F.least("block", "partner") * (F.col("others") + F.col("mains")) + F.greatest("block", "partner")).alias("cell"), "block",
+        (F.col("block") == F.col("partner")).cast("int").alias("once"), "id", "n", "component",
+    )
+    return short.unionByName(cut)
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: list[int], mu: float = 0.05) -> list[int]:
@@ -268,19 +324,19 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: list[int]
 
 
 def _verify(batches):
-    """Arrow batches of (a, b, percent, set_a, set_b), each run of equal a as one query; sets are read in place."""
+    """Arrow batches of (a, b, set_a, set_b), each run of equal a as one query, to the pairs that link; sets are read in place."""
     for batch in batches:
-        a, b, percent = (batch.column(k).to_numpy() for k in range(3))
+        a, b = (batch.column(k).to_numpy() for k in range(2))
         set_of = lambda k, i: np.frombuffer(batch.column(k)[int(i)].as_buffer(), U)
         order, out = np.argsort(a, kind="stable"), []
         for run in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
-            query = set_of(3, run[0])
+            query = set_of(2, run[0])
             for k in range(0, len(run), 256):
                 part = run[k : k + 256]
-                sets = [set_of(4, i) for i in part]
-                found = divide_skip(query, sets, [max(1, required(len(query), len(s), int(p))) for s, p in zip(sets, percent[part])])
-                out += [(int(a[i]), int(b[i]), n, len(query), len(s)) for i, n, s in zip(part, found, sets) if n > 0]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["a", "b", "shared", "na", "nb"])
+                sets = [set_of(3, i) for i in part]
+                found = divide_skip(query, sets, [max(1, required(len(query), len(s))) for s in sets])
+                out += [i for i, n in zip(part, found) if n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(x[np.array(out, np.int64)], pa.int64()) for x in (a, b)], ["a", "b"])
     give_back()
 
 
@@ -300,7 +356,7 @@ def _sets(width: int, shared):
 
 
 class Verifier:
-    """Settles candidate pairs (a, b, percent). Parity sketches, a thirtieth of the sets' size, rule out pairs
+    """Settles candidate pairs (a, b): those that link. Parity sketches, a thirtieth of the sets' size, rule out pairs
     that differ too much; the others are settled over the whole sets. Texts are read again for the ids in
     question only: a Bloom filter of fixed size keeps most others from the join."""
 
@@ -308,20 +364,20 @@ class Verifier:
         self.texts, self.sketches, self.width = texts, sketches, width
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        x, y = (self.sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(c)) for k, c in (("a", "x"), ("b", "y")))
-        possible = pairs.join(x, "a").join(y, "b").select("a", "b", "percent", "na", "nb", "x", "y").mapInPandas(_possible, "a long, b long, percent int")
-        pairs = persisted(possible.distinct())
-        ids = persisted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sketches = persisted(self.sketches.join(asked, "id", "left_semi"))
+        x, y = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(c)) for k, c in (("a", "x"), ("b", "y")))
+        possible = persisted(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInPandas(_possible, "a long, b long"))
+        ids = persisted(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         known = ids.sparkSession.sparkContext.broadcast(build_filter(ids.select(F.xxhash64("id").alias("h")), FILTER_BITS))
         wanted = self.texts.withColumn("h", F.xxhash64("id"))
         if ids.count() > FILTER_BITS // 16:  # a full filter lets too many through
             wanted = wanted.join(ids, "id", "left_semi")
         sets = persisted(wanted.mapInArrow(_sets(self.width, known), "id long, set binary"))
-        joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        return persisted(joined.select("a", "b", "percent", "set_a", "set_b").mapInArrow(_verify, "a long, b long, shared long, na long, nb long").distinct())
-
-
-LINKED = f"100 * shared >= {SIMILAR} * (na + nb - shared)"
+        joined = possible.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        found = persisted(joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long").distinct())
+        dropped(pairs, sketches, possible, ids, sets)
+        return found
 
 
 def _enough(c: str, na: str, nb: str) -> str:
@@ -334,61 +390,37 @@ def _enough(c: str, na: str, nb: str) -> str:
 def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) between class representatives that connect exactly what links connect.
 
-    postings has token, id, n of the representatives' short lists; texts has id, text; sketches id, n,
+    postings has token, part, id, n of the representatives' short lists; texts has id, text; sketches id, n,
     sketch."""
     verify = Verifier(texts, sketches, width)
-    dealt = postings.repartition("token").sortWithinPartitions("token", "id")
-    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, id long, n long"))
+    dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "id")
+    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, part int, id long, n long"))
     # 1: members of a list against the most central one of about their size: the one most of whose short part is shared
     central = lists.groupBy("id").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
-    ranked = lists.withColumn("bucket", F.floor(F.log("n") / math.log(100 / SIMILAR))).join(central, "id").repartition("token").sortWithinPartitions("token", "bucket", F.desc("central"), "id")
-    met = persisted(ranked.mapInPandas(_stars, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")))
+    ranked = lists.withColumn("bucket", F.floor(F.log("n") / math.log(100 / SIMILAR))).join(central, "id")
+    in_order = ranked.repartition("token", "part").sortWithinPartitions("token", "part", "bucket", F.desc("central"), "id")
+    met = in_order.mapInPandas(_stars, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    met = persisted(met)
     # where a member's lists have different heads no count may suffice, so it is also compared with the one it meets most
     alike = f"c > 1 AND 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
     most = met.where(alike).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    met = met.where(_enough("c", "na", "nb")).select("a", "b").unionByName(most.select("a", "b"))
-    stars = verify(persisted(met.select("a", "b", F.lit(SIMILAR).alias("percent")))).where(LINKED)
-    heads = stars.join(stars.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-    # distances in percent, rounded up; a cluster's radius is its farthest member's
-    off = F.ceil(100 - 100 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) + 1e-9).cast("int")
-    cluster = persisted(heads.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("root"), F.col("na").alias("root_n"), off.alias("off"))).alias("h")).select("id", "h.root", "h.root_n", "h.off"))
-    radii = persisted(cluster.groupBy("root").agg(F.max("off").alias("radius")))
-    owned = lists.join(cluster, "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("root_n", "n").alias("root_n"), F.coalesce("off", F.lit(0)).alias("off"))
-    owned = persisted(owned.join(radii, "root", "left").withColumn("radius", F.coalesce("radius", F.lit(0))))
-    # 2: heads that meet
-    rows = owned.select("token", "root", F.col("root_n").alias("n"), "radius").distinct()
-    paired = persisted(rows.repartition("token").sortWithinPartitions("token", "root").mapInPandas(_pairs_of_heads, "a long, b long, na long, nb long, ra int, rb int, c long, token long"))
-    short = paired.where("b IS NOT NULL").drop("token")
-    long = paired.where("b IS NULL").select("token", "a", "na", "ra")
-    other = long.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
-    met = long.join(other, "token").where("a < b AND (ra + rb > 0 OR " + _enough("1e9", "na", "nb") + ")").select("a", "b", "na", "nb", "ra", "rb", F.lit(1).cast("long").alias("c"))
-    summed = short.unionByName(met).groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.sum("c").alias("c")).where("ra + rb > 0 OR " + _enough("c", "na", "nb"))
-    # of wide clusters, even the smallest and the largest member must have enough in common: as _enough, without rounding
-    spans = persisted(owned.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    left, right = (spans.select(F.col("root").alias(k), F.col("low").alias(f"{k}_low"), F.col("high").alias(f"{k}_high")) for k in ("a", "b"))
-    s, t = SIMILAR / (100 + SIMILAR), SIMILAR / 100
-    summed = summed.join(left, "a").join(right, "b").where(f"ra + rb = 0 OR c >= {s} * least(a_low, b_low) - {t - s} * greatest(a_high, b_high) - 0.001").drop("a_low", "a_high", "b_low", "b_high")
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    percent = F.lit(SIMILAR) - F.col("ra") - F.col("rb")
-    apart = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    left, right = (apart.select(F.col("id").alias(k), F.col("component").alias(f"{k}_at")) for k in ("a", "b"))
-    open_pairs = summed.join(known, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where("coalesce(a_at, a) <> coalesce(b_at, b)")
-    near = verify(persisted(open_pairs.select("a", "b", percent.alias("percent"))))
-    edges = persisted(stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(near.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    # 3: members of clusters that are near and still apart
-    apart = components(edges)
-    left, right = (apart.select(F.col("id").alias(k), F.col("component").alias(f"{k}_at")) for k in ("a", "b"))
-    rest = persisted(near.where(f"NOT ({LINKED})").join(left, "a", "left").join(right, "b", "left").where("coalesce(a_at, a) <> coalesce(b_at, b)").select(F.col("a").alias("ra"), F.col("b").alias("rb"), (100 - 100 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("apart")))
-    if rest.isEmpty():
-        return edges
-    of_a = owned.join(rest, owned["root"] == rest["ra"]).select("token", "ra", "rb", "apart", F.col("id").alias("a"), F.col("n").alias("na"), F.col("off").alias("oa"))
-    of_b = owned.join(rest, owned["root"] == rest["rb"]).select(F.col("ra").alias("ra_"), F.col("rb").alias("rb_"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("off").alias("ob"), F.col("token").alias("token_"))
-    # the triangle inequality again, with the members' own distances
-    fits = (F.col("token") == F.col("token_")) & (F.col("ra") == F.col("ra_")) & (F.col("rb") == F.col("rb_")) & (F.col("apart") <= F.col("oa") + F.col("ob") + (100 - SIMILAR) + 0.001)
-    fits &= F.expr(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)")
-    members = of_a.join(of_b, fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "na", "nb"))
-    last = verify(persisted(members.select("a", "b", F.lit(SIMILAR).alias("percent")))).where(LINKED)
-    return edges.unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first = met.where(_enough("c", "na", "nb")).select("a", "b").unionByName(most.select("a", "b"))
+    # parts of one long list: their heads against the most central head
+    heads = ranked.where("part > 0").groupBy("token", "bucket", "part").agg(F.max(F.struct("central", "id")).alias("head"))
+    top = heads.groupBy("token", "bucket").agg(F.max("head").alias("top"))
+    first = first.unionByName(heads.join(top, ["token", "bucket"]).select(F.col("top.id").alias("a"), F.col("head.id").alias("b")).where("a <> b"))
+    stars = verify(persisted(first.distinct()))
+    dropped(met)
+    # 2: whatever else meets in a list, is still apart and meets often enough
+    apart = persisted(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    rows = persisted(lists.join(apart, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")))
+    dropped(lists, apart)
+    cells = in_cells(rows).repartition("token", "cell").sortWithinPartitions("token", "cell")
+    counted = cells.mapInArrow(_counted_pairs, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    near = persisted(counted.where(_enough("c", "na", "nb")).select("a", "b"))
+    dropped(rows)
+    last = verify(near)
+    return persisted(stars.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -403,14 +435,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), width))
+    frequent, ranks, often = frequent_shingles(texts.select("text"), width)
+    shared = spark.sparkContext.broadcast((frequent, ranks))
+    in_parts = spark.sparkContext.broadcast((frequent[often > PART], -(-often[often > PART] // PART)))
     keys = persisted(texts.mapInArrow(_keys(width, shared), "id long, n long, a long, b long, prefix binary, sketch binary"))
     solid = keys.where("id IS NOT NULL AND n > 0")
     classes = persisted(solid.groupBy("a", "b").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     repeated = persisted(classes.where("size > 1").drop("size"))
     copies = persisted(solid.select("id", "a", "b").join(repeated, ["a", "b"]).where("id <> class_id").select("id", "a", "b"))
     heads = solid.join(copies, ["id", "a", "b"], "left_anti").select("id", "n", "prefix")
-    edges = links(texts.where("id IS NOT NULL"), heads.mapInArrow(_postings, "token long, id long, n long"), solid.select("id", "n", "sketch"), width)
+    postings = heads.mapInArrow(_postings(in_parts), "token long, part int, id long, n long")
+    edges = links(texts.where("id IS NOT NULL"), postings, solid.select("id", "n", "sketch"), width)
     # one id with different texts joins its classes
     twice = solid.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
     several = solid.select("id", "a", "b").join(twice, "id").join(classes, ["a", "b"]).select(F.col("id").alias("u"), F.col("class_id").alias("v"))

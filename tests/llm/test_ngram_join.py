@@ -56,10 +56,11 @@ def test_query_equals_brute_force(spark, size):
     assert result(nj.op1_ngram_join(spark, folder)) == brute(rows)
 
 
-@pytest.mark.parametrize("short_list", [64, 2])
-def test_families_of_near_copies(spark, docs, monkeypatch, short_list):
+@pytest.mark.parametrize("cell", [512, 2])
+def test_families_of_near_copies(spark, docs, monkeypatch, cell):
     """Chains and clusters whose members link only through others, shared passages, and edge sizes."""
-    monkeypatch.setattr(nj, "SHORT_LIST", short_list)
+    monkeypatch.setattr(nj, "CELL", cell)
+    monkeypatch.setattr(nj, "PART", 8 * cell)
     r = random.Random(5)
     word = lambda: r.choice("abcdefghij") + str(r.randrange(400))
     rows, passage = [], [word() for _ in range(60)]
