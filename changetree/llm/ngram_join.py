@@ -34,10 +34,10 @@ from .words import column_texts, mix, shingle_set, texts_words
 U = np.uint64
 #: Similarity in percent.
 SIMILAR = 80
-#: Shingles that go last in the order, at most; they are broadcast (1 MB). Any order gives the same links.
-MOST_FREQUENT = 1 << 17
+#: Shingles that go last in the order, at most; they are broadcast (12 MB). Any order gives the same links.
+MOST_FREQUENT = 1 << 20
 #: A shingle is counted as frequent where so many different sets of one batch hold it.
-FREQUENT_IN_BATCH = 8
+FREQUENT_IN_BATCH = 2
 #: Shingles in such a batch, about.
 FREQUENT_BATCH = 1 << 21
 #: Lists of more rows are paired in cells, by blocks of about so many rows.
@@ -92,10 +92,10 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
         if held + n > MOST_FREQUENT:
             break
         cut, held = level, held + n
-    rows = counts.where(F.floor(F.log2("n")) >= cut).toPandas()
-    token, n = rows["token"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.int64)
+    rows = counts.where(F.floor(F.log2("n")) >= cut).toArrow()
+    token, n = rows["token"].to_numpy().view(U), rows["n"].to_numpy()
     order = np.argsort(token)
-    ranks = np.empty(len(token), np.int64)
+    ranks = np.empty(len(token), np.int32)
     ranks[np.lexsort((token, n))] = np.arange(len(token))
     dropped(counts)
     return token[order], ranks[order], n[order]
@@ -150,7 +150,7 @@ def _keys(width: int, shared):
 
 
 def _postings(shared):
-    """Arrow batches of (id, n, prefix) to (token, part, id, n). The list of a very frequent shingle is dealt out in
+    """Arrow batches of (id, n, prefix) to (token, part, id, n, place); place is the shingle's in its set, from 0. The list of a very frequent shingle is dealt out in
     parts, numbered from 1; others have part 0."""
 
     def run(batches):
@@ -160,6 +160,7 @@ def _postings(shared):
             lengths = [len(x) for x in tokens]
             ids, n = (np.repeat(batch.column(k).to_numpy(), lengths) for k in (0, 1))
             flat = np.concatenate([np.empty(0, U), *tokens])
+            place = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in lengths)])
             part = np.zeros(len(flat), np.int32)
             if len(often):
                 at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
@@ -167,8 +168,8 @@ def _postings(shared):
                 part[hit] = 1 + mix(ids[hit].view(U)) % parts[at[hit]].astype(U)
             for k in range(0, len(flat), 1 << 16):
                 cut = slice(k, k + (1 << 16))
-                columns = [pa.array(flat[cut].view(np.int64)), pa.array(part[cut]), pa.array(ids[cut]), pa.array(n[cut])]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "part", "id", "n"])
+                columns = [pa.array(flat[cut].view(np.int64)), pa.array(part[cut]), pa.array(ids[cut]), pa.array(n[cut]), pa.array(place[cut])]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "part", "id", "n", "place"])
 
     return run
 
@@ -176,7 +177,7 @@ def _postings(shared):
 def _shared_lists(batches):
     """Rows sorted by (token, part, id): those of lists with two rows or more, and all that have a part. Only the last
     row is kept from one batch to the next."""
-    names, last, told = ["token", "part", "id", "n"], None, True
+    names, last, told = ["token", "part", "id", "n", "place"], None, True
     for pdf in batches:
         rows = pdf[names].to_numpy(np.int64)
         if not len(rows):
@@ -208,17 +209,18 @@ def _stars(batches):
         key, head, size = (t[-1], p[-1], s[-1]), heads[-1], sizes[-1]
 
 
-def _counted_pairs(batches):
-    """Arrow batches of (token, cell, block, once, id, n, component), sorted by token and cell, to (a, b, na, nb, c): the
-    pairs of a cell that lie in different components and are of sizes that can link, with the number of cells they meet in. A cell
-    has a bounded number of rows; rows of the last one are carried on from batch to batch."""
-    names = ["token", "cell", "block", "once", "id", "n", "component"]
+def _met_pairs(batches):
+    """Arrow batches of (token, cell, block, once, id, n, place, component), sorted by token and cell, to pairs (a, b): those of a
+    cell that lie in different components and can link if this shingle is the first they share, which leaves
+    each of them as many shingles from this place on as the pair has to share. A cell has a bounded number of rows; rows
+    of the last one are carried on from batch to batch."""
+    names = ["token", "cell", "block", "once", "id", "n", "place", "component"]
     held = {c: np.empty(0, np.int64) for c in names}
     found, size = [], 0
 
     def met(cut: int):
         """Pairs of the first cut rows, which are whole cells: each row with the next, the one after it, and so on."""
-        t, cell, block, once, i, n, comp = (held[c][:cut] for c in names)
+        t, cell, block, once, i, n, place, comp = (held[c][:cut] for c in names)
         left, step = np.arange(cut), 0
         while len(left):
             step += 1
@@ -226,25 +228,19 @@ def _counted_pairs(batches):
             right = left + step
             same = (t[left] == t[right]) & (cell[left] == cell[right])
             left, right = left[same], right[same]
-            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            fits = (comp[left] != comp[right]) & (100 * low >= SIMILAR * high) & ((once[left] == 1) | (block[left] != block[right]))
-            x, y = left[fits], right[fits]
+            need = required(n[left], n[right])
+            fits = (n[left] - place[left] >= need) & (n[right] - place[right] >= need)
+            fits &= (comp[left] != comp[right]) & ((once[left] == 1) | (block[left] != block[right]))
+            x, y = i[left[fits]], i[right[fits]]
             if len(x):
-                turn = i[x] > i[y]
-                x, y = np.where(turn, y, x), np.where(turn, x, y)
-                yield np.stack((i[x], i[y], n[x], n[y], np.ones(len(x), np.int64)))
+                yield np.stack((np.minimum(x, y), np.maximum(x, y)))
 
-    def summed():
+    def told():
         rows = np.concatenate(found, axis=1)
         rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        starts = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
-        out = rows[:, starts]
-        out[4] = np.add.reduceat(rows[4], starts)
-        return out
-
-    def told(rows):
+        rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]
         for k in range(0, rows.shape[1], 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in rows], ["a", "b", "na", "nb", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in rows], ["a", "b"])
 
     def taken(cut: int):
         nonlocal found, size
@@ -252,11 +248,8 @@ def _counted_pairs(batches):
             found.append(rows)
             size += rows.shape[1]
             if size > PAIRS_HELD:
-                found = [summed()]
-                size = found[0].shape[1]
-                if size > PAIRS_HELD // 2:
-                    yield from told(found[0])
-                    found, size = [], 0
+                yield from told()
+                found, size = [], 0
 
     for batch in batches:
         held = {c: np.concatenate((held[c], batch.column(k).to_numpy().astype(np.int64))) for k, c in enumerate(names)}
@@ -267,19 +260,19 @@ def _counted_pairs(batches):
             held = {c: x[cut:] for c, x in held.items()}
     yield from taken(len(held["id"]))
     if found:
-        yield from told(summed())
+        yield from told()
     give_back()
 
 
 def in_cells(rows: DataFrame) -> DataFrame:
-    """Lists (token, id, n, component) cut into cells of about 2 CELL rows at most, such that any two rows of a list that are in different
+    """Lists (token, id, n, place, component) cut into cells of about 2 CELL rows at most, such that any two rows of a list that are in different
     components share exactly one cell. Lists of one component have none. A longer list is cut into blocks,
     those of its largest component apart from the others; that component's blocks meet the others only, so
     a list costs in proportion to its length times the number of rows outside of its largest component."""
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "k")
     lists = persisted(lists)
     rows = rows.join(lists, "token")
-    short = rows.where(F.col("k") <= CELL).select("token", F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("once"), "id", "n", "component")
+    short = rows.where(F.col("k") <= CELL).select("token", F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("once"), "id", "n", "place", "component")
     long = rows.where(F.col("k") > CELL)
     by_component = long.groupBy("token", "k", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = by_component.groupBy("token").agg(F.max(F.struct("m", "component")).alias("x"), F.max("k").alias("k"))
@@ -290,7 +283,7 @@ def in_cells(rows: DataFrame) -> DataFrame:
     cut = cut.withColumn("block", own).withColumn("partner", partner)
     cut = cut.select(
         "token", (F.least("block", "partner") * (F.col("others") + F.col("mains")) + F.greatest("block", "partner")).alias("cell"), "block",
-        (F.col("block") == F.col("partner")).cast("int").alias("once"), "id", "n", "component",
+        (F.col("block") == F.col("partner")).cast("int").alias("once"), "id", "n", "place", "component",
     )
     return short.unionByName(cut)
 
@@ -390,11 +383,11 @@ def _enough(c: str, na: str, nb: str) -> str:
 def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) between class representatives that connect exactly what links connect.
 
-    postings has token, part, id, n of the representatives' short lists; texts has id, text; sketches id, n,
+    postings has token, part, id, n, place of the representatives' short lists; texts has id, text; sketches id, n,
     sketch."""
     verify = Verifier(texts, sketches, width)
     dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "id")
-    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, part int, id long, n long"))
+    lists = persisted(dealt.mapInPandas(_shared_lists, "token long, part int, id long, n long, place int"))
     # 1: members of a list against the most central one of about their size: the one most of whose short part is shared
     central = lists.groupBy("id").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
     ranked = lists.withColumn("bucket", F.floor(F.log("n") / math.log(100 / SIMILAR))).join(central, "id")
@@ -411,13 +404,12 @@ def links(texts: DataFrame, postings: DataFrame, sketches: DataFrame, width: int
     first = first.unionByName(heads.join(top, ["token", "bucket"]).select(F.col("top.id").alias("a"), F.col("head.id").alias("b")).where("a <> b"))
     stars = verify(persisted(first.distinct()))
     dropped(met)
-    # 2: whatever else meets in a list, is still apart and meets often enough
+    # 2: whatever else meets early enough in a list and is still apart
     apart = persisted(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    rows = persisted(lists.join(apart, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")))
+    rows = persisted(lists.join(apart, "id", "left").select("token", "id", "n", "place", F.coalesce("component", "id").alias("component")))
     dropped(lists, apart)
     cells = in_cells(rows).repartition("token", "cell").sortWithinPartitions("token", "cell")
-    counted = cells.mapInArrow(_counted_pairs, "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    near = persisted(counted.where(_enough("c", "na", "nb")).select("a", "b"))
+    near = persisted(cells.mapInArrow(_met_pairs, "a long, b long").distinct())
     dropped(rows)
     last = verify(near)
     return persisted(stars.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -444,7 +436,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = persisted(classes.where("size > 1").drop("size"))
     copies = persisted(solid.select("id", "a", "b").join(repeated, ["a", "b"]).where("id <> class_id").select("id", "a", "b"))
     heads = solid.join(copies, ["id", "a", "b"], "left_anti").select("id", "n", "prefix")
-    postings = heads.mapInArrow(_postings(in_parts), "token long, part int, id long, n long")
+    postings = heads.mapInArrow(_postings(in_parts), "token long, part int, id long, n long, place int")
     edges = links(texts.where("id IS NOT NULL"), postings, solid.select("id", "n", "sketch"), width)
     # one id with different texts joins its classes
     twice = solid.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
