@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from functools import lru_cache
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import give_back, persisted, small_batches, table
-from .token_counts import Remembered, default_tokenizer
+from .token_counts import Counter, Remembered, default_tokenizer
 
 #: Choices of (groups of equal cardinality, share of a sequence beyond which a length is large). A plan is
 #: made of each, on the histogram, and the one with the fewest sequences is used.
@@ -32,27 +33,41 @@ CHOICES = [(16, 1 / 4), (48, 1 / 4), (48, 1 / 8), (128, 1 / 4)]
 
 
 class Ids:
-    """Token ids of texts as bytes, by the library. White space, which the tokenizer drops, never is inside a
-    token or a special token, so a text's ids are those of its stretches between white space; a stretch is encoded once."""
+    """Token ids of texts as bytes, by the library: a text's ids are those of its words as the tokenizer splits them and of the
+    added tokens' strings between them. Words are looked up, many texts at a time; only new ones are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.known = Remembered()
-        self.not_space = regex.compile("[\\x1c-\\x1f]").search  # split() splits here, the tokenizer doesn't
+        self.library, self.counter, self.known = Tokenizer.from_file(path), Counter(path), Remembered()
+        self.added = regex.compile(f"({self.counter.added.pattern})")
 
-    def of(self, text: str) -> bytes:
-        return b"".join(self.known.all([text] if self.not_space(text) else text.split(), self.encode))
+    def words(self, text: str) -> list[str]:
+        if "<" not in text:
+            return self.counter.pieces(text)
+        out = []
+        for k, part in enumerate(self.added.split(text)):
+            out += [part] if k % 2 else self.counter.pieces(part)
+        return out
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        parts = [self.words(t) for t in texts]
+        found = iter(self.known.all([*chain.from_iterable(parts)], self.encode))
+        return [b"".join(islice(found, len(x))) for x in parts]
 
-    def encode(self, stretches: list[str]):
-        """The ids of each stretch, many in one call; offsets tell where each begins."""
-        for k in range(0, len(stretches), 1024):
-            part = stretches[k : k + 1024]
+    def encode(self, words: list[str]):
+        """The ids of each word, many in one call. The library tells each id's word, or, where an added token's string is
+        among them, where it begins."""
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
             got = self.library.encode(" ".join(part), add_special_tokens=False)
-            starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
-            cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in part])[:-1])
-            yield from (x.tobytes() for x in np.split(np.array(got.ids, "<u4"), cuts))
+            data, owners = np.array(got.ids, "<u4").tobytes(), got.word_ids
+            if None in owners or owners[-1] != len(part) - 1:
+                starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
+                cuts = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in part)])) * 4
+            else:
+                cuts = np.searchsorted(np.array(owners), np.arange(len(part) + 1)) * 4
+            yield from (data[a:b] for a, b in pairwise(cuts.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -60,6 +75,12 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+def slabs(column, rows: int = 256):
+    """The texts of an Arrow column (null: empty), few at a time."""
+    for k in range(0, len(column), rows):
+        yield [t or "" for t in column.slice(k, rows).to_pylist()]
+
+
 def _cut(path: str, budget: int, end_id: int):
     """Arrow batches of (id, text) to pieces, each with its partition and its rank there within its length."""
     tail = np.array([end_id], "<u4").tobytes()
@@ -68,8 +89,8 @@ def _cut(path: str, budget: int, end_id: int):
         part, ranks, ids = TaskContext.get().partitionId(), {}, ids_of(path)
         for batch in batches:
             at, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = ids.of(text or "") + tail
+            for i, data in enumerate(chain.from_iterable(map(ids.of_all, slabs(batch.column(1))))):
+                data += tail
                 for k in range(0, len(data), 4 * budget):
                     cut = data[k : k + 4 * budget]
                     n = len(cut) // 4

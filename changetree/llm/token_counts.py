@@ -15,6 +15,7 @@ gives the state and the count behind every chunk."""
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import cached_property, lru_cache
 
@@ -28,7 +29,12 @@ from .common import free_name, small_batches, table
 #: Characters in a chunk; a scan over a text's chunks composes their maps.
 CHUNK = 1 << 16
 #: Words and states that a task keeps; beyond it the tables start anew. Bounds memory, not results.
-MOST_WORDS, MOST_STATES = 1 << 18, 1 << 17
+MOST_WORDS, LONG_WORD, MOST_STATES = 1 << 18, 64, 1 << 17
+
+
+# The word pattern of the vocabulary file, and what it is on lower-case ASCII text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_WORDS = r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \t-\ra-z0-9]+"
 
 
 @lru_cache(maxsize=1)
@@ -42,25 +48,28 @@ def byte_symbols() -> list[str]:
 
 class Remembered:
     """What was found for words before. When MOST_WORDS are held the table becomes the old one, from which
-    words that turn up again are taken over, and a new one starts."""
+    words that turn up again are taken over, and a new one starts. Words of more than LONG_WORD characters are
+    found anew each time, so the tables are bounded in bytes too."""
 
     def __init__(self):
         self.now: dict = {}
         self.old: dict = {}
 
-    def all(self, words: list[str], find):
+    def all(self, words: list[str], find) -> list:
         """The values of all words, in order; find gets a list of new words and gives their values."""
-        try:
-            return [*map(self.now.__getitem__, words)]
-        except KeyError:
-            if len(self.now) > MOST_WORDS:
-                self.now, self.old = {}, self.now
-            now, old = self.now, self.old
-            missing = set(words).difference(now)
+        if len(self.now) > MOST_WORDS:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        missing = set(words).difference(now)
+        if missing:
             now.update((w, old[w]) for w in missing if w in old)
             if new := [w for w in missing if w not in now]:
                 now.update(zip(new, find(new)))
-            return [*map(now.__getitem__, words)]
+        out = [*map(now.__getitem__, words)]
+        for w in missing:
+            if len(w) > LONG_WORD:
+                del now[w]
+        return out
 
 
 class Transducer:
@@ -186,6 +195,8 @@ class Counter:
         if spec["model"]["type"] != "BPE" or not (split["behavior"] == "Removed" and split["invert"]) or not all(p["type"] in ("NFC", "Lowercase", "Replace") for p in parts):
             raise ValueError("only byte-level BPE files that keep the matches of one pattern are compiled")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
+        known = self.lower and split["pattern"]["Regex"] == WORD_PATTERN
+        self.ascii_words = re.compile(ASCII_WORDS).findall if known else self.words
         self.added = regex.compile("|".join(regex.escape(a["content"]) for a in spec["added_tokens"]) or r"(?!)")
         self.model = spec["model"]
         self.space = regex.compile(r"\s")
@@ -197,7 +208,7 @@ class Counter:
     def pieces(self, text: str) -> list[str]:
         """The words of a text without added tokens' strings; white space never is inside a word."""
         if text.isascii():
-            return self.words(text.lower() if self.lower else text)
+            return self.ascii_words(text.lower() if self.lower else text)
         if self.nfc:
             text = unicodedata.normalize("NFC", text)
         if self.lower:
