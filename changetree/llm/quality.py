@@ -1,10 +1,12 @@
 """Operator 10, quality classifier: positive-unlabelled learning with a non-negative risk.
 
-A small network over shape features of a text is trained on trusted positives and unlabelled web text:
-its risk is prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0)), whose
-second part would turn negative by overfitting and is kept from it. The class prior is estimated from
-the labels. Training takes bounded samples (a documented parameter); features and scores are computed
-in Spark tasks for every whole text."""
+A text's shape features, standardised over all texts, and fixed random combinations of them feed a linear score. Its risk is
+prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0)), whose second part would turn
+negative by overfitting and is kept from it. With the squared loss every part depends on the data only through
+first and second moments, so Spark sums these over all positives and all unlabelled texts, and the minimum is
+found exactly: it solves a linear system for a weight of the second part that is 1, or less where that part would be
+negative. The class prior is estimated from the labels; a bounded sample of labelled rows (a documented parameter)
+turns scores into probabilities."""
 
 from __future__ import annotations
 
@@ -12,11 +14,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, table
+from .common import dropped, free_name, persisted, small_batches, table
 from .words import texts_words
 
 #: Groups of bytes whose shares are features.
@@ -81,54 +84,44 @@ def features(texts) -> np.ndarray:
 
 
 class Model:
-    """features -> standardised -> one hidden layer -> calibrated probability."""
-
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 48, steps: int = 3000, batch: int = 512, rate: float = 2e-3, seed: int = 7):
-        both = np.concatenate((positive, unlabelled))
-        self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-        rng, d = np.random.default_rng(seed), both.shape[1]
-        self.weights = [rng.normal(0, (2 / d) ** 0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, hidden), np.zeros(1)]
-        self.slope, self.offset, self.prior = 1.0, 0.0, prior
-        p, u = self.standard(positive), self.standard(unlabelled)
-        m = [np.zeros_like(w) for w in self.weights]
-        v = [np.zeros_like(w) for w in self.weights]
-        for step in range(1, steps + 1):
-            xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-            grads = self.gradient(xp, xu, prior)
-            for w, g, a, b in zip(self.weights, grads, m, v):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                w -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8) + rate * 1e-4 * w
-
-    def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+    """features -> standardised -> fixed random combinations -> linear score -> calibrated probability."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, hidden: int = 128, seed: int = 7):
+        rng, d = np.random.default_rng(seed), len(mean)
+        self.mean, self.scale = mean, scale
+        self.mixed, self.shift = rng.normal(0, 1.5 / d**0.5, (d, hidden)), rng.normal(0, 1, hidden)
+        self.weights = np.zeros(1 + d + hidden)
+        self.slope, self.offset = 1.0, 0.0
+
+    def basis(self, x: np.ndarray) -> np.ndarray:
+        """A row of inputs of the linear score for each row of features."""
+        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        return np.concatenate((np.ones((len(z), 1)), z, np.tanh(z @ self.mixed + self.shift)), axis=1)
+
+    def fit(self, mean_p: np.ndarray, square_p: np.ndarray, mean_u: np.ndarray, square_u: np.ndarray, prior: float) -> None:
+        """The minimum of the non-negative risk, from the moments of positives and of unlabelled texts."""
+        ridge = 1e-3 * np.eye(len(mean_p))
+
+        def at(part: float) -> tuple[np.ndarray, float]:
+            """Weights that minimise the risk with so much of its second part, and that part's value."""
+            w = np.linalg.solve(prior * (1 - part) * square_p + part * square_u + ridge, prior * (1 + part) * mean_p - part * mean_u)
+            return w, float(1 + 2 * w @ mean_u + w @ square_u @ w - prior * (1 + 2 * w @ mean_p + w @ square_p @ w)) / 4
+
+        self.weights, rest = at(1.0)
+        if rest < 0:
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                part = (low + high) / 2
+                self.weights, rest = at(part)
+                low, high = (part, high) if rest > 0 else (low, part)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2 = self.weights
-        return np.tanh(x @ w1 + b1) @ w2 + b2[0]
-
-    def gradient(self, xp: np.ndarray, xu: np.ndarray, prior: float) -> list[np.ndarray]:
-        """Of the non-negative unbiased risk with sigmoid loss; where its second part is negative, the
-        step goes against that part alone."""
-        zp, zu = self.margin(xp), self.margin(xu)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        rest = su.mean() - prior * sp.mean()
-        dp, du = -prior * sp * (1 - sp) / len(zp), np.zeros(len(zu))
-        part_p, part_u = -prior * sp * (1 - sp) / len(zp), su * (1 - su) / len(zu)
-        dp, du = (dp + part_p, part_u) if rest >= 0 else (-part_p, -part_u)
-        w1, b1, w2, _ = self.weights
-        out = [np.zeros_like(w) for w in self.weights]
-        for x, dz in ((xp, dp), (xu, du)):
-            h = np.tanh(x @ w1 + b1)
-            back = dz[:, None] * w2 * (1 - h * h)
-            for o, g in zip(out, (x.T @ back, back.sum(axis=0), h.T @ dz, dz.sum(keepdims=True))):
-                o += g
-        return out
+        return self.basis(x) @ self.weights
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Slope and offset of the probability, by Newton steps on labelled rows of both classes."""
         if len(y) and 0 < y.mean() < 1:
-            z = self.margin(self.standard(x))
+            z = self.margin(x)
             a = np.stack((z, np.ones_like(z)), 1)
             w = np.array([1.0, 0.0])
             for _ in range(50):
@@ -139,8 +132,7 @@ class Model:
                 self.slope, self.offset = map(float, w)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        z = self.slope * self.margin(self.standard(x)) + self.offset
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.offset, -30, 30)))
 
 
 def held_out(id_col: Column) -> Column:
@@ -154,33 +146,73 @@ def _features(texts: pd.Series) -> pd.Series:
     return pd.Series([*features(texts)])
 
 
-def _sampled(df: DataFrame, bound: int, by: str) -> DataFrame:
-    """All of df's rows, or about bound of them chosen by a hash of the column."""
-    n = df.count()
-    share = 1.0 if n <= bound else bound / n
-    return df if share >= 1 else df.where(F.pmod(F.xxhash64(by, F.lit("sample")), F.lit(1 << 24)) < int(share * (1 << 24)))
+#: Rows of sums that come to the driver at most.
+SUMS = 64
 
 
-def _matrix(df: DataFrame) -> np.ndarray:
-    return np.array([r[0] for r in df.select(_features("text")).collect()], np.float64).reshape(-1, N_FEATURES)
+def sums(rows: DataFrame, of) -> dict[str, np.ndarray]:
+    """For each kind of rows (kind, x) the sum of of(matrix of x), which is a flat array of a fixed length. Tasks add up
+    their rows, SUMS others these sums, so what comes to the driver has a fixed bound."""
+    layout = "kind string, part int, total binary"
+
+    def batch_sums(batches):
+        out, part = {}, TaskContext.get().partitionId() % SUMS
+        for pdf in batches:
+            for kind, group in pdf.groupby("kind", sort=False):
+                x = np.stack(group["x"].to_numpy()).astype(np.float64)
+                out[kind] = out.get(kind, 0) + of(x)
+        yield pd.DataFrame([(k, part, v.tobytes()) for k, v in out.items()], columns=["kind", "part", "total"])
+
+    def summed(batches):
+        out = {}
+        for pdf in batches:
+            for kind, total in zip(pdf["kind"], pdf["total"]):
+                out[kind] = out.get(kind, 0) + np.frombuffer(total)
+        yield pd.DataFrame([(k, 0, v.tobytes()) for k, v in out.items()], columns=["kind", "part", "total"])
+
+    found: dict[str, np.ndarray] = {}
+    for kind, _, total in rows.mapInPandas(batch_sums, layout).repartition(SUMS, "part").mapInPandas(summed, layout).collect():
+        found[kind] = found.get(kind, 0) + np.frombuffer(total)
+    return found
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_rows: int) -> Model | None:
-    """The model, from about most_rows rows at most of each of positives, unlabelled and labelled text;
-    None without positives or without text."""
+    """The model, from the moments of all texts and of all positives of the learning folds; None without positives.
+    Calibration takes about most_rows labelled rows at most."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.select(F.col("doc_id").alias("id"), "quality").where(F.col("quality").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("quality").alias("quality"))
-    totals = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
-    if not totals[1]:
-        return None
-    rows = texts.join(_sampled(known, most_rows, "id"), "id").select(_features("text").alias("x"), "quality").collect()
-    x, y = np.array([r[0] for r in rows], np.float64).reshape(-1, N_FEATURES), np.array([r[1] for r in rows], float)
-    unlabelled = _matrix(_sampled(texts, most_rows, "id"))
-    if not len(unlabelled) or not (y == 1).any():
+    known = labels.select(F.col("doc_id").alias("id"), "quality").where(F.col("quality").isin(0, 1) & ~held_out(F.col("id")))
+    known = persisted(known.groupBy("id").agg(F.max("quality").cast("int").alias("quality")))
+    rows = persisted(texts.select("id", _features("text").alias("x")))
+    labelled = persisted(rows.join(known, "id").select("id", "x", "quality"))
+    n, n_good = labelled.agg(F.count(F.lit(1)), F.sum("quality")).first()
+    if not n_good:
         return None
-    prior = min(0.98, max(0.02, totals[1] / totals[0])) if totals[1] < totals[0] else 0.5
-    model = Model(x[y == 1], unlabelled, prior)
-    model.calibrate(x, y)
+    kinds = rows.select(F.lit("all").alias("kind"), "x").unionByName(labelled.where("quality = 1").select(F.lit("good").alias("kind"), "x"))
+    count, total, squares = np.split(sums(rows.select(F.lit("all").alias("kind"), "x"), _spread)["all"], [1, 1 + N_FEATURES])
+    mean = total / count
+    model = Model(mean, np.sqrt(np.maximum(squares / count - mean**2, 0)) + 1e-3)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        b = shared.value.basis(x)
+        return np.concatenate(([len(b)], b.sum(axis=0), (b.T @ b).ravel()))
+
+    found = sums(kinds, moments)
+    parts = []
+    for kind in ("good", "all"):
+        m, first, second = np.split(found[kind], [1, 1 + len(model.weights)])
+        parts += [first / m, second.reshape(len(first), -1) / m]
+    model.fit(*parts, prior=min(0.98, max(0.02, n_good / n)) if n_good < n else 0.5)
+    if n > most_rows:  # by a hash of the row: of an id repeated often, each row counts by itself only if its text differs
+        labelled = labelled.where(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 24)) < int(most_rows / n * (1 << 24)))
+    some = sorted((r.id, r.quality, r.x) for r in labelled.orderBy(F.xxhash64("id", "x")).limit(2 * most_rows).collect() if r.id is not None)
+    if some:
+        model.calibrate(np.array([r[2] for r in some], np.float64).reshape(-1, N_FEATURES), np.array([r[1] for r in some], float))
+    dropped(known, rows, labelled)
     return model
 
 
@@ -190,8 +222,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     labels has doc_id and quality; of an id's several labels the largest counts, null ids and labels are not
     used. Null and empty texts are scored as a text without features; without a usable positive label every score is 0.5.
-    Repeated rows get equal scores; an empty table gives an empty result. Training takes about
-    most_rows rows of each kind, chosen by a hash of the id; everything else covers all rows."""
+    Repeated rows get equal scores; an empty table gives an empty result. Scores don't depend on the order of rows. Calibration
+    takes about most_rows labelled rows, chosen by a hash (twice as many at most); everything else covers all rows."""
     small_batches(docs.sparkSession)
     held, score, predicted = (free_name(docs, c) for c in ("held_out", "score", "predicted"))
     model = fit(docs, labels, id_col, text_col, most_rows)
