@@ -28,31 +28,36 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines it covers go. A null id sorts before all others; a null text counts as empty and stays null. Rows that
     repeat both id and text count as one document. An empty table gives an empty result."""
     out_text, n_lines, n_removed = (free_name(docs, c) for c in ("text_deduped", "n_lines", "n_removed"))
+    g_id, g_th, g_key, g_lines = (free_name(docs, c) for c in ("g_id", "g_th", "g_key", "g_lines"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     places = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
     trimmed = F.transform("lines", lambda x, i: F.struct(F.regexp_replace(x, BLANKS, "").alias("t"), i.alias("i")))
-    places = places.withColumn("solid", F.filter(trimmed, lambda x: x["t"] != "")).where(F.size("solid") >= WINDOW)
+    places = places.select("id", "th", F.filter(trimmed, lambda x: x["t"] != "").alias("solid")).where(F.size("solid") >= WINDOW)
+    # the lists of first, second and third lines side by side
+    lines = [F.slice(F.col("solid"), F.lit(k + 1), F.size("solid") - (WINDOW - 1)) for k in range(WINDOW)]
+    two = F.zip_with(lines[0], lines[1], lambda x, y: F.struct(F.concat(x["t"], F.lit("\n"), y["t"]).alias("t"), x["i"].alias("i"), y["i"].alias("j")))
 
-    def window(x, k):
-        line = F.slice(F.col("solid"), k + 1, WINDOW)
-        joined = F.array_join(F.transform(line, lambda y: y["t"]), "\n")
-        return F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b"), F.transform(line, lambda y: y["i"]).alias("at"))
+    def window(x, y):
+        joined = F.concat(x["t"], F.lit("\n"), y["t"])
+        return F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b"), F.array(x["i"], x["j"], y["i"]).alias("at"))
 
-    starts = F.slice(F.col("solid"), F.lit(1), F.size("solid") - (WINDOW - 1))
-    windows = places.select("id", "th", F.explode(F.transform(starts, window)).alias("w")).select("id", "th", "w.a", "w.b", "w.at")
+    windows = places.select("id", "th", F.explode(F.zip_with(two, lines[2], window)).alias("w")).select("id", "th", "w.a", "w.b", "w.at")
     first = persisted(
         windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.col("at")[0].alias("line"))).alias("first")).where("n > 1")
     )
     later = windows.join(first, ["a", "b"]).where(~F.struct("id", F.col("at")[0].alias("line")).eqNullSafe(F.col("first")))
-    gone = later.select(F.col("id").alias("g_id"), F.col("th").alias("g_th"), F.explode("at").alias("i")).groupBy("g_id", "g_th").agg(F.collect_set("i").alias("g_lines"))
-    marked = docs.withColumn("g_key", F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col("g_id")) & (F.col("g_key") == F.col("g_th")), "left")
-    lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("g_lines", F.array().cast("array<int>")), i))
+    places = later.select(F.col("id").alias(g_id), F.col("th").alias(g_th), F.explode("at").alias("i"))
+    gone = places.groupBy(g_id, g_th).agg(F.sort_array(F.collect_set("i")).alias(g_lines))
+    marked = docs.withColumn(g_key, F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col(g_id)) & (F.col(g_key) == F.col(g_th)), "left")
+    # a flag for each line up to the last one that goes
+    steps = F.transform(F.sequence(F.lit(0), F.size(g_lines) - 1), lambda k: F.struct(F.get(g_lines, k).alias("at"), F.coalesce(F.get(g_lines, k - 1), F.lit(-1)).alias("last")))
+    flags = F.flatten(F.transform(steps, lambda x: F.concat(F.array_repeat(F.lit(False), x["at"] - x["last"] - 1), F.array(F.lit(True)))))
+    kept = F.zip_with(F.split(text, "\n"), flags, lambda line, goes: F.when(~F.coalesce(goes, F.lit(False)), line))  # array_join leaves nulls out
     return marked.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("g_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(out_text),
-        F.size(lines).cast("long").alias(n_lines),
-        F.coalesce(F.size("g_lines"), F.lit(0)).cast("long").alias(n_removed),
+        F.when(F.col(g_lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(out_text),
+        F.size(F.split(text, "\n")).cast("long").alias(n_lines),
+        F.when(F.col(g_lines).isNull(), F.lit(0)).otherwise(F.size(g_lines)).cast("long").alias(n_removed),
     )
 
 
