@@ -1,4 +1,4 @@
-"""Bloom filters of 64-bit hashes, built in Spark and of a fixed size."""
+"""Bloom filters of 64-bit hashes, built in Spark, of a size that the caller bounds."""
 
 from __future__ import annotations
 
@@ -35,8 +35,8 @@ def _filter_words(bits: int, probes: int):
 def build_filter(hashes: DataFrame, bits: int = 1 << 25, probes: int = 4) -> np.ndarray:
     """A filter of the column h, as bits / 64 words; that many rows at most come to the driver."""
     words = hashes.mapInPandas(_filter_words(bits, probes), "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
-    out, got = np.zeros(bits // 64, np.int64), words.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
+    out, got = np.zeros(bits // 64, np.int64), words.toArrow()
+    out[got["word"].to_numpy()] = got["mask"].to_numpy()
     return out.view(U)
 
 

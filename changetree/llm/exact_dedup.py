@@ -2,7 +2,7 @@
 
 Pass one deals 64-bit text hashes (never rows) to tasks, each of which inserts its share into a Bloom
 filter; a hash whose bits were all set before, or that a batch held twice, is possibly repeated and
-enters a second filter of fixed size. Pass two tests each row against that filter: rows that it does
+enters a second filter of bounded size. Pass two tests each row against that filter: rows that it does
 not know are unique and pass straight through, the others shuffle and are settled exactly by SHA-256.
 A false positive of either filter costs a shuffled row, never a wrong result."""
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build_filter, membership, positions
-from .common import collapse_space, free_name, persisted, table
+from .common import collapse_space, dropped, free_name, persisted, table
 
 U = np.uint64
 
@@ -40,14 +40,22 @@ def _possibly_repeated(bits: int, probes: int):
     return run
 
 
-def repeated_filter(hashes: DataFrame, filter_bits: int = 1 << 25, task_bits: int = 1 << 23, probes: int = 4) -> np.ndarray:
-    """The second Bloom filter, as 64-bit words. Its size is filter_bits (4 MB) whatever the input, so
-    what comes to the driver and is broadcast has a fixed bound; a fuller filter only lets more rows
-    shuffle. Each task of pass one holds task_bits flags (8 MB)."""
-    n = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Hashes that a task of pass one takes, about, and the bits of its filter: 1 % of the hashes pass by mistake.
+TASK_HASHES, TASK_BITS = 1 << 20, 1 << 23
+#: Bits of the second filter at most (32 MB).
+MOST_BITS = 1 << 28
+
+
+def repeated_filter(hashes: DataFrame, rows: int, most_bits: int = MOST_BITS, task_hashes: int = TASK_HASHES, task_bits: int = TASK_BITS, probes: int = 4) -> np.ndarray:
+    """The second Bloom filter, as 64-bit words. Pass one has a task for each task_hashes rows, so its filters are as
+    empty at any size of the input. The second filter has ten bits for each hash in it, up to most_bits; that bounds
+    what comes to the driver and is broadcast, and a fuller filter only lets more rows shuffle."""
+    n = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_hashes))
     firsts = hashes.mapInPandas(_batch_hashes, "h long, again boolean")
-    again = firsts.repartition(n, "h").mapInPandas(_possibly_repeated(task_bits, probes), "h long")
-    return build_filter(again, filter_bits, probes)
+    again = persisted(firsts.repartition(n, "h").mapInPandas(_possibly_repeated(task_bits, probes), "h long"))
+    words = build_filter(again, min(most_bits, max(1 << 16, 1 << (10 * again.count()).bit_length())), probes)
+    dropped(again)
+    return words
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
@@ -59,24 +67,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat the kept row's id and text are all marked kept (keep_first leaves one of them). An empty table gives an empty result."""
     spark = docs.sparkSession
     keep, size, kept, sha = (free_name(docs, c) for c in ("keep_id", "group_size", "kept", "text_sha256"))
-    maybe = free_name(docs, "maybe_repeated")
+    maybe, g_sha, g_keep, g_size = (free_name(docs, c) for c in ("maybe_repeated", "g_sha", "g_keep", "g_size"))
     digest = F.sha2(collapse_space(F.col(text_col)).cast("binary"), 256)
 
     def h64(hexed: Column) -> Column:
         """The first 60 bits of a hex digest."""
         return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
 
-    words = repeated_filter(docs.select(h64(digest).alias("h")), **filter_options)
+    words = repeated_filter(docs.select(h64(digest).alias("h")), docs.count(), **filter_options)
     known = membership(spark, words, filter_options.get("probes", 4))
     marked = docs.withColumn(sha, digest).withColumn(maybe, known(h64(F.col(sha))))
     base = [F.col(f"`{c}`") for c in docs.columns] + [F.col(sha)]
     alone = marked.where(~F.col(maybe)).select(*base, F.col(id_col).alias(keep), F.lit(1).cast("long").alias(size), F.lit(True).alias(kept))
     some = marked.where(F.col(maybe))
     groups = persisted(
-        some.groupBy(F.col(sha).alias("g_sha")).agg(F.min(F.col(id_col)).alias("g_keep"), F.count(F.lit(1)).alias("g_size"))
+        some.groupBy(F.col(sha).alias(g_sha)).agg(F.min(F.col(id_col)).alias(g_keep), F.count(F.lit(1)).alias(g_size))
     )
-    joined = some.join(groups, F.col(sha) == F.col("g_sha"))
-    settled = joined.select(*base, F.col("g_keep").alias(keep), F.col("g_size").alias(size), F.col(id_col).eqNullSafe(F.col("g_keep")).alias(kept))
+    joined = some.join(groups, F.col(sha) == F.col(g_sha))
+    settled = joined.select(*base, F.col(g_keep).alias(keep), F.col(g_size).alias(size), F.col(id_col).eqNullSafe(F.col(g_keep)).alias(kept))
     return alone.unionByName(settled)
 
 
