@@ -8,8 +8,6 @@ a larger benchmark makes more blocks, never a larger broadcast."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,47 +42,60 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
         return mix(h)
 
 
+def masks_of(words: np.ndarray) -> list[str]:
+    """The masks for an item: MASKS, or all of its words where they are fewer than the shortest mask's."""
+    return MASKS if len(words) >= min(map(len, MASKS)) else ["1" * len(words)]
+
+
 class Block:
     """Some benchmark items: their words, and their seeds sorted by hash with item and place."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
-        found = [(h, i, p) for i, (_, words) in enumerate(items) for m in MASKS for p, h in enumerate(seeds(words, m).tolist())]
+        found = [(h, i, p) for i, (_, words) in enumerate(items) for m in masks_of(words) for p, h in enumerate(seeds(words, m).tolist())]
         found.sort()
+        self.masks = sorted({m for _, words in items for m in masks_of(words)})
         self.hashes = np.array([f[0] for f in found], U)
         self.item, self.place = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
         self.sieve = np.zeros(SIEVE, bool)
         self.sieve[(self.hashes % U(SIEVE)).astype(np.int64)] = True
 
-    def overlaps(self, words: np.ndarray) -> dict[int, tuple[int, int]]:
-        """For each item hit in a text: (words that agree, where the item begins) at its best place."""
-        starts = set()
-        for m in MASKS:
+    def starts(self, words: np.ndarray) -> np.ndarray:
+        """(item, where it would begin) of every hit, each once, in order; some hits at a time are spread out."""
+        out = [np.empty(0, np.int64)]  # item and start in one number
+        for m in self.masks:
             h = seeds(words, m)
-            at = np.flatnonzero(self.sieve[(h & U(SIEVE - 1)).astype(np.int64)]) if len(h) else h
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            for k in np.flatnonzero(high > low):
-                for j in range(low[k], high[k]):
-                    starts.add((int(self.item[j]), int(at[k] - self.place[j])))
-        best: dict[int, tuple[int, int]] = defaultdict(lambda: (0, 0))
-        for i, start in sorted(starts):
+            at = np.flatnonzero(self.sieve[(h & U(SIEVE - 1)).astype(np.int64)]) if len(h) else np.empty(0, np.int64)
+            low, high = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
+            at, low, n = (x[high > low] for x in (at, low, high - low))
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) >> 18)) + 1):
+                times = n[part]
+                j = np.repeat(low[part] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                out.append(np.unique((self.item[j] << 40) + np.repeat(at[part], times) - self.place[j] + (1 << 39)))
+        found = np.unique(np.concatenate(out))
+        return np.stack((found >> 40, (found & ((1 << 40) - 1)) - (1 << 39)))
+
+    def overlaps(self, words: np.ndarray) -> dict[int, tuple[int, int]]:
+        """For each item hit in a text: (words that agree, where the item begins) at its best place, the first of equal ones."""
+        best: dict[int, tuple[int, int]] = {}
+        for i, start in self.starts(words).T.tolist():
             item = self.items[i][1]
+            if i in best and best[i][0] == len(item):
+                continue
             a, b = max(start, 0), min(start + len(item), len(words))
-            agree = int((words[a:b] == item[a - start : b - start]).sum())
-            if agree > best[i][0]:
+            agree = int(np.count_nonzero(words[a:b] == item[a - start : b - start]))
+            if agree > best.get(i, (0, 0))[0]:
                 best[i] = (agree, start)
         return best
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_seeds: int):
     """Blocks of about most_seeds seeds, in the order of items; rows come to the driver one partition
-    at a time. Items of fewer words than the shortest mask can't be found and are left out."""
-    shortest, held, size = min(map(len, MASKS)), [], 0
+    at a time. Items without words are left out."""
+    held, size = [], 0
     for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col).toLocalIterator():
         words = next(lowered([row[1]]))
-        if len(words) < shortest:
+        if not len(words):
             continue
         held.append((row[0], words))
         size += len(words) * len(MASKS)
@@ -104,7 +115,8 @@ def decontaminate(
     A document is contaminated when at least least_share of an item's words agree with the document's at one place
     (words are lower-cased and split at white space; substitutions are tolerated, shifts are not). n_items
     counts such items; item, agreeing and share describe the best one (most of its words agreeing, then
-    the smallest id) and are null without one. Null and empty texts, and null or too short items, match nothing.
+    the smallest id) and are null without one. Items of fewer than four words must agree whole. Null and
+    empty texts, and null or empty items, match nothing.
     Repeated rows are all kept; empty tables are allowed."""
     spark = docs.sparkSession
     small_batches(spark)
