@@ -18,12 +18,14 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is named, as in
-    tests, take a new temporary one."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Only where none is named and everything runs in
+    one process, as in tests, take a new temporary one; executors of a cluster couldn't read it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="changetree-checkpoint-"))
 
 
