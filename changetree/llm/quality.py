@@ -207,9 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_row
         m, first, second = np.split(found[kind], [1, 1 + len(model.weights)])
         parts += [first / m, second.reshape(len(first), -1) / m]
     model.fit(*parts, prior=min(0.98, max(0.02, n_good / n)) if n_good < n else 0.5)
-    if n > most_rows:  # by a hash of the row: of an id repeated often, each row counts by itself only if its text differs
-        labelled = labelled.where(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 24)) < int(most_rows / n * (1 << 24)))
-    some = sorted((r.id, r.quality, r.x) for r in labelled.orderBy(F.xxhash64("id", "x")).limit(2 * most_rows).collect() if r.id is not None)
+    share = min(1.0, most_rows / n)  # by a hash of id and features, so equal rows go together; hence the limit
+    chosen = labelled.where(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 24)) < int(share * (1 << 24)))
+    some = sorted((r.id, r.quality, r.x) for r in chosen.orderBy(F.xxhash64("id", "x")).limit(2 * most_rows).collect())
     if some:
         model.calibrate(np.array([r[2] for r in some], np.float64).reshape(-1, N_FEATURES), np.array([r[1] for r in some], float))
     dropped(known, rows, labelled)

@@ -230,6 +230,7 @@ def test_quality_edge_cases(spark, docs):
     rows = [(k, f"Some text number {k}.\nIt goes on." if k % 2 else "@@## !! 000 " * k) for k in range(30)] + [(None, None), (40, ""), (5, "x")]
     got = quality.quality_scores(docs(rows, ("score",)), known).collect()
     assert len(got) == len(rows) and all(0 <= r["score_"] <= 1 and r.predicted == (r["score_"] >= 0.5) for r in got)
+    assert len(quality.quality_scores(docs(rows, ("score",)), known, most_rows=5).collect()) == len(rows)
     assert {r["score_"] for r in quality.quality_scores(docs(rows, ("score",)), known.where("quality = 0")).collect()} == {0.5}
     assert quality.quality_scores(docs([]), known).collect() == []
 
