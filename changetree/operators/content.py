@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import collision_key, in_normal_form
+
 # Device names that no file may have, and characters that no name may hold.
 DEVICES = ["CON", "PRN", "AUX", "NUL", "CONIN$", "CONOUT$", *(f"{d}{n}" for d in ("COM", "LPT") for n in (*range(1, 10), "¹", "²", "³"))]
 FORBIDDEN = r'[\x00-\x1f<>:"/\\|?*]'
@@ -29,9 +31,11 @@ def quota_usage(docs: DataFrame, tenant: str, content: str, limit: int) -> DataF
 
 def name_problem(name: Column) -> Column:
     """The first rule of portable names that a name breaks, null if none."""
-    stem = F.upper(F.regexp_extract(name, r"^([^.]*)", 1))
+    stem = F.upper(F.rtrim(F.regexp_extract(name, r"^([^.]*)", 1)))
     return (
         F.when(F.coalesce(name, F.lit("")) == "", "empty")
+        .when(~F.is_valid_utf8(name), "invalid_utf8")
+        .when(~in_normal_form(name), "not_nfc")
         .when(F.octet_length(name) > NAME_BYTES, "too_long")
         .when(name.rlike(FORBIDDEN), "forbidden_character")
         .when(name.rlike(r"[. ]$"), "trailing_space_or_dot")
@@ -40,14 +44,14 @@ def name_problem(name: Column) -> Column:
 
 
 def portable_name_check(names: DataFrame, name: str) -> DataFrame:
-    """names with `problem`. Names outside ASCII aren't tested for their normal form here."""
+    """names with `problem`, the first rule that a name breaks."""
     return names.withColumn("problem", name_problem(F.col(name)))
 
 
 def sibling_collisions(objects: DataFrame) -> DataFrame:
-    """Groups of two or more different names under one parent that are equal but for case: parent, name_key,
-    n_names and the names in order. A group holds distinct names only."""
-    distinct = objects.select("parent", F.lower("name").alias("name_key"), "name").where(name_problem(F.col("name")).isNull()).distinct()
+    """Groups of two or more different names under one parent with one collision key: parent, name_key,
+    n_names and the names in order. A group holds distinct names only; objects are the active ones."""
+    distinct = objects.select("parent", collision_key(F.col("name")).alias("name_key"), "name").where(name_problem(F.col("name")).isNull()).distinct()
     return distinct.groupBy("parent", "name_key").agg(F.count(F.lit(1)).alias("n_names"), F.sort_array(F.collect_list("name")).alias("names")).where("n_names > 1")
 
 
@@ -76,3 +80,50 @@ def route_metrics(requests: DataFrame, ts: str, route: str, duration: str, faile
         .agg(F.count(F.lit(1)).alias("n_requests"), F.sum(failed.cast("long")).alias("n_failed"), F.round(F.avg(duration), 4).alias("mean_duration"), F.max(duration).alias("max_duration"))
         .select(F.col("w.start").alias("window_start"), "route", "n_requests", "n_failed", "mean_duration", "max_duration")
     )
+
+
+#: Bytes of a path.
+PATH_BYTES = 768
+
+
+def path_policy_check(paths: DataFrame, path: str, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """paths with `problem`, the first rule that a path breaks, and `part`, the place of the component it lies in (null where it is the whole path's). reserved
+    holds names that no path may begin with; they are compared by collision key."""
+    p = F.col(path)
+    parts = paths.select(p.alias("p_path")).distinct().select("p_path", F.posexplode(F.split("p_path", "/")).alias("part", "name"))
+    first = F.col("part") == 0
+    roots = F.coalesce(collision_key(F.when(first, F.col("name"))).isin(*[r.casefold() for r in reserved]), F.lit(False)) if reserved else F.lit(False)
+    part = F.when(F.col("name").isin("", ".", ".."), "empty_or_dots").otherwise(F.coalesce(name_problem(F.col("name")), F.when(roots, "reserved_root")))
+    bad = parts.withColumn("p_problem", part).where("p_problem IS NOT NULL").groupBy("p_path").agg(F.min(F.struct("part", "p_problem")).alias("b"))
+    whole = F.when(F.coalesce(p, F.lit("")) == "", "empty").when(F.octet_length(p) > PATH_BYTES, "too_long").when(p.startswith("/"), "leading_slash")
+    joined = paths.join(bad, p == F.col("p_path"), "left")
+    return joined.select(*paths.columns, F.coalesce(whole, F.col("b.p_problem")).alias("problem"), F.when(whole.isNull(), F.col("b.part")).alias("part"))
+
+
+def tag_index(docs: DataFrame) -> DataFrame:
+    """docs (doc_order, doc_id, tags) as tag_key, the name it is first shown by in document order, and the number of documents."""
+    tags = docs.select("doc_order", "doc_id", F.posexplode("tags").alias("at", "tag")).withColumn("tag_key", collision_key(F.col("tag")))
+    return tags.groupBy("tag_key").agg(F.min_by("tag", F.struct("doc_order", "doc_id", "at")).alias("tag"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+BARRED = r"(?i)<(script|style|iframe|object|embed|form|svg|base|meta)[\s>/]"
+HANDLER = r"(?i)\son[a-z]+\s*="
+
+
+def link_safety_audit(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """For each page its links, those that are refused (neither #... nor absolute with scheme http, https or mailto; relative ones are refused too), and its
+    barred elements and event handlers."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    links = F.regexp_extract_all(html, F.lit(LINK), 1)
+    refused = F.filter(links, lambda x: ~x.rlike(r"(?i)^(#|https?:|mailto:)"))
+    count = lambda pattern: F.regexp_count(html, F.lit(pattern)).cast("long")
+    return pages.select(id_col, F.size(links).cast("long").alias("n_links"), F.size(refused).cast("long").alias("n_refused"), count(BARRED).alias("n_barred"), count(HANDLER).alias("n_handlers"))
+
+
+def file_inventory(spark, root: str, note: str = ".md") -> DataFrame:
+    """Notes below a folder: path from there, size in bytes, content_hash, modified. Each file is read by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{note}").load(root)
+    path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    cut = F.length(F.lit("/" + root.split(":")[-1].strip("/") + "/"))
+    return files.select(F.substring(path, cut + 1, F.length(path)).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))

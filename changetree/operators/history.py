@@ -23,13 +23,19 @@ def state_as_of(log: DataFrame, frontiers: DataFrame) -> DataFrame:
 
 
 def change_feed_page(log: DataFrame, after: DataFrame, limit: int = 100) -> DataFrame:
-    """The next `limit` changes of each tenant behind its cursor (tenant, after; default 0), with has_more and
-    next_cursor of the page. Spark cuts each task's rows to limit + 1 a tenant before they shuffle."""
+    """The next `limit` (1 to 500) changes of each tenant behind its cursor (tenant, after; default 0), with has_more and
+    next_cursor of the page. A tenant of `after` without further changes gets one row of nulls with its cursor as next_cursor.
+    Spark cuts each task's rows to limit + 1 a tenant before they shuffle."""
+    if not 1 <= limit <= 500:
+        raise ValueError("a page has 1 to 500 changes")
     rank = F.row_number().over(W.partitionBy("tenant").orderBy("cursor"))
     page = log.join(after, "tenant", "left").where("cursor > coalesce(after, 0)").drop("after").withColumn("k", rank).where(F.col("k") <= limit + 1)
     whole = W.partitionBy("tenant")
     page = page.withColumn("has_more", F.max("k").over(whole) > limit).where(F.col("k") <= limit)
-    return page.withColumn("next_cursor", F.max("cursor").over(whole)).drop("k")
+    page = page.withColumn("next_cursor", F.max("cursor").over(whole)).drop("k")
+    behind = log.groupBy("tenant").agg(F.max("cursor").alias("last"))
+    empty = after.join(behind, "tenant", "left").where("last IS NULL OR last <= after")
+    return page.unionByName(empty.select("tenant", F.lit(False).alias("has_more"), F.col("after").alias("next_cursor")), allowMissingColumns=True)
 
 
 def revision_chain_audit(versions: DataFrame) -> DataFrame:
@@ -81,10 +87,11 @@ def monotonic_version_filter(rows: DataFrame, key: str, generation: str, revisio
 
 def operation_replay_check(operations: DataFrame) -> DataFrame:
     """operations (tenant, operation_id, arrival, digest) with outcome first, replay or mismatch, by the digest of the
-    first arrival. The first is found by aggregation, so a much repeated operation is no hot group."""
+    first arrival (of several at once, the smallest digest is first). The first is found by aggregation, so a much repeated
+    operation is no hot group. Equal rows get equal outcomes."""
     firsts = operations.groupBy("tenant", "operation_id").agg(F.min(F.struct("arrival", "digest")).alias("f"))
     joined = operations.join(firsts, ["tenant", "operation_id"])
-    outcome = F.when(F.col("arrival") == F.col("f.arrival"), "first").when(F.col("digest") == F.col("f.digest"), "replay").otherwise("mismatch")
+    outcome = F.when((F.col("arrival") == F.col("f.arrival")) & (F.col("digest") == F.col("f.digest")), "first").when(F.col("digest") == F.col("f.digest"), "replay").otherwise("mismatch")
     return joined.withColumn("outcome", outcome).drop("f")
 
 

@@ -141,7 +141,7 @@ SELECT c.tenant, c.confirmed, coalesce(s.stop, l.last, c.confirmed) AS frontier
     "merge_baselines": f"WITH {CHANGES} SELECT tenant, object_id, max(revision) AS revision, arg_max(operation_id, revision) AS operation_id FROM changes GROUP BY 1, 2",
     "operation_replay_check": """WITH a AS (SELECT 0 AS tenant, conv_id || ':' || (turn // 2) AS operation_id, turn AS arrival, sha256(role) AS digest FROM conversations),
 f AS (SELECT *, first_value(arrival) OVER w AS fa, first_value(digest) OVER w AS fd FROM a WINDOW w AS (PARTITION BY tenant, operation_id ORDER BY arrival, digest))
-SELECT tenant, operation_id, arrival, digest, CASE WHEN arrival = fa THEN 'first' WHEN digest = fd THEN 'replay' ELSE 'mismatch' END AS outcome FROM f""",
+SELECT tenant, operation_id, arrival, digest, CASE WHEN arrival = fa AND digest = fd THEN 'first' WHEN digest = fd THEN 'replay' ELSE 'mismatch' END AS outcome FROM f""",
     "monotonic_version_filter": """SELECT user_id, event_id, event_id % 7 AS g, event_id % 5 AS r,
   coalesce((event_id % 7) * 10 + event_id % 5 >= max((event_id % 7) * 10 + event_id % 5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM events""",
     "replica_divergence": f"""WITH {CHANGES}, part_ AS (SELECT * FROM changes WHERE operation_id % 7 <> 0), a AS ({STATE.format('changes')}), b AS ({STATE.format('part_')})
@@ -152,8 +152,9 @@ SELECT * FROM (SELECT coalesce(a.tenant, b.tenant) AS tenant, coalesce(a.object_
   strlen(any_value(text)) * (count(*) - 1) AS saved_bytes FROM documents GROUP BY 1""",
     "quota_usage": """SELECT tenant, CAST(sum(b) AS BIGINT) AS used_bytes, count(*) AS n_blobs, CAST(60000 - sum(b) AS BIGINT) AS headroom
 FROM (SELECT DISTINCT source AS tenant, sha256(text) AS h, strlen(text) AS b FROM documents) GROUP BY 1""",
-    "portable_name_check": rf"""WITH {NAMES} SELECT page_id, name, CASE WHEN coalesce(name, '') = '' THEN 'empty' WHEN strlen(name) > {content.NAME_BYTES} THEN 'too_long' WHEN regexp_matches(name, '{content.FORBIDDEN}') THEN 'forbidden_character'
-  WHEN regexp_matches(name, '[. ]$') THEN 'trailing_space_or_dot' WHEN upper(regexp_extract(name, '^([^.]*)', 1)) IN ({', '.join(f"'{x}'" for x in content.DEVICES)}) THEN 'reserved_device' END AS problem FROM names""",
+    "portable_name_check": rf"""WITH {NAMES} SELECT page_id, name, CASE WHEN coalesce(name, '') = '' THEN 'empty' WHEN name <> nfc_normalize(name) THEN 'not_nfc' WHEN strlen(name) > {content.NAME_BYTES} THEN 'too_long'
+  WHEN regexp_matches(name, '{content.FORBIDDEN}') THEN 'forbidden_character' WHEN name LIKE '% ' OR name LIKE '%.' THEN 'trailing_space_or_dot'
+  WHEN list_contains([{', '.join(f"'{x}'" for x in content.DEVICES)}], upper(rtrim(string_split(name, '.')[1], ' '))) THEN 'reserved_device' END AS problem FROM names""",
     "sibling_collisions": r"""WITH n AS (SELECT DISTINCT '' AS parent, CASE WHEN page_id % 2 = 0 THEN upper(x) ELSE x END AS name FROM (SELECT page_id, regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^./]*)', 1) AS x FROM pages) WHERE x <> '')
 SELECT parent, lower(name) AS name_key, count(*) AS n_names, string_agg(name, ',' ORDER BY name) AS names FROM n GROUP BY 1, 2 HAVING count(*) > 1""",
     "snapshot_diff": f"""WITH {SNAPSHOT}, j AS (SELECT coalesce(p.object_id, c.object_id) AS object_id, p.object_id AS pi, c.object_id AS ci, p.parent AS pp, c.parent AS cp, p.name AS pn, c.name AS cn, p.content_hash AS ph, c.content_hash AS ch FROM prev p FULL JOIN cur c ON p.object_id = c.object_id)

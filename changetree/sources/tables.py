@@ -13,12 +13,19 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the folder the cluster names in spark.checkpoint.dir (a
-    temporary one only where none is named); lineage ends there."""
-    spark = df.sparkSession
+    """The rows of df as a Parquet table in the shared folder; lineage ends there."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path not used before in the folder the cluster names in spark.checkpoint.dir. Only where none is named and
+    everything runs in one process, as in tests, it lies in a temporary folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="changetree-checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="changetree-checkpoint-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"

@@ -1,8 +1,14 @@
+import hashlib
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from changetree.functions.names import collision_key
+from changetree.operators import access, content, history, queues, tree
+from changetree.plans import local, registry, streams
 
-from changetree.operators import content, history, tree
-from changetree.plans import registry
+QUERIES, SQL = registry.QUERIES | local.QUERIES | streams.QUERIES, registry.SQL | local.SQL | streams.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,10 +26,10 @@ def rows(columns, data):
     return [columns[i] for i in order], sorted(([r[i] for i in order] for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", registry.QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, sf, duck, name):
-    df = registry.QUERIES[name](spark, sf)
-    want = duck.execute(registry.SQL[name])
+    df = QUERIES[name](spark, sf)
+    want = duck.execute(SQL[name])
     columns = [c[0] for c in want.description]
     assert rows(df.columns, map(tuple, df.collect())) == rows(columns, want.fetchall())
 
@@ -44,7 +50,7 @@ def test_versions_are_compared_as_pairs(spark):
 
 
 def test_portable_names(spark):
-    names = {"Note.md": None, "": "empty", "a" * 180: None, "a" * 181: "too_long", "a:b": "forbidden_character", "a\tb": "forbidden_character", "a ": "trailing_space_or_dot", "a.": "trailing_space_or_dot", "con.md": "reserved_device", "LPT¹": "reserved_device", "console": None, None: "empty"}
+    names = {"Note.md": None, "": "empty", "a" * 180: None, "a" * 181: "too_long", "a:b": "forbidden_character", "a\tb": "forbidden_character", "a ": "trailing_space_or_dot", "a.": "trailing_space_or_dot", "con.md": "reserved_device", "LPT¹": "reserved_device", "con .md": "reserved_device", "Cafe\u0301": "not_nfc", "Café": None, "console": None, None: "empty"}
     df = content.portable_name_check(spark.createDataFrame([(n,) for n in names], "name string"), "name")
     assert {r["name"]: r.problem for r in df.collect()} == names
 
@@ -53,3 +59,63 @@ def test_entry_without_the_training_data_package(spark):
     import __spark_entry__
 
     assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and __spark_entry__.entry(spark).columns
+
+
+def test_collision_keys(spark):
+    names = {"Straße": "strasse", "STRASSE": "strasse", "Cafe\u0301": "café", "ABC": "abc", "Ä": "ä", None: None}
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("k", collision_key(F.col("name")))
+    assert {r["name"]: r.k for r in df.collect()} == names
+    pairs = content.sibling_collisions(spark.createDataFrame([("p", "Straße"), ("p", "STRASSE"), ("q", "a"), ("q", "a")], "parent string, name string")).collect()
+    assert [(r.parent, r.n_names) for r in pairs] == [("p", 2)]
+
+
+def test_path_policy(spark):
+    paths = {"a/b.md": (None, None), "": ("empty", None), "/a": ("leading_slash", None), "a//b": ("empty_or_dots", 1), "a/../b": ("empty_or_dots", 1), "a/con.md/": ("reserved_device", 1), "TRASH/x": ("reserved_root", 0), "x/trash": (None, None), "a/" + "b" * 900: ("too_long", None)}
+    df = content.path_policy_check(spark.createDataFrame([(p,) for p in paths], "path string"), "path", ("Trash",))
+    assert {r.path: (r.problem, r.part) for r in df.collect()} == paths
+
+
+def test_empty_pages_keep_their_cursor(spark):
+    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "tenant string, cursor long, name string")
+    rows = history.change_feed_page(log, spark.createDataFrame([("a", 2), ("b", 0)], "tenant string, after long")).collect()
+    assert sorted((r.tenant, r.cursor, r.has_more, r.next_cursor) for r in rows) == [("a", None, False, 2), ("b", None, False, 0)]
+    with pytest.raises(ValueError):
+        history.change_feed_page(log, log, 501)
+
+
+def test_rate_limit_window_is_anchored(spark):
+    """Rejected attempts don't extend the window; time that goes backwards begins a new one."""
+    rows = [("k", t, i) for i, t in enumerate([0, 10, 20, 30, 899, 900, 901])]
+    got = access.rate_limit_decisions(spark.createDataFrame(rows, "key string, at long, attempt_id long"), 3, 900).orderBy("attempt_id").collect()
+    assert [r.outcome for r in got] == [None, None, None, 870, 1, None, None]
+
+
+def test_quota_equality_fits_and_rejected_bytes_do_not_count(spark):
+    rows = [("t", 1, "a", 60), ("t", 2, "b", 50), ("t", 3, "a", 60), ("t", 4, "c", 40), ("t", 5, "d", 1), ("t", 6, "b", 50)]
+    got = access.quota_admission(spark.createDataFrame(rows, "tenant string, sequence long, blob_hash string, size long"), 100).orderBy("sequence").collect()
+    assert [r.admitted for r in got] == [True, False, True, True, False, False]
+
+
+def test_doomed_dependents_of_cycles_and_branches(spark):
+    outbox = spark.createDataFrame([(i, "pending" if i != 4 else "accepted") for i in range(1, 9)], "operation_id long, status string")
+    deps = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (6, 7), (7, 6), (2, 3)], "operation_id long, needs long")
+    got = queues.doomed_dependents(outbox, deps, spark.createDataFrame([(1,)], "operation_id long")).collect()
+    assert sorted(r.operation_id for r in got) == [2, 3, 5]
+
+
+def test_manifest_audit(spark):
+    objects = spark.createDataFrame([("r", None, "r", "folder"), ("f", "r", "f", "folder"), ("n", "f", "n", "note"), ("m", "r", "m", "note")], "object_id string, parent_id string, name string, type string")
+    roots = spark.createDataFrame([("r", "op", 10)], "root string, operation_id string, first_cursor long")
+    plan = tree.clone_subtree_plan(objects, tree.ancestor_paths(objects), roots)
+    assert [(r.cursor, r.phase, r.object_id) for r in plan.orderBy("cursor").collect()] == [(10, "clone", "r"), (11, "clone", "f"), (12, "move", "m"), (13, "move", "n"), (14, "delete", "f"), (15, "delete", "r")]
+    assert tree.manifest_audit(plan).collect() == []
+    assert sorted(r.problem for r in tree.manifest_audit(plan.where("cursor <> 11")).collect()) == ["clones", "cursors", "moves"]
+
+
+def test_file_inventory(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.md").write_text("hello")
+    (tmp_path / "y.md").write_text("")
+    (tmp_path / "z.txt").write_text("no note")
+    got = {r.path: (r.size_bytes, r.content_hash) for r in content.file_inventory(spark, str(tmp_path)).collect()}
+    assert got == {"a/x.md": (5, hashlib.sha256(b"hello").hexdigest()), "y.md": (0, hashlib.sha256(b"").hexdigest())}
