@@ -122,7 +122,7 @@ def link_safety_audit(pages: DataFrame, id_col: str, html_col: str) -> DataFrame
 
 
 def file_inventory(spark, root: str, note: str = ".md") -> DataFrame:
-    """Notes below a folder: path from there, size in bytes, content_hash, modified. Each file is read by one task."""
+    """Notes below a folder: path from there, size in bytes, content_hash, modified. Each file is read by one task. The reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{note}").load(root)
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     cut = F.length(F.lit("/" + root.split(":")[-1].strip("/") + "/"))
