@@ -50,8 +50,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The classifier, the set join by hashes and the packing have no SQL form. Of the stages only the join is compared
-#: with brute force (as op1); no test runs the pipeline or the stages for exact copies, benchmark and packing.
+#: The classifier, the set join by hashes and the packing have no SQL form; tests/llm/test_pipeline.py compares the stages with brute
+#: force on the smallest tables (of the classifier, that its decisions take effect).
 ORACLE_SQL = None
 
 
