@@ -146,12 +146,12 @@ def ingest_changes(pages: DataFrame, stored: DataFrame) -> DataFrame:
     """Each page (tenant, page, from_cursor, next_cursor and rows of cursor, payload) with its verdict: append (it is dense and begins
     at the tenant's last stored cursor), replay (dense, wholly stored, equal payloads), else reject. A page goes in whole or not."""
     frontier = stored.groupBy("tenant").agg(F.max("cursor").alias("frontier"))
-    old = stored.select("tenant", "cursor", F.lit(True).alias("is_old"), F.col("payload").alias("old_payload"))
-    rows = pages.join(old, ["tenant", "cursor"], "left")
+    old = stored.select(F.col("tenant").alias("t"), F.col("cursor").alias("c"), F.col("payload").alias("p"), F.lit(True).alias("is_old")).distinct()
+    rows = pages.join(old, (F.col("tenant") == F.col("t")) & (F.col("cursor") == F.col("c")) & F.col("payload").eqNullSafe(F.col("p")), "left")
     key = ["tenant", "page", "from_cursor", "next_cursor"]
     sums = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cursor").alias("n"), F.min("cursor").alias("low"), F.max("cursor").alias("high"),
-        F.min(F.coalesce("is_old", F.lit(False)) & F.col("payload").eqNullSafe(F.col("old_payload"))).alias("equal"),
+        F.min(F.coalesce("is_old", F.lit(False))).alias("equal"),
     )
     dense = F.expr("low = from_cursor + 1 AND high = next_cursor AND n = n_rows AND n = next_cursor - from_cursor")
     at = F.coalesce("frontier", F.lit(0))

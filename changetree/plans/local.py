@@ -17,7 +17,7 @@ INPUTS = {
         CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'move' ELSE 'update' END AS kind,
         CASE WHEN event_id % 11 < 4 THEN 'accepted' WHEN event_id % 11 < 6 THEN 'pending' WHEN event_id % 11 < 8 THEN 'attempted' WHEN event_id % 11 = 8 THEN 'mismatch' ELSE 'conflict' END AS status,
         event_id % 5 AS revision, event_id + 1000 AS cursor FROM {events}""",
-    "deps": "SELECT event_id AS operation_id, event_id - 1 - event_id % 3 AS needs FROM {events} WHERE event_id % 4 = 1 AND event_id > 4",
+    "deps": "SELECT event_id AS operation_id, event_id - 1 - event_id % 9 AS needs FROM {events} WHERE event_id % 4 = 1 AND event_id > 10",
     "resolved": "SELECT event_id AS operation_id, CASE WHEN event_id % 2 = 0 THEN 'reverted' ELSE 'manual' END AS resolution FROM {events} WHERE event_id % 6 = 3",
     "covered": "SELECT event_id AS operation_id FROM {events} WHERE event_id % 7 = 2",
     "state": "SELECT tenant, object_id, max(revision) AS revision, max(operation_id) AS last_id, 'n' || CAST(max(sequence) AS VARCHAR(20)) AS name FROM {outbox} WHERE object_id % 3 <> 0 GROUP BY tenant, object_id",
