@@ -46,7 +46,7 @@ CELL = 512
 PART = 1 << 16
 #: Pairs that a task holds to add up their counts.
 PAIRS_HELD = 1 << 19
-#: Bits of the filter (8 MB) of the ids whose texts are read again.
+#: Bits at most (8 MB) of the filters of the ids whose texts or sketches are read again, and of the copies.
 FILTER_BITS = 1 << 26
 
 
@@ -348,6 +348,23 @@ def _sets(width: int, shared):
     return run
 
 
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A filter of the column h with some ten bits for each row, FILTER_BITS at most."""
+    return build_filter(hashes, min(FILTER_BITS, max(1 << 16, 1 << (10 * hashes.count()).bit_length())))
+
+
+def probed(rows: DataFrame, shared, held: bool) -> DataFrame:
+    """Rows whose h the filter may hold, or those whose h it surely lacks, without h."""
+    kept = [c for c in rows.columns if c != "h"]
+
+    def run(batches):
+        for batch in batches:
+            found = held_in(shared.value, batch.column("h").to_numpy())
+            yield batch.filter(pa.array(found == held)).select(kept)
+
+    return rows.select(*kept, "h").mapInArrow(run, rows.select(*kept).schema)
+
+
 class Verifier:
     """Settles candidate pairs (a, b): those that link. Parity sketches, a thirtieth of the sets' size, rule out pairs
     that differ too much; the others are settled over the whole sets. Texts are read again for the ids in
@@ -357,8 +374,9 @@ class Verifier:
         self.texts, self.sketches, self.width = texts, sketches, width
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sketches = persisted(self.sketches.join(asked, "id", "left_semi"))
+        asked = persisted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        needed = asked.sparkSession.sparkContext.broadcast(filter_of(asked.select(F.xxhash64("id").alias("h"))))
+        sketches = persisted(probed(self.sketches.withColumn("h", F.xxhash64("id")), needed, True).join(asked, "id", "left_semi"))
         x, y = (sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(c)) for k, c in (("a", "x"), ("b", "y")))
         possible = persisted(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInPandas(_possible, "a long, b long"))
         ids = persisted(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -369,7 +387,7 @@ class Verifier:
         sets = persisted(wanted.mapInArrow(_sets(self.width, known), "id long, set binary"))
         joined = possible.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         found = persisted(joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long").distinct())
-        dropped(pairs, sketches, possible, ids, sets)
+        dropped(pairs, asked, sketches, possible, ids, sets)
         return found
 
 
@@ -435,7 +453,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = persisted(solid.groupBy("a", "b").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     repeated = persisted(classes.where("size > 1").drop("size"))
     copies = persisted(solid.select("id", "a", "b").join(repeated, ["a", "b"]).where("id <> class_id").select("id", "a", "b"))
-    heads = solid.join(copies, ["id", "a", "b"], "left_anti").select("id", "n", "prefix")
+    # only rows that may be copies are shuffled to tell; most prefixes stay where they are
+    row_hash = F.xxhash64("id", "a", "b").alias("h")
+    known = spark.sparkContext.broadcast(filter_of(copies.select(row_hash)))
+    prefixes = solid.select("id", "n", "a", "b", "prefix", row_hash)
+    heads = probed(prefixes, known, True).join(copies, ["id", "a", "b"], "left_anti").unionByName(probed(prefixes, known, False)).select("id", "n", "prefix")
     postings = heads.mapInArrow(_postings(in_parts), "token long, part int, id long, n long, place int")
     edges = links(texts.where("id IS NOT NULL"), postings, solid.select("id", "n", "sketch"), width)
     # one id with different texts joins its classes
