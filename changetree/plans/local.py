@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, content, queues, tree
+from ..operators import access, content, planning, queues, tree
 from ..sources.tables import read
 from .registry import nodes
 
@@ -94,6 +94,19 @@ INPUTS = {
         CASE WHEN o_orderkey % 5 = 0 THEN 'africa' ELSE CAST(o_orderkey AS VARCHAR(20)) || '.md' END AS name_key FROM {orders}""",
     "links": "SELECT page_id, url, html FROM {pages}",
     "tagged": "SELECT doc_id AS doc_order, doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END AS source FROM {documents}",
+    "disputes": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'move' ELSE 'delete' END AS kind, CASE WHEN user_id % 2 = 0 THEN 'note' ELSE 'folder' END AS type,
+        CASE event_id % 7 WHEN 0 THEN 'path_collision' WHEN 1 THEN 'parent_unavailable' WHEN 2 THEN 'base_revision_mismatch' WHEN 3 THEN 'object_missing' WHEN 4 THEN 'object_deleted' WHEN 5 THEN 'folder_cycle' ELSE 'folder_not_empty' END AS code,
+        event_id % 3 AS base_revision, CASE WHEN event_id % 5 > 1 THEN event_id % 11 END AS canonical_revision, CASE WHEN event_id % 5 > 1 THEN CASE WHEN user_id % 6 < 4 THEN 'note' ELSE 'folder' END END AS canonical_type,
+        CASE WHEN event_id % 5 > 1 THEN user_id % 3 = 0 END AS canonical_deleted, user_id % 5 < 2 AS same_target, user_id % 7 < 3 AS same_parent FROM {events}""",
+    "mutations": """SELECT (p_partkey - p_partkey % 10) % 7 AS replica, p_partkey AS object_id, CASE WHEN p_partkey % 10 > 0 THEN p_partkey - p_partkey % 10 END AS parent_id,
+        CASE p_partkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'move' WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'create' ELSE 'update' END ELSE 'delete' END AS mutation, p_size AS revision,
+        CASE WHEN p_partkey % 10 > 0 THEN p_brand || '/' ELSE '' END || p_name AS path FROM {part}
+        UNION ALL SELECT (p_partkey - p_partkey % 10) % 7, p_partkey, NULL, 'update', p_size, p_brand || '/' || p_name FROM {part} WHERE p_partkey % 8 = 1 AND p_partkey % 10 > 0""",
+    "unnamed": """SELECT p_partkey AS operation_id, CASE WHEN p_partkey % 3 = 0 THEN 'folder' ELSE 'note' END AS type,
+        CASE WHEN p_partkey % 9 = 1 THEN '.md' WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN repeat(p_name || '-', 12) || '.md' WHEN p_partkey % 4 = 0 THEN p_name ELSE p_name || '.v1.md' END AS name FROM {part}""",
+    "signups": """SELECT c_custkey AS account_id, CASE WHEN c_custkey % 11 = 0 THEN 'a..b@example.org' WHEN c_custkey % 13 = 0 THEN 'two@at@example.org' WHEN c_custkey % 17 = 0 THEN 'x@-bad.org' WHEN c_custkey % 19 = 0 THEN NULL
+        ELSE CASE WHEN c_custkey % 2 = 0 THEN ' User' ELSE 'user' END || CAST(c_custkey % 50 AS VARCHAR(20)) || '@Example' || CAST(c_nationkey % 3 AS VARCHAR(20)) || '.org' END AS email FROM {customer}""",
+    "labelled": "SELECT doc_id, lang AS a, ' ' || source AS b, upper(lang) || ' ' AS c, CASE WHEN doc_id % 13 = 0 THEN repeat('x', 41) WHEN doc_id % 17 = 0 THEN ' ' ELSE 'z' || CAST(doc_id % 3 AS VARCHAR(20)) END AS d FROM {documents}",
     "urls": "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM {pages}",
 }
 
@@ -192,6 +205,11 @@ QUERIES = {
     "subtree_signature": lambda s, d: tree.subtree_signature(derived(s, d, "objects"), _paths(s, d)),
     "clone_subtree_plan": lambda s, d: tree.clone_subtree_plan(derived(s, d, "objects"), _paths(s, d), _roots(s, d)),
     "manifest_audit": lambda s, d: tree.manifest_audit(tree.clone_subtree_plan(derived(s, d, "objects"), _paths(s, d), _roots(s, d)).where("cursor % 37 <> 0")),
+    "resolve_conflicts": lambda s, d: planning.resolve_conflicts(derived(s, d, "disputes")).select("event_id", "action"),
+    "plan_mutation_order": _op(planning.plan_mutation_order, "mutations"),
+    "conflict_names": lambda s, d: planning.conflict_names(derived(s, d, "unnamed")).select("operation_id", "copy_name"),
+    "email_identity": _op(planning.email_identity, "signups"),
+    "normalize_tags": lambda s, d: planning.normalize_tags(derived(s, d, "labelled").withColumn("tags", F.array("a", "b", "c", "d"))),
     "path_policy_check": lambda s, d: content.path_policy_check(derived(s, d, "urls"), "path"),
     "tag_index": lambda s, d: content.tag_index(derived(s, d, "tagged").withColumn("tags", F.array("lang", "source"))),
     "link_safety_audit": lambda s, d: content.link_safety_audit(derived(s, d, "links"), "page_id", "html"),
@@ -302,6 +320,29 @@ SELECT object_id, s AS signature FROM c UNION ALL SELECT object_id, s FROM n UNI
 s AS (SELECT root, object_id, 1 AS o, level AS l, 'clone' AS phase, substr(sha256(root || ':' || object_id), 1, 32) AS target FROM m WHERE type = 'folder' UNION ALL SELECT root, object_id, 2, level, 'move', substr(sha256(root || ':' || parent_id), 1, 32) FROM m WHERE type = 'note'
 UNION ALL SELECT root, object_id, 3, -level, 'delete', NULL FROM m WHERE type = 'folder')
 SELECT root, 99 + row_number() OVER (PARTITION BY root ORDER BY o, l, object_id) AS cursor, phase, object_id, target FROM s""",
+    "resolve_conflicts": with_inputs("disputes") + """, x AS (SELECT *, code IN ('path_collision', 'parent_unavailable') AS blocked, canonical_revision IS NULL AS unknown, coalesce(canonical_revision > base_revision, false) AS newer, canonical_deleted IS TRUE AS gone FROM disputes)
+SELECT event_id, CASE WHEN type = 'folder' THEN CASE WHEN kind = 'create' AND blocked AND unknown THEN 'recover_folder' WHEN kind = 'move' AND code = 'object_deleted' THEN 'recover_moved_folder'
+  WHEN kind = 'delete' AND code = 'base_revision_mismatch' AND newer AND NOT gone THEN 'preserve_then_delete' WHEN kind = 'move' AND code = 'base_revision_mismatch' AND NOT same_target THEN 'split_divergent_folder'
+  WHEN kind = 'move' AND (blocked OR code = 'folder_cycle' OR same_target) THEN 'revert_move' WHEN kind = 'delete' AND code = 'folder_not_empty' THEN 'restore_folder'
+  WHEN kind = 'delete' AND (code = 'object_missing' AND unknown OR code = 'object_deleted' AND gone AND newer AND canonical_type = 'folder') THEN 'already_deleted' ELSE 'needs_attention' END
+WHEN kind = 'create' THEN CASE WHEN unknown AND blocked THEN 'copy_orphan' ELSE 'needs_attention' END
+WHEN kind = 'update' THEN CASE WHEN unknown AND code = 'object_missing' THEN 'copy_orphan' WHEN newer AND code IN ('base_revision_mismatch', 'object_deleted') THEN 'keep_both' ELSE 'needs_attention' END
+WHEN kind = 'move' THEN CASE WHEN code = 'base_revision_mismatch' AND same_target THEN 'equivalent' WHEN unknown AND code = 'object_missing' THEN 'copy_orphan' WHEN blocked OR code = 'base_revision_mismatch' AND same_parent THEN 'copy_and_restore'
+  WHEN newer AND code = 'object_deleted' THEN 'keep_both' ELSE 'needs_attention' END
+WHEN code = 'object_missing' AND unknown OR code = 'object_deleted' AND gone AND newer AND canonical_type = 'note' THEN 'already_deleted' WHEN code = 'base_revision_mismatch' AND newer AND NOT gone THEN 'rescue_remote_then_delete' ELSE 'needs_attention' END AS action FROM x""",
+    "plan_mutation_order": with_inputs("mutations") + """, r AS (SELECT *, CASE mutation WHEN 'create' THEN 1 WHEN 'delete' THEN 3 ELSE 2 END AS ph, len(string_split(path, '/')) AS dp FROM mutations),
+p AS (SELECT *, row_number() OVER (PARTITION BY replica ORDER BY ph, CASE ph WHEN 1 THEN dp WHEN 3 THEN -dp ELSE 0 END, path, object_id, mutation) AS place FROM r), m AS (SELECT replica, object_id, min(place) AS place FROM p WHERE mutation = 'move' GROUP BY 1, 2)
+SELECT p.replica, p.place, p.object_id, mutation, CASE mutation WHEN 'create' THEN (SELECT min(q.place) FROM p q WHERE q.replica = p.replica AND q.object_id = p.parent_id AND q.mutation = 'create') WHEN 'update' THEN m.place
+WHEN 'delete' THEN (SELECT max(q.place) FROM p q WHERE q.replica = p.replica AND q.mutation = 'delete' AND q.place < p.place) END AS depends_on,
+CAST(CASE mutation WHEN 'create' THEN 0 WHEN 'update' THEN revision + CASE WHEN m.place IS NULL THEN 0 ELSE 1 END ELSE revision END AS BIGINT) AS base_revision FROM p LEFT JOIN m ON m.replica = p.replica AND m.object_id = p.object_id""",
+    "conflict_names": with_inputs("unnamed") + """, s AS (SELECT *, CASE WHEN type = 'note' AND contains(name, '.') THEN name[:len(name) - strpos(reverse(name), '.')] ELSE name END AS stem, ' (Konflikt - ' || operation_id || CASE type WHEN 'note' THEN ').md' ELSE ')' END AS suffix FROM unnamed)
+SELECT operation_id, CASE WHEN stem <> '' THEN stem[:180 - len(suffix)] WHEN type = 'note' THEN 'Notiz' ELSE 'Ordner' END || suffix AS copy_name FROM s""",
+    "email_identity": with_inputs("signups") + """, k AS (SELECT account_id, trim(email) AS e, string_split(trim(email), '@') AS parts FROM signups),
+c AS (SELECT account_id, CASE WHEN len(parts) = 2 AND regexp_full_match(parts[1], '[!#-''*+/-9=?A-Z^-~.-]+') AND NOT contains('.' || parts[1] || '.', '..') AND len(list_filter(string_split(parts[2], '.'), lambda x: x = '' OR starts_with(x, '-') OR ends_with(x, '-'))) = 0 THEN lower(e) END AS canonical FROM k)
+SELECT account_id, canonical, CASE WHEN canonical IS NOT NULL THEN count(*) OVER (PARTITION BY canonical) END AS n_same FROM c""",
+    "normalize_tags": with_inputs("labelled") + """, t AS (SELECT doc_id, trim(unnest([a, b, c, d])) AS tag, unnest([0, 1, 2, 3]) AS place FROM labelled),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(tag) ORDER BY place) AS r FROM t)
+SELECT doc_id, CASE WHEN bool_and(coalesce(len(tag) BETWEEN 1 AND 40, false)) THEN list(tag ORDER BY place) FILTER (r = 1) END AS tags, bool_and(coalesce(len(tag) BETWEEN 1 AND 40, false)) AS valid FROM o GROUP BY 1""",
     "path_policy_check": with_inputs("urls") + f""", c AS (SELECT DISTINCT path, unnest(string_split(path, '/')) AS name, generate_subscripts(string_split(path, '/'), 1) - 1 AS part FROM urls), b AS (SELECT path, part, CASE WHEN name IN ('', '.', '..') THEN 'empty_or_dots' ELSE {_NAME} END AS problem FROM c),
 f AS (SELECT path, CAST(min(part) AS INTEGER) AS part, arg_min(problem, part) AS problem FROM b WHERE problem IS NOT NULL GROUP BY 1)
 SELECT u.page_id, u.path, CASE WHEN coalesce(u.path, '') = '' THEN 'empty' WHEN strlen(u.path) > 768 THEN 'too_long' WHEN u.path[1] = '/' THEN 'leading_slash' ELSE f.problem END AS problem,

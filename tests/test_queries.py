@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changetree.functions.names import collision_key
-from changetree.operators import access, content, history, queues, tree
+from changetree.operators import access, content, history, planning, queues, tree
 from changetree.plans import local, registry, streams
 
 QUERIES, SQL = registry.QUERIES | local.QUERIES | streams.QUERIES, registry.SQL | local.SQL | streams.SQL
@@ -119,3 +119,22 @@ def test_file_inventory(spark, tmp_path):
     (tmp_path / "z.txt").write_text("no note")
     got = {r.path: (r.size_bytes, r.content_hash) for r in content.file_inventory(spark, str(tmp_path)).collect()}
     assert got == {"a/x.md": (5, hashlib.sha256(b"hello").hexdigest())}  # the reader leaves empty files out
+
+
+def test_conflict_names_are_cut_between_characters(spark):
+    rows = [("ä" * 100 + ".md", "note", "op"), (".md", "note", "op"), (None, "folder", "op"), ("a.b", "folder", "op")]
+    got = [r.copy_name for r in planning.conflict_names(spark.createDataFrame(rows, "name string, type string, operation_id string")).collect()]
+    assert got == ["ä" * 80 + " (Konflikt - op).md", "Notiz (Konflikt - op).md", "Ordner (Konflikt - op)", "a.b (Konflikt - op)"]
+    assert all(len(x.encode()) <= 180 for x in got)
+
+
+def test_addresses(spark):
+    want = {"  A.b+c@Example.ORG\t": "a.b+c@example.org", "a@b@c": None, ".a@x": None, "a@x.": None, "a@[1]": None, "a@-x": None, "a@ab--c.de": None, "a@xn--bcher-kva.de": "a@xn--bcher-kva.de", "ä@x": None, "@x": None, "a" * 65 + "@x": None, "a@x_y": None, None: None}
+    df = planning.email_identity(spark.createDataFrame([(i, e) for i, e in enumerate(want)], "account_id long, email string")).orderBy("account_id")
+    assert [r.canonical for r in df.collect()] == list(want.values())
+
+
+def test_normalize_tags(spark):
+    rows = [(1, [" Straße", "STRASSE", "b", "Cafe\u0301"]), (2, []), (3, None), (4, ["a", ""]), (5, ["a", None]), (6, ["a\u0007b"]), (7, ["x" * 40, "é" * 41])]
+    got = {r.doc_id: (r.tags, r.valid) for r in planning.normalize_tags(spark.createDataFrame(rows, "doc_id long, tags array<string>")).collect()}
+    assert got == {1: (["Straße", "b", "Café"], True), 2: ([], True), 3: ([], True), **{k: (None, False) for k in (4, 5, 6, 7)}}
