@@ -122,3 +122,20 @@ def email_identity(accounts: DataFrame, id_col: str = "account_id", email: str =
     keyed = accounts.select(id_col, canonical_email(F.col(email)).alias("canonical"))
     counts = keyed.where("canonical IS NOT NULL").groupBy("canonical").agg(F.count(F.lit(1)).alias("n_same"))
     return keyed.join(counts, "canonical", "left").select(id_col, "canonical", "n_same")
+
+
+def independent_changes(inbox: DataFrame, baselines: DataFrame, paths: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(tenant, cursor, object_id) of downloaded changes that may be applied out of order. inbox (tenant, cursor, object_id, type, mutation, revision) holds what isn't
+    applied; baselines object_id and revision; paths comes from ancestor_paths; unresolved has object_id. A change qualifies if it updates or deletes
+    a note whose baseline is the revision before, nothing earlier of the object waits, the object isn't unresolved, and each folder above it has a
+    baseline, isn't unresolved and has no earlier change waiting. Objects that paths doesn't lead to the root are left out. Object ids are
+    unique across tenants."""
+    first = inbox.groupBy("object_id").agg(F.min("cursor").alias("first"))
+    base = baselines.groupBy("object_id").agg(F.max("revision").alias("baseline"))
+    open_ = unresolved.select("object_id", F.lit(True).alias("open")).distinct()
+    facts = base.join(first, "object_id", "full").join(open_, "object_id", "full")
+    rows = inbox.where("type = 'note' AND mutation IN ('update', 'delete')").join(facts, "object_id").where("baseline = revision - 1 AND cursor = first AND open IS NULL").select("tenant", "cursor", "object_id")
+    above = rows.join(paths.where("status = 'ok'").select("object_id", "ancestors"), "object_id").select("tenant", "cursor", "object_id", F.explode_outer("ancestors").alias("folder"))
+    judged = above.join(facts.withColumnRenamed("object_id", "folder"), "folder", "left")
+    free = F.expr("folder IS NULL OR baseline IS NOT NULL AND open IS NULL AND (first IS NULL OR first > cursor)")
+    return judged.groupBy("tenant", "cursor", "object_id").agg(F.min(free).alias("free")).where("free").drop("free")

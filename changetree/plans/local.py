@@ -107,6 +107,11 @@ INPUTS = {
     "signups": """SELECT c_custkey AS account_id, CASE WHEN c_custkey % 11 = 0 THEN 'a..b@example.org' WHEN c_custkey % 13 = 0 THEN 'two@at@example.org' WHEN c_custkey % 17 = 0 THEN 'x@-bad.org' WHEN c_custkey % 19 = 0 THEN NULL
         ELSE CASE WHEN c_custkey % 2 = 0 THEN ' User' ELSE 'user' END || CAST(c_custkey % 50 AS VARCHAR(20)) || '@Example' || CAST(c_nationkey % 3 AS VARCHAR(20)) || '.org' END AS email FROM {customer}""",
     "labelled": "SELECT doc_id, lang AS a, ' ' || source AS b, upper(lang) || ' ' AS c, CASE WHEN doc_id % 13 = 0 THEN repeat('x', 41) WHEN doc_id % 17 = 0 THEN ' ' ELSE 'z' || CAST(doc_id % 3 AS VARCHAR(20)) END AS d FROM {documents}",
+    "arrivals": """SELECT CAST(1 AS BIGINT) AS tenant, o_orderkey * 2 AS cursor, 'o' || CAST(o_orderkey AS VARCHAR(20)) AS object_id, 'note' AS type, CASE o_orderkey % 4 WHEN 0 THEN 'move' WHEN 1 THEN 'delete' ELSE 'update' END AS mutation, 1 + o_orderkey % 3 AS revision FROM {orders}
+        UNION ALL SELECT 1, o_orderkey * 2 - 5, 'o' || CAST(o_orderkey AS VARCHAR(20)), 'note', 'update', 1 + o_orderkey % 3 FROM {orders} WHERE o_orderkey % 10 = 3
+        UNION ALL SELECT 1, c_custkey * 20 + 1, 'c' || CAST(c_custkey AS VARCHAR(20)), 'folder', 'move', 2 FROM {customer} WHERE c_custkey % 4 = 0""",
+    "known": "SELECT object_id, length(name) % 3 AS revision FROM {objects} WHERE name NOT LIKE '%7%'",
+    "contested": "SELECT object_id FROM {objects} WHERE name LIKE '%33%'",
     "urls": "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM {pages}",
 }
 
@@ -207,6 +212,7 @@ QUERIES = {
     "manifest_audit": lambda s, d: tree.manifest_audit(tree.clone_subtree_plan(derived(s, d, "objects"), _paths(s, d), _roots(s, d)).where("cursor % 37 <> 0")),
     "resolve_conflicts": lambda s, d: planning.resolve_conflicts(derived(s, d, "disputes")).select("event_id", "action"),
     "plan_mutation_order": _op(planning.plan_mutation_order, "mutations"),
+    "independent_changes": lambda s, d: planning.independent_changes(derived(s, d, "arrivals"), derived(s, d, "known"), _paths(s, d), derived(s, d, "contested")),
     "conflict_names": lambda s, d: planning.conflict_names(derived(s, d, "unnamed")).select("operation_id", "copy_name"),
     "email_identity": _op(planning.email_identity, "signups"),
     "normalize_tags": lambda s, d: planning.normalize_tags(derived(s, d, "labelled").withColumn("tags", F.array("a", "b", "c", "d"))),
@@ -335,6 +341,10 @@ p AS (SELECT *, row_number() OVER (PARTITION BY replica ORDER BY ph, CASE ph WHE
 SELECT p.replica, p.place, p.object_id, mutation, CASE mutation WHEN 'create' THEN (SELECT min(q.place) FROM p q WHERE q.replica = p.replica AND q.object_id = p.parent_id AND q.mutation = 'create') WHEN 'update' THEN m.place
 WHEN 'delete' THEN (SELECT max(q.place) FROM p q WHERE q.replica = p.replica AND q.mutation = 'delete' AND q.place < p.place) END AS depends_on,
 CAST(CASE mutation WHEN 'create' THEN 0 WHEN 'update' THEN revision + CASE WHEN m.place IS NULL THEN 0 ELSE 1 END ELSE revision END AS BIGINT) AS base_revision FROM p LEFT JOIN m ON m.replica = p.replica AND m.object_id = p.object_id""",
+    "independent_changes": with_inputs("objects", "arrivals", "known", "contested") + PATHS + """, e AS (SELECT object_id, min(cursor) AS lowest FROM arrivals GROUP BY 1)
+SELECT i.tenant, i.cursor, i.object_id FROM arrivals i JOIN known k ON k.object_id = i.object_id AND k.revision = i.revision - 1 JOIN e own ON own.object_id = i.object_id AND own.lowest = i.cursor
+WHERE i.type = 'note' AND i.mutation <> 'move' AND i.object_id NOT IN (SELECT object_id FROM contested) AND i.object_id IN (SELECT object_id FROM paths)
+AND NOT EXISTS (SELECT 1 FROM chain c LEFT JOIN e ON e.object_id = c.root WHERE c.object_id = i.object_id AND c.level > 0 AND (c.root NOT IN (SELECT object_id FROM known) OR c.root IN (SELECT object_id FROM contested) OR e.lowest < i.cursor))""",
     "conflict_names": with_inputs("unnamed") + """, s AS (SELECT *, CASE WHEN type = 'note' AND contains(name, '.') THEN name[:len(name) - strpos(reverse(name), '.')] ELSE name END AS stem, ' (Konflikt - ' || operation_id || CASE type WHEN 'note' THEN ').md' ELSE ')' END AS suffix FROM unnamed)
 SELECT operation_id, CASE WHEN stem <> '' THEN stem[:180 - len(suffix)] WHEN type = 'note' THEN 'Notiz' ELSE 'Ordner' END || suffix AS copy_name FROM s""",
     "email_identity": with_inputs("signups") + """, k AS (SELECT account_id, trim(email) AS e, string_split(trim(email), '@') AS parts FROM signups),
