@@ -334,7 +334,7 @@ def _verify(batches):
 
 
 def _sets(width: int, shared):
-    """Arrow batches of (id, text, h) to (id, set) of the rows whose h the filter may hold."""
+    """Arrow batches of (id, text, h) to (id, set) of the rows whose h the filter may hold and whose set isn't empty."""
 
     def run(batches):
         for batch in batches:
@@ -342,7 +342,8 @@ def _sets(width: int, shared):
             for k in range(0, len(wanted), 256):
                 part = wanted.slice(k, 256)
                 sets = [shingle_set(w, width).tobytes() for w in texts_words(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+                solid = pa.array([bool(x) for x in sets], pa.bool_())  # an id may have an empty text beside another
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(solid)
         give_back()
 
     return run
@@ -461,16 +462,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     postings = heads.mapInArrow(_postings(in_parts), "token long, part int, id long, n long, place int")
     edges = links(texts.where("id IS NOT NULL"), postings, solid.select("id", "n", "sketch"), width)
     # one id with different texts joins its classes
-    twice = solid.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
+    twice = persisted(keys.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id"))
     several = solid.select("id", "a", "b").join(twice, "id").join(classes, ["a", "b"]).select(F.col("id").alias("u"), F.col("class_id").alias("v"))
-    found = components(edges.unionByName(several))
+    found = persisted(components(edges.unionByName(several)))
     reached = classes.join(found, classes["class_id"] == found["id"], "left").select("a", "b", "class_id", F.coalesce("component", "class_id").alias("component_id"), "size")
     moved = persisted(reached.where("size > 1 OR component_id <> class_id").drop("size"))
-    out = keys.select("id", "n", "a", "b").join(moved, ["a", "b"], "left")
+    by_id = persisted(found.join(twice, "id").select("id", F.col("component").alias("of_id")))
+    dropped(found, twice)
+    out = keys.select("id", "n", "a", "b").join(moved, ["a", "b"], "left").join(by_id, "id", "left")
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), *[F.when(linked, F.coalesce(c, "id")).otherwise(F.col("id")).alias(c) for c in ("class_id", "component_id")]
-    )
+    own = {c: F.when(linked, F.coalesce(c, "id")).otherwise(F.col("id")) for c in ("class_id", "component_id")}
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own["class_id"].alias("class_id"), F.coalesce("of_id", own["component_id"]).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,8 @@ prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0
 negative by overfitting and is kept from it. With the squared loss every part depends on the data only through
 first and second moments, so Spark sums these over all positives and all unlabelled texts, and the minimum is
 found exactly: it solves a linear system for a weight of the second part that is 1, or less where that part would be
-negative. The class prior is estimated from the labels; a bounded sample of labelled rows (a documented parameter)
+negative. The class prior is the share of label 1 where both labels are known, and else estimated from the margins of
+positives and unlabelled texts; a bounded sample of labelled rows (a documented parameter)
 turns scores into probabilities."""
 
 from __future__ import annotations
@@ -176,6 +177,24 @@ def sums(rows: DataFrame, of) -> dict[str, np.ndarray]:
     return found
 
 
+#: Cells of a histogram of margins, over -4 to 4, and the least share of positives that an estimate of the prior looks at.
+CELLS, LEAST_TAIL = 256, 0.1
+
+
+def histogram(margins: np.ndarray) -> np.ndarray:
+    return np.histogram(np.clip(margins, -3.999, 3.999), CELLS, (-4, 4))[0].astype(float)
+
+
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled texts, from histograms of their margins: above any margin lie at least the prior
+    times the positives' share of the unlabelled texts, so the least quotient of the two shares bounds it, and reaches it
+    where only positives lie. Each quotient is raised by its sampling error, so that small tails don't decide."""
+    p, u = (np.cumsum(h[::-1])[:-1] / max(h.sum(), 1) for h in (positives, unlabelled))
+    tails = p >= LEAST_TAIL
+    error = np.sqrt((1 - p[tails]) / (p[tails] * max(positives.sum(), 1)))
+    return float(np.clip((u[tails] / p[tails] * (1 + error)).min(initial=1.0), 0.02, 0.98))
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     return np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0)))
 
@@ -206,7 +225,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_row
     for kind in ("good", "all"):
         m, first, second = np.split(found[kind], [1, 1 + len(model.weights)])
         parts += [first / m, second.reshape(len(first), -1) / m]
-    model.fit(*parts, prior=min(0.98, max(0.02, n_good / n)) if n_good < n else 0.5)
+    if n_good < n:
+        model.fit(*parts, prior=min(0.98, max(0.02, n_good / n)))
+    else:  # positives only: margins of a first fit tell the prior
+        model.fit(*parts, prior=0.5)
+        first = docs.sparkSession.sparkContext.broadcast(model)
+        margins = sums(kinds, lambda x: histogram(first.value.margin(x)))
+        model.fit(*parts, prior=estimated_prior(margins["good"], margins["all"]))
     share = min(1.0, most_rows / n)  # by a hash of id and features, so equal rows go together; hence the limit
     chosen = labelled.where(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 24)) < int(share * (1 << 24)))
     some = sorted((r.id, r.quality, r.x) for r in chosen.orderBy(F.xxhash64("id", "x")).limit(2 * most_rows).collect())

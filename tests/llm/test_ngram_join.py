@@ -86,6 +86,16 @@ def test_edge_cases(spark, docs):
     assert sorted((r.doc_id, r.component_id) for r in twice) == [(5, 5), (5, 5), (5, 5), (6, 5), (9, 5)]
 
 
+def test_ids_that_repeat_with_an_empty_text(spark, docs):
+    """A row without words beside one with words of the same id, in either order; the id has one component."""
+    text = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    near = text + " again"
+    got = nj.ngram_join(docs([(1, text), (1, None), (2, near), (5, ""), (6, None), (6, "")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_shingles > 0) for r in got) == [(1, 1, False), (1, 1, True), (2, 1, True), (5, 5, False), (6, 6, False), (6, 6, False)]
+    got = nj.ngram_join(docs([(1, text), (2, near), (2, ""), (3, near), (3, " "), (None, None)])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (3, 1)]
+
+
 def test_keep_one(spark, docs):
     rows = [(3, "a b c d e f g h"), (2, "a b c d e f g h"), (8, "other words here"), (None, "a b c d e f g h"), (9, None)]
     kept = nj.keep_one(docs(rows))

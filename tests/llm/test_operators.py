@@ -1,6 +1,7 @@
 """The corpus operators against SQL, the tokenizer library or brute force, and on rows that break things: nulls, empty and very
 long texts, ties, repeats, empty tables and columns whose names clash."""
 
+import itertools
 import random
 import time
 import zlib
@@ -139,6 +140,26 @@ def test_decontaminate_equals_brute_force(spark, docs):
     assert [x.contaminated for x in decontaminate.decontaminate(docs(rows[:2]), empty).collect()] == [False, False]
 
 
+def test_decontaminate_finds_every_substitution_in_short_items(spark, docs):
+    """All ways to change a fifth of the words of items of 4 to 12 words; one change more isn't contaminated."""
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(4, 13)]
+    rows = []
+    for n, item in items:
+        for m in (n // 5, n // 5 + 1):
+            for at in itertools.combinations(range(n), m):
+                rows.append((len(rows), " ".join(["before", *("x" if k in at else w for k, w in enumerate(item.split())), "behind"]), m == n // 5))
+    got = decontaminate.decontaminate(docs([r[:2] for r in rows]), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.contaminated for r in got.collect()} == {i: hit for i, _, hit in rows}
+
+
+def test_decontaminate_repeated_rows_empty_documents_and_long_texts(spark, docs):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    far = "filler " * 60_000 + "one two three four five six seven eight " + "more " * 60_000
+    got = decontaminate.decontaminate(docs([(1, far), (1, far), (None, far), (2, "filler")]), items).collect()
+    assert [r.contaminated for r in got] == [True, True, True, False]
+    assert decontaminate.decontaminate(docs([]), items).collect() == []
+
+
 def test_decontaminate_repeated_words():
     block = decontaminate.Block([(k, next(decontaminate.lowered(["spam " * 20 + f"w{k}"]))) for k in range(20)])
     best = within(10, lambda: block.overlaps(next(decontaminate.lowered(["spam " * 8000]))))
@@ -225,6 +246,33 @@ def test_quality_is_learnt_and_independent_of_row_order(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows) and len(rows) > 50
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled(spark):
+    """With trusted positives only, the class prior comes from where positives and unlabelled texts lie."""
+    rng = np.random.default_rng(1)
+    good = rng.normal(2, 1, 4000)
+    for share in (0.2, 0.5, 0.8):
+        every = np.concatenate((rng.normal(2, 1, int(20_000 * share)), rng.normal(-2, 1, int(20_000 * (1 - share)))))
+        histograms = [quality.histogram(x) for x in (good, every)]
+        assert abs(quality.estimated_prior(*histograms) - share) < 0.06
+
+
+def test_weights_minimise_the_risk():
+    """No other weights have a smaller non-negative risk than those of the linear system."""
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.9):
+        model = quality.Model(np.zeros(3), np.ones(3), hidden=4)
+        p, u = model.basis(rng.normal(1, 1, (300, 3))), model.basis(rng.normal(0, 1.5, (400, 3)))
+        model.fit(p.mean(0), p.T @ p / len(p), u.mean(0), u.T @ u / len(u), prior)
+
+        def risk(w):
+            loss = lambda z, y: ((z - y) ** 2).mean() / 4
+            ridge = 1e-3 / 4 * w @ w
+            return prior * loss(p @ w, 1) + max(0, loss(u @ w, -1) - prior * loss(p @ w, -1)) + ridge
+
+        least = risk(model.weights)
+        assert all(risk(model.weights + step) >= least - 1e-6 for scale in (1e-3, 1e-2, 0.1, 1) for step in rng.normal(0, scale, (200, len(model.weights))))
+
+
 def test_quality_edge_cases(spark, docs):
     known = spark.createDataFrame([(k, k % 2, None) for k in range(30)] + [(None, 1, None), (3, None, None)], "doc_id long, quality int, toxic int")
     rows = [(k, f"Some text number {k}.\nIt goes on." if k % 2 else "@@## !! 000 " * k) for k in range(30)] + [(None, None), (40, ""), (5, "x")]
