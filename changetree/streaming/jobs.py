@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -102,9 +103,25 @@ def stream_registration_expiry(registrations: DataFrame, verifications: DataFram
     return r.join(v, within, "leftOuter").select("registration_id", "issued", F.col("at").alias("verified_at"))
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB; the session's own setting is put back afterwards."""
+    own = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, own) if own else spark.conf.unset(STORE)
+
+
 def to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Writes what a stream has now as Parquet files. In complete mode each batch replaces the folder before it."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        return writer.format("parquet").option("path", folder).start()
-    return writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(folder)).start()
+    with rocks(stream.sparkSession):
+        if mode == "append":
+            return writer.format("parquet").option("path", folder).start()
+        return writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(folder)).start()
