@@ -16,7 +16,16 @@ def persisted(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder; lineage ends there."""
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by persisted() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
