@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dropped, free_name, give_back, persisted, small_batches, table
+from .ngram_join import filter_of, probed
 from .quality import held_out
-from .words import mix
+from .words import BASE, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 6
@@ -135,16 +137,22 @@ def codes(signs: str) -> np.ndarray:
 
 def keys(signs: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of so many signs."""
-    n = len(signs) - size + 1
-    h = np.full(max(n, 0), np.uint64(size))
+    return keys_at(signs, size, slice(0, max(len(signs) - size + 1, 0)))
+
+
+def keys_at(signs: np.ndarray, size: int, places) -> np.ndarray:
+    """The same for the runs that begin at these places."""
+    windows = np.lib.stride_tricks.sliding_window_view(signs, size)[places]
+    h = np.full(len(windows), np.uint64(size))
     with np.errstate(over="ignore"):
         for k in range(size):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + signs[k : k + n] + np.uint64(1))
-    return h
+            h = (h ^ windows[:, k]) * BASE
+            h ^= h >> np.uint64(29)
+        return mix(h)
 
 
 class Ratios:
-    """Values of grams and of the signs before them, by hash."""
+    """Values of grams and of the signs before them, in a table by hash: each entry lies at its slot or in the next free ones."""
 
     def __init__(self, names: list[str], values: np.ndarray):
         h = np.zeros(len(names), np.uint64)
@@ -152,26 +160,37 @@ class Ratios:
             own = [k for k, g in enumerate(names) if len(g) == size]
             if own:
                 h[own] = keys(codes("".join(names[k] for k in own)), size)[::size]
+        self.shift = np.uint64(64 - max(4, (4 * len(names)).bit_length()))
         order = np.argsort(h)
-        self.keys, self.values = h[order], values[order].astype(np.float32)
+        slots = (h[order] >> self.shift).astype(np.int64)
+        at = np.maximum.accumulate(slots - np.arange(len(h))) + np.arange(len(h))
+        self.keys, self.values = np.zeros((1 << int(64 - self.shift)) + len(h) + 1, np.uint64), np.zeros(0, np.float32)
+        self.values = np.zeros(len(self.keys), np.float32)
+        self.keys[at], self.values[at] = h[order], values[order]
 
     def get(self, h: np.ndarray) -> np.ndarray:
         """The value of each hash, nan where there is none."""
-        if not len(self.keys):
-            return np.full(len(h), np.nan)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.values[at], np.nan)
+        out = np.full(len(h), np.nan, np.float32)
+        left, at = np.arange(len(h)), (h >> self.shift).astype(np.int64)
+        while len(left):
+            found = self.keys[at]
+            hit = found == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            more = ~hit & (found != 0)
+            left, at = left[more], at[more] + 1
+        return out
 
     def words(self, some: list[str]) -> np.ndarray:
         """The logarithm of the toxic over the ordinary probability of each word."""
         if not some:
             return np.zeros(0)
         signs = codes("".join(START * (ORDER - 1) + w + END for w in some))
-        long, before = self.get(keys(signs, ORDER)), self.get(keys(signs, ORDER - 1)[: len(signs) - ORDER + 1])
-        value = np.where(np.isnan(long), np.nan_to_num(before), long)
+        value = self.get(keys(signs, ORDER))
+        rest = np.flatnonzero(np.isnan(value))
+        value[rest] = np.nan_to_num(self.get(keys_at(signs, ORDER - 1, rest)))
         sizes = np.array([len(w) + ORDER for w in some])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        total = np.concatenate(([0.0], np.cumsum(value)))
+        total = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64)))
         return total[starts + sizes - ORDER + 1] - total[starts]
 
 
@@ -180,12 +199,16 @@ def mixed(ratio):
     return np.log(1 - SHARE + SHARE * np.exp(np.minimum(ratio, 50.0)))
 
 
-def text_values(model: Ratios, texts) -> list[float]:
-    """For each text the difference of its log-likelihoods, divided by its length in words; 0 without words."""
+def text_values(model: Ratios, texts, known: dict[str, float] | None = None) -> list[float]:
+    """For each text the difference of its log-likelihoods, divided by its length in words; 0 without words. known holds
+    words' values from one batch to the next."""
+    known = {} if known is None else known
     split = [words(t) for t in texts]
-    some = list(set().union(*split)) if split else []
-    value = dict(zip(some, mixed(model.words(some)).tolist()))
-    return [sum(map(value.__getitem__, x)) / (len(x) + SHORT) for x in split]
+    if len(known) > HELD:
+        known.clear()
+    some = list(set().union(*split).difference(known))
+    known.update(zip(some, mixed(model.words(some)).tolist()))
+    return [sum(map(known.__getitem__, x)) / (len(x) + SHORT) for x in split]
 
 
 def values_by_join(texts: DataFrame, model: DataFrame) -> DataFrame:
@@ -236,12 +259,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     small_batches(spark)
     held, score, predicted = (free_name(docs, c) for c in ("held_out", "score", "predicted"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # Of all texts only those that a Bloom filter of the labelled ids may hold are shuffled to their labels, at any size in the same way.
     known = labels.select(F.col("doc_id").alias("id"), "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     for_curve = F.crc32(F.concat(F.col("id").cast("string"), F.lit("c")).cast("binary")) % 4 == 0
+    known = persisted(known.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("for_curve", for_curve))
+    asked = spark.sparkContext.broadcast(filter_of(known.select(F.xxhash64("id").alias("h"))))
+    labelled = probed(texts.withColumn("h", F.xxhash64("id")), asked, True).join(known.hint("merge"), "id")
+    labelled = persisted(labelled.select("id", "text", "toxic", "for_curve"))
     corpus = persisted(texts.select("text").mapInPandas(_corpus_grams, "gram string").distinct())
     shared = shared_probabilities(corpus)
-    learnt = texts.join(known.where(~for_curve), "id").select("text", "toxic")
+    learnt = labelled.where("NOT for_curve").select("text", "toxic")
     counts = learnt.mapInPandas(_class_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     table_of = ratios(counts, shared)
     dropped(corpus, shared)
@@ -251,8 +278,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         model = spark.sparkContext.broadcast(Ratios(found["gram"].to_list(), found["value"].to_numpy()))
 
         @F.pandas_udf("double")
-        def value(some: pd.Series) -> pd.Series:
-            return pd.Series(text_values(model.value, some), dtype=float)
+        def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: dict[str, float] = {}
+            for some in batches:
+                yield pd.Series(text_values(model.value, some, known), dtype=float)
 
     def valued(rows: DataFrame, text: str, name: str) -> DataFrame:
         if small:
@@ -262,11 +291,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         by_row = values_by_join(rows.select(F.col(key).alias("row"), F.col(f"`{text}`").alias("text")), table_of)
         return rows.join(by_row.select(F.col("row").alias(key), F.col("value").alias(name)), key).drop(key)
 
-    tests = known.where(for_curve)
+    tests = labelled.where("for_curve")
     n = tests.count()
     if n > most_rows:
         tests = tests.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < int(most_rows / n * (1 << 24)))
-    some = valued(texts.join(tests, "id"), "text", "value").select("toxic", "value").limit(2 * most_rows).toPandas().sort_values(["value", "toxic"])
+    some = valued(tests.select("text", "toxic"), "text", "value").select("toxic", "value").limit(2 * most_rows).toPandas().sort_values(["value", "toxic"])
+    dropped(known, labelled)
     y = some["toxic"].to_numpy(float)
     slope, offset = curve(some["value"].to_numpy(float), y) if len(y) else (100.0, -6.0)
     name = free_name(docs, "value")
