@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import persisted
+
 
 def _prefixes(path: Column, own: bool) -> Column:
     """The folders that a path lies in, from the root down, with the path itself at the end if own."""
@@ -50,14 +52,15 @@ def infer_moves_from_hints(prev: DataFrame, cur: DataFrame, hints: DataFrame) ->
 
     No loop is needed: a target of a signature that two targets have is never the only one, so targets with a signature of their own go to the
     first hint that has it, and an empty hint takes part only where all but one of its tree's targets are taken before it."""
-    old, now, order = prev.select("tree", "path", "signature"), cur.select("tree", "path", "signature"), F.struct(F.size(F.split("path", "/")).alias("depth"), "path")
-    fresh = now.join(old.select("tree", "path"), ["tree", "path"], "left_anti")
+    old, now = (persisted(rows.select("tree", "path", "signature")) for rows in (prev, cur))  # each is read several times
+    order = F.struct(F.size(F.split("path", "/")).alias("depth"), "path")
+    fresh = persisted(now.join(old.select("tree", "path"), ["tree", "path"], "left_anti"))
     below = fresh.select("tree", F.col("path").alias("child"), F.explode(_inside(F.col("path"))).alias("path")).join(fresh.select("tree", "path"), ["tree", "path"], "left_semi")
     targets = fresh.join(below.select("tree", F.col("child").alias("path")).distinct(), ["tree", "path"], "left_anti")
     asked = hints.select("tree", "path").distinct().join(old, ["tree", "path"]).withColumn("at", order)
     single = targets.where("signature <> ''").groupBy("tree", "signature").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("target")).where("n = 1")
     takes = asked.where("signature <> ''").join(single, ["tree", "signature"]).groupBy("tree", "target").agg(F.min(F.struct("at", "path")).alias("first"))
-    takes = takes.select("tree", "target", F.col("first.at").alias("at"), F.col("first.path").alias("old_root"))
+    takes = persisted(takes.select("tree", "target", F.col("first.at").alias("at"), F.col("first.path").alias("old_root")))
     last_two = takes.withColumn("k", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("at")))).where("k <= 2")
     ends = last_two.groupBy("tree").agg(F.max("at").alias("last"), F.min(F.when(F.col("k") == 2, F.col("at"))).alias("before"), F.max_by("target", "at").alias("last_target"))
     totals = targets.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).join(takes.groupBy("tree").agg(F.count(F.lit(1)).alias("taken")), "tree", "left").join(ends, "tree", "left")
@@ -89,7 +92,8 @@ def match_moved_folders(prev: DataFrame, cur: DataFrame, forced: DataFrame | Non
     such groups are counted and never paired."""
     same = ["tree", "device", "inode"]
     old = prev.select("tree", F.col("path").alias("old_path"), "object_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in same[1:]), "signature", "state")
-    now = cur.select("tree", "path", *(F.coalesce(c, F.lit(0)).alias(c) for c in same[1:]), "signature")
+    now = persisted(cur.select("tree", "path", *(F.coalesce(c, F.lit(0)).alias(c) for c in same[1:]), "signature"))
+    old = persisted(old)
     edges = None
     free_old, free_now = old, now
     if forced is not None:
@@ -104,9 +108,11 @@ def match_moved_folders(prev: DataFrame, cur: DataFrame, forced: DataFrame | Non
     edges = (edges.unionByName(exact) if edges is not None else exact).unionByName(groups.where("n_old = 1 AND n_now = 1").select("tree", "old_path", "path")).distinct()
     crowded = groups.where("n_old > 1 OR n_now > 1").select(*alike)
     n_of = lambda side: F.count(F.lit(1)).over(W.partitionBy("tree", side))
+    edges = persisted(edges)
     pairs = edges.withColumn("n_now", n_of("old_path")).withColumn("n_old", n_of("path")).where("n_now = 1 AND n_old = 1").select("tree", "old_path", "path")
     for side, rows in (("old_path", free_old), ("path", free_now)):
         pairs = pairs.join(rows.join(crowded, alike, "left_semi").select("tree", side), ["tree", side], "left_anti")
+    pairs = persisted(pairs)
     known = pairs.join(old.select("tree", "old_path", "object_id"), ["tree", "old_path"]).select("tree", "path", "old_path", "object_id", F.lit("known").alias("state"))
     rest_old = old.join(pairs.select("tree", "old_path"), ["tree", "old_path"], "left_anti").select("tree", "old_path", "object_id")
     rest_now = now.join(pairs.select("tree", "path"), ["tree", "path"], "left_anti").select("tree", "path")
