@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .content import PATH_BYTES
+
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 HASH = "^[0-9a-f]{64}$"
 
@@ -197,7 +199,9 @@ def blob_store_audit(registry: DataFrame, files: DataFrame) -> DataFrame:
 
 def classify_proposals(proposals: DataFrame, objects: DataFrame, paths: DataFrame) -> DataFrame:
     """proposals (operation_id, kind, object_id, type, base_revision, parent_id, name_key) against one state, objects (object_id, parent_id, type, revision, deleted,
-    name_key) and its ancestor_paths: `code` is accepted or the first ground for a conflict."""
+    name_key) and its ancestor_paths: `code` is accepted or the first ground for a conflict. The order of the rules is their meaning. Where proposals have
+    `name`, a create or move whose path, or after a folder's move the longest path below it, has more than PATH_BYTES is
+    `invalid`, which comes before path_collision."""
     known = objects.select("object_id", F.col("type").alias("k_type"), "revision", "deleted")
     parents = objects.select(F.col("object_id").alias("parent_id"), F.col("type").alias("p_type"), F.col("deleted").alias("p_deleted"))
     alive = objects.where("NOT deleted")
@@ -209,6 +213,16 @@ def classify_proposals(proposals: DataFrame, objects: DataFrame, paths: DataFram
     rows = rows.join(keys, F.col("parent_id").eqNullSafe(F.col("s_parent")) & (F.col("name_key") == F.col("s_key")), "left")
     holders = alive.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("object_id"), F.lit(True).alias("has_child")).distinct()
     rows = rows.join(holders, "object_id", "left")
+    too_long = F.lit(False)
+    if "name" in proposals.columns:
+        ok = paths.where("status = 'ok'").select("object_id", "ancestors", F.octet_length("path").alias("bytes"))
+        rows = rows.join(ok.select(F.col("object_id").alias("parent_id"), F.col("bytes").alias("parent_bytes")), "parent_id", "left")
+        folders = proposals.where("kind = 'move' AND type = 'folder'").select("object_id").distinct()
+        below = ok.select(F.explode("ancestors").alias("object_id"), "bytes").join(folders, "object_id", "left_semi").groupBy("object_id").agg(F.max("bytes").alias("deepest"))
+        below = below.join(ok.select("object_id", "bytes"), "object_id").select("object_id", (F.col("deepest") - F.col("bytes")).alias("more"))
+        rows = rows.join(below, "object_id", "left")
+        more = F.when((F.col("kind") == "move") & (F.col("type") == "folder"), F.coalesce("more", F.lit(0))).otherwise(0)
+        too_long = F.coalesce(F.col("parent_bytes") + 1, F.lit(0)) + F.octet_length("name") + more > PATH_BYTES
     code = (
         F.when((F.col("kind") == "create") & F.col("revision").isNotNull(), "object_exists")
         .when((F.col("kind") != "create") & F.col("revision").isNull(), "object_missing")
@@ -217,6 +231,7 @@ def classify_proposals(proposals: DataFrame, objects: DataFrame, paths: DataFram
         .when((F.col("kind") != "create") & (F.col("base_revision") != F.col("revision")), "base_revision_mismatch")
         .when(placed & F.col("parent_id").isNotNull() & (F.col("p_type").isNull() | F.coalesce("p_deleted", F.lit(False)) | (F.col("p_type") != "folder")), "parent_unavailable")
         .when((F.col("kind") == "move") & (F.col("type") == "folder") & ((F.col("parent_id") == F.col("object_id")) | F.coalesce(F.array_contains("above", F.col("object_id")), F.lit(False))), "folder_cycle")
+        .when(placed & F.coalesce(too_long, F.lit(False)), "invalid")
         .when(placed & F.col("one").isNotNull() & ((F.col("one") != F.col("object_id")) | (F.col("other") != F.col("object_id"))), "path_collision")
         .when((F.col("kind") == "delete") & (F.col("type") == "folder") & F.coalesce("has_child", F.lit(False)), "folder_not_empty")
         .otherwise("accepted")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import collision_key
 from ..sources.tables import persisted
 
 #: Levels beyond which a path is too deep; pointer doubling takes the logarithm of it in rounds.
@@ -72,9 +75,11 @@ def cycle_report(paths: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.where(own).select("object_id", F.lit("move").alias("reason")).unionByName(paths.where("status = 'cycle'").select("object_id", F.lit("exists").alias("reason")))
 
 
-def moved_path_check(paths: DataFrame, moves: DataFrame, most_bytes: int = 768, reserved: tuple[str, ...] = ()) -> DataFrame:
+def moved_path_check(paths: DataFrame, moves: DataFrame, most_bytes: int = 768, reserved: tuple[str, ...] = (), recovery: tuple[str, str] | None = None) -> DataFrame:
     """The new paths of moved objects (object_id, new_parent, new_name) and of all below them that are too_long or lie under a reserved
-    root (compared in lower case): moved, object_id, new_path, problem."""
+    root (compared by collision key): moved, object_id, new_path, problem. What moves directly or deeper into the folder that
+    recovery names, by its root and its own name, need only be short enough; what lies below a folder moved there is held to
+    the plain rule."""
     ok = paths.where("status = 'ok'")
     parents = ok.select(F.col("object_id").alias("new_parent"), F.col("path").alias("parent_path"))
     at = moves.join(parents, "new_parent", "left").where("new_parent IS NULL OR parent_path IS NOT NULL")
@@ -82,8 +87,12 @@ def moved_path_check(paths: DataFrame, moves: DataFrame, most_bytes: int = 768,
     below = subtree_members(paths, at.select(F.col("moved").alias("root"))).select(F.col("root").alias("moved"), "object_id")
     rows = below.join(at, "moved").join(ok.select("object_id", "path"), "object_id")
     rows = rows.withColumn("new_path", F.concat("start", F.expr("substring(path, cut + 1)")))
-    root = F.lower(F.substring_index("new_path", "/", 1))
-    problem = F.when(F.octet_length("new_path") > most_bytes, "too_long").when(root.isin(*[r.lower() for r in reserved]) if reserved else F.lit(False), "reserved_root")
+    root = F.lit(False)
+    if reserved:
+        root = collision_key(F.substring_index("new_path", "/", 1)).isin(*[unicodedata.normalize("NFC", r.casefold()) for r in reserved])
+    if recovery:
+        root &= ~((F.col("moved") == F.col("object_id")) & F.col("new_path").startswith("/".join(recovery) + "/"))
+    problem = F.when(F.octet_length("new_path") > most_bytes, "too_long").when(root, "reserved_root")
     return rows.select("moved", "object_id", "new_path", problem.alias("problem")).where("problem IS NOT NULL")
 
 

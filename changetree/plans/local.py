@@ -147,6 +147,11 @@ chain AS (SELECT object_id, object_id AS root, 0 AS level FROM paths UNION ALL S
 ROOTS = "object_id LIKE 'n%'"
 
 
+def _named(proposals: DataFrame) -> DataFrame:
+    """Proposals with names, some of them too long for any path."""
+    return proposals.withColumn("name", F.when(F.col("operation_id") % 37 == 0, F.repeat(F.lit("x"), content.PATH_BYTES + 1)).otherwise(F.col("name_key")))
+
+
 def _paths(s, d):
     return tree.ancestor_paths(nodes(s, d))
 
@@ -203,7 +208,7 @@ QUERIES = {
     "rate_limit_decisions": _op(access.rate_limit_decisions, "tries", limit=LIMIT, window=WINDOW),
     "quota_admission": _op(access.quota_admission, "uploads", limit=QUOTA),
     "blob_store_audit": lambda s, d: access.blob_store_audit(*_files(s, d)),
-    "classify_proposals": lambda s, d: access.classify_proposals(derived(s, d, "proposals"), derived(s, d, "versioned"), _paths(s, d)),
+    "classify_proposals": lambda s, d: access.classify_proposals(_named(derived(s, d, "proposals")), derived(s, d, "versioned"), _paths(s, d)),
     "subtree_members": lambda s, d: tree.subtree_members(_paths(s, d), _roots(s, d)),
     "cycle_report": lambda s, d: tree.cycle_report(_paths(s, d), derived(s, d, "moves")),
     "moved_path_check": lambda s, d: tree.moved_path_check(_paths(s, d), derived(s, d, "moves"), reserved=("Trash",)),
@@ -305,11 +310,12 @@ SELECT u.tenant, u.blob_hash, u.sequence, u.size, r.admitted FROM uploads u JOIN
 SELECT coalesce(r.h, f.h) AS blob_hash, CASE WHEN r.h IS NULL THEN 'orphan' WHEN f.h IS NULL AND available THEN 'missing' WHEN f.h IS NULL THEN 'unavailable' WHEN f.n % 19 = 0 OR f.n % 13 = 0 THEN 'corrupt' ELSE 'ok' END AS status
 FROM r FULL JOIN f ON r.h = f.h UNION ALL SELECT 't/' || n, 'malformed' FROM g WHERE n % 7 <> 0 AND n % 17 = 0""",
     "classify_proposals": with_inputs("proposals", "versioned", "objects") + PATHS + """ SELECT p.operation_id, p.kind, p.object_id, CASE WHEN kind = 'create' AND k.object_id IS NOT NULL THEN 'object_exists'
-WHEN kind = 'create' THEN CASE WHEN p.parent_id IS NOT NULL AND (u.object_id IS NULL OR u.deleted OR u.type <> 'folder') THEN 'parent_unavailable'
+WHEN kind = 'create' THEN CASE WHEN p.parent_id IS NOT NULL AND (u.object_id IS NULL OR u.deleted OR u.type <> 'folder') THEN 'parent_unavailable' WHEN p.operation_id % 37 = 0 THEN 'invalid'
   WHEN EXISTS (SELECT 1 FROM versioned x WHERE NOT x.deleted AND x.name_key = p.name_key AND x.parent_id IS NOT DISTINCT FROM p.parent_id AND x.object_id <> p.object_id) THEN 'path_collision' ELSE 'accepted' END
 WHEN k.object_id IS NULL THEN 'object_missing' WHEN k.deleted THEN 'object_deleted' WHEN p.type <> k.type THEN 'type_mismatch' WHEN p.base_revision <> k.revision THEN 'base_revision_mismatch'
 WHEN kind = 'move' AND p.parent_id IS NOT NULL AND (u.object_id IS NULL OR u.deleted OR u.type <> 'folder') THEN 'parent_unavailable'
 WHEN kind = 'move' AND p.type = 'folder' AND EXISTS (SELECT 1 FROM chain c WHERE c.root = p.object_id AND c.object_id = p.parent_id) THEN 'folder_cycle'
+WHEN kind = 'move' AND p.operation_id % 37 = 0 THEN 'invalid'
 WHEN kind = 'move' AND EXISTS (SELECT 1 FROM versioned x WHERE NOT x.deleted AND x.name_key = p.name_key AND x.parent_id IS NOT DISTINCT FROM p.parent_id AND x.object_id <> p.object_id) THEN 'path_collision'
 WHEN kind = 'delete' AND p.type = 'folder' AND EXISTS (SELECT 1 FROM versioned x WHERE NOT x.deleted AND x.parent_id = p.object_id) THEN 'folder_not_empty' ELSE 'accepted' END AS code
 FROM proposals p LEFT JOIN versioned k ON k.object_id = p.object_id LEFT JOIN versioned u ON u.object_id = p.parent_id""",

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from changetree.functions.names import collision_key
 from changetree.operators import access, content, history, planning, queues, tree
-from changetree.plans import local, registry, streams
+from changetree.plans import local, notes, recovery, registry, streams
 
-QUERIES, SQL = registry.QUERIES | local.QUERIES | streams.QUERIES, registry.SQL | local.SQL | streams.SQL
+PARTS = (registry, local, recovery, notes, streams)
+QUERIES, SQL = {n: q for p in PARTS for n, q in p.QUERIES.items()}, {n: q for p in PARTS for n, q in p.SQL.items()}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,6 +44,25 @@ def test_ancestor_paths_of_broken_trees(spark):
     assert [got[1000 + k].status for k in (0, 255, 256, 258)] == ["ok", "ok", "too_deep", "too_deep"]
 
 
+def test_length_of_proposed_and_moved_paths(spark):
+    objects = [("top", None, "folder", "t" * 200), ("mid", "top", "folder", "m" * 200), ("low", "mid", "note", "n" * 200), ("flat", None, "folder", "f")]
+    nodes = spark.createDataFrame([(i, p, n) for i, p, _, n in objects], "object_id string, parent_id string, name string")
+    paths = tree.ancestor_paths(nodes)
+    state = spark.createDataFrame([(i, p, t, 1, False, n) for i, p, t, n in objects], "object_id string, parent_id string, type string, revision long, deleted boolean, name_key string")
+    rows = [("a", "create", "x", "note", 0, "mid", "y" * 366), ("b", "create", "x", "note", 0, "mid", "y" * 367), ("c", "create", "x", "note", 0, None, "y" * 900), ("d", "move", "mid", "folder", 1, None, "z" * 567),
+            ("e", "move", "mid", "folder", 1, None, "z" * 568), ("f", "move", "mid", "folder", 1, "low", "z" * 900), ("g", "create", "x", "note", 0, None, "é" * 385)]
+    proposals = spark.createDataFrame([(*r, r[-1]) for r in rows], "operation_id string, kind string, object_id string, type string, base_revision long, parent_id string, name string, name_key string")
+    got = {r.operation_id: r.code for r in access.classify_proposals(proposals, state, paths).collect()}
+    assert got == {"a": "accepted", "b": "invalid", "c": "invalid", "d": "accepted", "e": "invalid", "f": "parent_unavailable", "g": "invalid"}
+    moves = spark.createDataFrame([("flat", None, "TRA\u017fH"), ("mid", "flat", "x"), ("low", None, "trash.md")], "object_id string, new_parent string, new_name string")
+    got = tree.moved_path_check(paths, moves, reserved=("Trash",))
+    assert [(r.object_id, r.problem) for r in got.collect()] == [("flat", "reserved_root")]
+    kept = spark.createDataFrame([("bin", None, "Bin"), ("in", "bin", "Kept"), *[(i, p, n) for i, p, _, n in objects]], "object_id string, parent_id string, name string")
+    moves = spark.createDataFrame([("mid", "in", "m"), ("flat", "bin", "f")], "object_id string, new_parent string, new_name string")
+    got = tree.moved_path_check(tree.ancestor_paths(kept), moves, reserved=("bin",), recovery=("Bin", "Kept"))
+    assert sorted((r.moved, r.object_id, r.problem) for r in got.collect()) == [("flat", "flat", "reserved_root"), ("mid", "low", "reserved_root")]
+
+
 def test_versions_are_compared_as_pairs(spark):
     df = spark.createDataFrame([("k", i, g, r) for i, (g, r) in enumerate([(4, 9), (4, 8), (3, 99), (4, 9), (5, 0)])], "k string, i int, g int, r int")
     got = history.monotonic_version_filter(df, "k", "g", "r", "i").orderBy("i").collect()
