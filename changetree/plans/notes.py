@@ -26,7 +26,7 @@ INPUTS |= {
         WHEN 7 THEN replace({_HEAD} || '  tags: [A, a]' || chr(10) || '---' || chr(10), chr(10), chr(13) || chr(10)) || text WHEN 8 THEN replace({_HEAD} || '---' || chr(10), chr(10), chr(13) || chr(10)) || text
         ELSE text END AS text, text AS body, lang FROM {{documents}}""",
     "tag_edits": f"SELECT path, {_ID.format('doc_id')} AS expected_id, 'new' || chr(10) || 'body' AS new_body FROM {{noted}} WHERE {_KIND} IN (0, 2, 8)",
-    "copies": f"""SELECT path, {_ID.format('doc_id')} AS expected_id, {_ID.format('doc_id + 500000')} AS new_id, 'op' || CAST(doc_id AS {_TEXT}) AS operation_id,
+    "note_copies": f"""SELECT path, {_ID.format('doc_id')} AS expected_id, {_ID.format('doc_id + 500000')} AS new_id, 'op' || CAST(doc_id AS {_TEXT}) AS operation_id,
         CASE WHEN doc_id % 2 = 0 THEN 'path_collision' ELSE 'object_deleted' END AS reason, 'in/' || path AS original_target, doc_id AS base_revision, doc_id % 3 AS canonical_revision FROM {{noted}} WHERE {_KIND} IN (1, 2)""",
     "step_page": f"""SELECT user_id % 10 AS tenant, event_id AS cursor, 'o' || CAST(user_id AS {_TEXT}) AS object_id, CASE WHEN user_id % 4 = 0 THEN 'folder' ELSE 'note' END AS type,
         CASE WHEN event_type = 'click' THEN 'create' WHEN event_type IN ('view', 'signup') THEN 'update' WHEN event_type = 'purchase' THEN 'move' ELSE 'delete' END AS mutation,
@@ -40,7 +40,7 @@ INPUTS |= {
     "shared_tries": f"""SELECT 'e' || CAST(user_id % 2 AS {_TEXT}) AS scope, 'u' || CAST(user_id % 7 AS {_TEXT}) AS key, event_id * 5 + user_id % 3 AS at, event_id AS attempt_id FROM {{events}}""",
     "scanned": f"""SELECT 'f' || CAST(page_id % 50 AS {_TEXT}) || '/' || CASE WHEN page_id % 4 = 0 THEN upper(regexp_extract(url, '([^/]*)$', 1)) ELSE regexp_extract(url, '([^/]*)$', 1) END AS path, 'note' AS type,
         CASE WHEN page_id % 5 > 0 THEN 'i' || CAST(page_id - page_id % 11 AS {_TEXT}) END AS note_id, CASE WHEN page_id % 13 = 0 THEN 'invalid_yaml' END AS problem, page_id % 17 > 0 AS readable FROM {{pages}}""",
-    "tagged": f"""SELECT p_type || '/' || CASE WHEN p_size % 2 = 0 THEN 'size ' || CAST(p_size AS {_TEXT}) || '/' ELSE '' END || 'p' || CAST(p_partkey AS {_TEXT}) || '.md' AS path,
+    "tagged_notes": f"""SELECT p_type || '/' || CASE WHEN p_size % 2 = 0 THEN 'size ' || CAST(p_size AS {_TEXT}) || '/' ELSE '' END || 'p' || CAST(p_partkey AS {_TEXT}) || '.md' AS path,
         CASE WHEN p_size % 3 = 0 THEN 'hot' ELSE 'cold' END AS tag FROM {{part}} WHERE p_size % 7 > 0""",
     "tag_folders": f"SELECT DISTINCT p_type || '/size ' || CAST(p_size AS {_TEXT}) AS path FROM {{part}}",
     "sealed_links": f"""SELECT 's' || CAST(o_orderkey AS {_TEXT}) AS seal_id, depth, 'a' || CAST(o_custkey - depth AS {_TEXT}) AS ancestor_id, CASE WHEN depth < 3 THEN 'a' || CAST(o_custkey - depth - 1 AS {_TEXT}) END AS parent_id,
@@ -56,7 +56,7 @@ def edits(spark: SparkSession, d: str) -> DataFrame:
 
 def admitted_stream(spark: SparkSession, d: str) -> DataFrame:
     """The mutations of the events table as a stream, against the tenants' blobs."""
-    muts = spark.sql(recovery.INPUTS["mutations"], events=stream(spark, d, "events"))
+    muts = spark.sql(recovery.INPUTS["submitted"], events=stream(spark, d, "events"))
     return written(spark, stream_admission(muts, derived(spark, d, "held_blobs")))
 
 
@@ -75,11 +75,11 @@ QUERIES = {
     "front_matter_extract": lambda s, d: documents.front_matter_extract(derived(s, d, "noted").select("doc_id", "text")).withColumn("tags", F.array_join("tags", "|")).withColumn("body", F.sha2(F.col("body").cast("binary"), 256)),
     "assign_document_ids": lambda s, d: documents.assign_document_ids(derived(s, d, "noted").select("path", "text")).withColumn("text", F.sha2(F.col("text").cast("binary"), 256)),
     "rewrite_front_matter": lambda s, d: documents.rewrite_front_matter(derived(s, d, "noted"), edits(s, d), "replace"),
-    "conflict_copies": lambda s, d: documents.conflict_copies(derived(s, d, "noted"), derived(s, d, "copies")).withColumn("text", F.sha2(F.col("text").cast("binary"), 256)),
+    "conflict_copies": lambda s, d: documents.conflict_copies(derived(s, d, "noted"), derived(s, d, "note_copies")).withColumn("text", F.sha2(F.col("text").cast("binary"), 256)),
     "page_conflict_check": lambda s, d: checks.page_conflict_check(*(derived(s, d, n) for n in ("step_page", "step_objects", "step_open", "step_blobs"))),
     "inventory_issues": lambda s, d: checks.inventory_issues(derived(s, d, "scanned")),
-    "tag_tree_rollup": lambda s, d: checks.tag_tree_rollup(derived(s, d, "tagged").select("path", F.array("tag").alias("tag_keys")), derived(s, d, "tag_folders"), "hot"),
-    "folder_tree_rollup": lambda s, d: checks.tag_tree_rollup(derived(s, d, "tagged").select("path", F.array("tag").alias("tag_keys")), derived(s, d, "tag_folders")),
+    "tag_tree_rollup": lambda s, d: checks.tag_tree_rollup(derived(s, d, "tagged_notes").select("path", F.array("tag").alias("tag_keys")), derived(s, d, "tag_folders"), "hot"),
+    "folder_tree_rollup": lambda s, d: checks.tag_tree_rollup(derived(s, d, "tagged_notes").select("path", F.array("tag").alias("tag_keys")), derived(s, d, "tag_folders")),
     "ancestry_seal_check": lambda s, d: checks.ancestry_seal_check(derived(s, d, "sealed_links"), derived(s, d, "current_links")),
     "rate_limit_stages": lambda s, d: limits.rate_limit_stages(derived(s, d, "shared_tries"), 40, 9, 900),
     "stream_admission": admitted_stream,
@@ -90,7 +90,7 @@ _SHA = "sha256({})"
 _CAND = "(substr(sha256(path), 1, 8) || '-' || substr(sha256(path), 9, 4) || '-5' || substr(sha256(path), 14, 3) || '-a' || substr(sha256(path), 18, 3) || '-' || substr(sha256(path), 21, 12))"
 _NL = "CASE WHEN contains(text, chr(13) || chr(10)) THEN chr(13) || chr(10) ELSE chr(10) END"
 _PROBLEM = "CASE doc_id % 9 WHEN 3 THEN 'unclosed' WHEN 4 THEN 'duplicate_key' WHEN 5 THEN 'unsupported_schema' WHEN 7 THEN 'invalid_tags' END"
-_TREE = """f AS (SELECT path, {} AS hit FROM tagged), a AS (SELECT array_to_string((string_split(path, '/'))[1:n], '/') AS folder, regexp_extract(path, '^(.*)/', 1) AS own FROM f, (VALUES (1), (2)) x(n) WHERE hit AND n < len(string_split(path, '/'))),
+_TREE = """f AS (SELECT path, {} AS hit FROM tagged_notes), a AS (SELECT array_to_string((string_split(path, '/'))[1:n], '/') AS folder, regexp_extract(path, '^(.*)/', 1) AS own FROM f, (VALUES (1), (2)) x(n) WHERE hit AND n < len(string_split(path, '/'))),
 c AS (SELECT folder, CAST(count(*) AS BIGINT) AS n_notes, CAST(count(CASE WHEN own = folder THEN 1 END) AS BIGINT) AS n_direct FROM a GROUP BY 1)"""
 _KEY = "replace(regexp_replace(regexp_replace(lower(folder), '([0-9]+)', '00000000000000000000\\1', 'g'), '[0-9]*([0-9]{20})', '\\1', 'g'), '/', chr(1)) AS sort_key"
 
@@ -106,10 +106,10 @@ SQL = {
   WHEN 2 THEN replace(left(text, length(text) - length(body)), '[alpha, ' || lang || ']', '["Ä", "two words"]') || new_body
   ELSE replace(left(text, length(text) - length(body)), '"' || chr(13) || chr(10) || '---', '"' || chr(13) || chr(10) || '  tags: ["Ä", "two words"]' || chr(13) || chr(10) || '---') || replace(new_body, chr(10), chr(13) || chr(10)) END AS text,
   CASE WHEN k > 0 THEN expected_id END AS note_id, k > 0 AS changed, CASE WHEN k = 0 THEN 'other_id' END AS problem FROM (SELECT *, doc_id % 9 AS k FROM noted JOIN tag_edits USING (path))""",
-    "conflict_copies": with_inputs("noted", "copies") + """ SELECT path, sha256(CASE WHEN problem IS NULL THEN replace(replace(text, expected_id, new_id), ']' || chr(10) || 'rest:', ']' || chr(10) || '  conflict: {original_note_id: "' || expected_id || '", operation_id: "' || operation_id
+    "conflict_copies": with_inputs("noted", "note_copies") + """ SELECT path, sha256(CASE WHEN problem IS NULL THEN replace(replace(text, expected_id, new_id), ']' || chr(10) || 'rest:', ']' || chr(10) || '  conflict: {original_note_id: "' || expected_id || '", operation_id: "' || operation_id
     || '", reason: "' || reason || '", original_target: "' || original_target || '", base_revision: ' || base_revision || ', canonical_revision: ' || canonical_revision || '}' || chr(10) || 'rest:') ELSE text END) AS text,
   CASE WHEN problem IS NULL THEN new_id END AS note_id, problem IS NULL AS changed, problem
-  FROM (SELECT *, CASE WHEN doc_id % 9 = 1 THEN 'other_id' WHEN canonical_revision = 0 AND reason <> 'path_collision' THEN 'invalid_origin' END AS problem FROM noted JOIN copies USING (path))""",
+  FROM (SELECT *, CASE WHEN doc_id % 9 = 1 THEN 'other_id' WHEN canonical_revision = 0 AND reason <> 'path_collision' THEN 'invalid_origin' END AS problem FROM noted JOIN note_copies USING (path))""",
     "page_conflict_check": with_inputs("step_page", "step_objects", "step_open", "step_blobs") + """, r AS (SELECT * FROM step_page UNION ALL SELECT tenant, -1, object_id, type, 'stored', 0, parent_id, name, blob_hash FROM step_objects),
 w AS (SELECT *, lag(mutation) OVER o AS wm, lag(type) OVER o AS wt, lag(parent_id) OVER o AS wp, lag(name) OVER o AS wn, lag(blob_hash) OVER o AS wb FROM r WINDOW o AS (PARTITION BY tenant, object_id ORDER BY cursor)),
 f AS (SELECT tenant, object_id, min(cursor) AS since FROM r WHERE type = 'folder' AND mutation IN ('create', 'stored') GROUP BY 1, 2), b AS (SELECT blob_hash, min(content_hash) AS content_hash, min(note_id) AS note_id FROM step_blobs GROUP BY 1),
@@ -123,8 +123,8 @@ SELECT tenant, cursor, object_id, mutation, CASE WHEN (tenant, object_id) IN (SE
 s AS (SELECT *, CASE WHEN name = '' THEN 'empty' ELSE {_NAME} END AS bad FROM n), g AS (SELECT * FROM s WHERE bad IS NULL)
 SELECT path, 'invalid_name' AS code, bad AS detail FROM s WHERE bad IS NOT NULL UNION ALL SELECT path, 'name_collision', lower(name) FROM g WHERE (parent, lower(name)) IN (SELECT (parent, lower(name)) FROM g GROUP BY parent, lower(name) HAVING count(*) > 1)
 UNION ALL SELECT path, 'invalid_front_matter', problem FROM s WHERE problem IS NOT NULL UNION ALL SELECT path, 'duplicate_note_id', note_id FROM s WHERE note_id IN (SELECT note_id FROM s GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT path, 'unreadable', NULL FROM s WHERE NOT readable""",
-    "tag_tree_rollup": with_inputs("tagged") + ", " + _TREE.format("tag = 'hot'") + " SELECT folder, CAST(len(string_split(folder, '/')) AS BIGINT) AS depth, n_notes, n_direct, " + _KEY + " FROM c",
-    "folder_tree_rollup": with_inputs("tagged", "tag_folders") + ", " + _TREE.format("true") + """, e AS (SELECT path AS folder FROM tag_folders UNION SELECT regexp_extract(path, '^(.*)/', 1) FROM tag_folders UNION SELECT folder FROM c)
+    "tag_tree_rollup": with_inputs("tagged_notes") + ", " + _TREE.format("tag = 'hot'") + " SELECT folder, CAST(len(string_split(folder, '/')) AS BIGINT) AS depth, n_notes, n_direct, " + _KEY + " FROM c",
+    "folder_tree_rollup": with_inputs("tagged_notes", "tag_folders") + ", " + _TREE.format("true") + """, e AS (SELECT path AS folder FROM tag_folders UNION SELECT regexp_extract(path, '^(.*)/', 1) FROM tag_folders UNION SELECT folder FROM c)
 SELECT folder, CAST(len(string_split(folder, '/')) AS BIGINT) AS depth, coalesce(n_notes, 0) AS n_notes, coalesce(n_direct, 0) AS n_direct, """ + _KEY + " FROM e LEFT JOIN c USING (folder)",
     "ancestry_seal_check": with_inputs("sealed_links", "current_links") + """, b AS (SELECT s.seal_id, count(*) AS n_sealed, count(c.seal_id) AS n_current, count(CASE WHEN s.path = c.path AND s.inode = c.inode THEN 1 END) AS n_equal,
   count(CASE WHEN c.seal_id IS NOT NULL AND c.parent_id IS NULL THEN 1 END) AS roots FROM sealed_links s LEFT JOIN current_links c ON c.seal_id = s.seal_id AND c.depth = s.depth GROUP BY 1)

@@ -15,7 +15,7 @@ _MOVED = """SELECT id, tree, top, brand, n, m, folder AS old, note,
     CASE WHEN n % 5 = 0 THEN top || '/moved ' || brand WHEN n % 7 = 0 THEN 'top ' || brand || ' ' || top ELSE folder END AS folder FROM {parts} WHERE n <> 23"""
 
 INPUTS |= {
-    "mutations": f"""SELECT CAST(user_id % 10 AS {_TEXT}) AS tenant, event_id AS sequence, 'op' || CAST(event_id - CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS {_TEXT}) AS operation_id,
+    "submitted": f"""SELECT CAST(user_id % 10 AS {_TEXT}) AS tenant, event_id AS sequence, 'op' || CAST(event_id - CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS {_TEXT}) AS operation_id,
         CASE event_type WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'move' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind, 'o' || CAST((event_id * 7 + user_id) % 60 AS {_TEXT}) AS object_id,
         CASE WHEN event_type = 'click' OR (event_id * 7 + user_id) % 3 = 0 THEN 'note' ELSE 'folder' END AS type,
         CASE WHEN event_type IN ('signup', 'view') THEN 0 ELSE 1 + event_id % 3 END AS base_revision,
@@ -83,7 +83,7 @@ def split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 QUERIES = {
-    "admit_mutations": lambda s, d: admission.admit_mutations(derived(s, d, "mutations"), derived(s, d, "held_blobs")),
+    "admit_mutations": lambda s, d: admission.admit_mutations(derived(s, d, "submitted"), derived(s, d, "held_blobs")),
     "infer_moves_from_hints": hinted,
     "match_moved_folders": lambda s, d: reconcile.match_moved_folders(*listings(s, d)),
     "snapshot_changes": lambda s, d: reconcile.snapshot_changes(derived(s, d, "listed_before"), derived(s, d, "listed_now"), derived(s, d, "on_server")),
