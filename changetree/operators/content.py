@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,44 @@ def route_metrics(requests: DataFrame, ts: str, route: str, duration: str, faile
     )
 
 
+def known_route(path: Column, routes: tuple[str, ...]) -> Column:
+    """The template of `routes` that a path fits, the first of several, else `unknown`. {word} in a template stands for one part of a path, which isn't empty;
+    all else is taken as it is. A null path is unknown."""
+    out = F.lit(None).cast("string")
+    for route in routes:
+        pattern = "".join("[^/]+" if part.startswith("{") else re.escape(part) for part in re.split(r"(\{\w+\})", route))
+        fits = path.rlike(rf"\A{pattern}\z") if "{" in route else path == route
+        out = F.coalesce(out, F.when(fits, F.lit(route)))
+    return F.coalesce(out, F.lit("unknown"))
+
+
+def route_report(requests: DataFrame, routes: tuple[str, ...], ts: str, path: str, duration_ms: str, status: str, window: str = "1 minute") -> DataFrame:
+    """For each route and time window: requests, failures (status 500 and more), the error rate, and the median, 95th and 99th percentile of whole milliseconds
+    (interpolated between neighbours). Paths are folded to their templates, so that an id makes no group.
+
+    Percentiles are exact: tasks send how often each millisecond came, at most as many numbers as there are different
+    durations. Nulls in duration don't count, nor do nulls in status as failures; rows without ts are left out."""
+    share = [0.5, 0.95, 0.99]
+    sums = requests.groupBy(F.window(ts, window).alias("w"), known_route(F.col(path), routes).alias("route")).agg(
+        F.count(F.lit(1)).alias("n_requests"),
+        F.count(F.when(F.col(status) >= 500, 1)).alias("n_failed"),
+        F.percentile(F.col(duration_ms).cast("long"), share).alias("p"),
+    )
+    return sums.select(
+        F.col("w.start").alias("window_start"), "route", "n_requests", "n_failed", F.round(F.col("n_failed") / F.col("n_requests"), 6).alias("error_rate"),
+        *[F.round(F.col("p")[i], 3).alias(f"p{int(100 * x)}") for i, x in enumerate(share)],
+    )
+
+
+def logical_bytes(docs: DataFrame, tenant: str, text: str) -> DataFrame:
+    """(tenant, logical_bytes, stored_bytes, n_references, n_blobs): what a tenant's references add up to, and what its distinct contents take. Each task sends
+    one row for each content of a tenant it holds, so a content that is referred to very often is no hot group. Null texts are no content."""
+    each = docs.where(F.col(text).isNotNull()).groupBy(F.col(tenant).alias("tenant"), F.sha2(F.col(text).cast("binary"), 256).alias("h"), F.octet_length(text).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("tenant").agg(
+        F.sum(F.col("b") * F.col("n")).alias("logical_bytes"), F.sum("b").alias("stored_bytes"), F.sum("n").alias("n_references"), F.count(F.lit(1)).alias("n_blobs")
+    )
+
+
 #: Bytes of a path.
 PATH_BYTES = 768
 

@@ -54,21 +54,52 @@ def revision_chain_audit(versions: DataFrame) -> DataFrame:
     return seen.withColumn("problem", problem).where("problem IS NOT NULL").select(*OBJECT, "revision", "problem")
 
 
-def cursor_gap_report(log: DataFrame) -> DataFrame:
-    """Missing cursor ranges (tenant, gap_from, gap_to) between a tenant's first and last cursor, and below the first."""
-    w = W.partitionBy("tenant").orderBy("cursor")
-    steps = log.select("tenant", "cursor").distinct().withColumn("before", F.coalesce(F.lag("cursor").over(w), F.lit(0)))
-    return steps.where("cursor > before + 1").select("tenant", (F.col("before") + 1).alias("gap_from"), (F.col("cursor") - 1).alias("gap_to"))
-
-
-def contiguous_frontier(inbox: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """(tenant, confirmed, frontier): the highest cursor that applied rows reach from `confirmed` without a gap.
-    The k-th row above it must be applied and at confirmed + k; the first that isn't ends the run."""
-    rows = inbox.join(confirmed, "tenant").where("cursor > confirmed").groupBy("tenant", "confirmed", "cursor").agg(F.max("applied").alias("applied"))
-    placed = rows.withColumn("k", F.row_number().over(W.partitionBy("tenant").orderBy("cursor")))
-    bad = F.min(F.when((F.col("cursor") != F.col("confirmed") + F.col("k")) | ~F.col("applied"), F.col("k")))
-    runs = placed.groupBy("tenant").agg((F.coalesce(bad - 1, F.max("k"))).alias("run"))
-    return confirmed.join(runs, "tenant", "left").select("tenant", "confirmed", (F.col("confirmed") + F.coalesce("run", F.lit(0))).alias("frontier"))
+#: Cursors of a tenant that one task orders; larger tenants are many such buckets.
+BUCKET = 1 << 16
+
+
+def cursor_gap_report(log: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Missing cursor ranges (tenant, gap_from, gap_to) between a tenant's first and last cursor, and below the first.
+
+    Gaps within a bucket of cursors are seen in the bucket, those between buckets from the buckets' first and last cursors, so
+    that no task orders a whole tenant. Null cursors take no part."""
+    rows = log.where("cursor IS NOT NULL").select("tenant", "cursor", F.floor(F.col("cursor") / bucket).alias("bucket"))
+    inside = rows.withColumn("before", F.lag("cursor").over(W.partitionBy("tenant", "bucket").orderBy("cursor")))
+    ends = rows.groupBy("tenant", "bucket").agg(F.min("cursor").alias("cursor"), F.max("cursor").alias("high"))
+    between = ends.withColumn("before", F.coalesce(F.lag("high").over(W.partitionBy("tenant").orderBy("bucket")), F.lit(0)))
+    steps = inside.unionByName(between.drop("high")).where("cursor > before + 1")
+    return steps.select("tenant", (F.col("before") + 1).alias("gap_from"), (F.col("cursor") - 1).alias("gap_to"))
+
+
+def duplicate_operations(log: DataFrame) -> DataFrame:
+    """(tenant, operation_id, n_rows, n_cursors, first_cursor, last_cursor) of operations that stand more than once in a tenant's log;
+    null ids are no operation."""
+    sums = log.where("operation_id IS NOT NULL").groupBy("tenant", "operation_id", "cursor").agg(F.count(F.lit(1)).alias("n"))
+    out = sums.groupBy("tenant", "operation_id").agg(
+        F.sum("n").alias("n_rows"), F.count("cursor").alias("n_cursors"), F.min("cursor").alias("first_cursor"), F.max("cursor").alias("last_cursor")
+    )
+    return out.where("n_rows > 1")
+
+
+def contiguous_frontier(inbox: DataFrame, confirmed: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(tenant, confirmed, frontier): the highest cursor that applied rows reach from `confirmed` without a gap; of rows that share a
+    cursor one must be applied, and a null isn't.
+
+    Cursors are counted in buckets from `confirmed` on: the frontier lies in the first bucket that isn't full of applied ones, and
+    only this one is ordered."""
+    above = inbox.join(confirmed, "tenant").where("cursor > confirmed")
+    rows = above.groupBy("tenant", "confirmed", "cursor").agg(F.max(F.coalesce("applied", F.lit(False))).alias("applied")).where("applied")
+    rows = rows.withColumn("bucket", F.floor((F.col("cursor") - F.col("confirmed") - 1) / bucket))
+    sums = rows.groupBy("tenant", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # a bucket counts with those before it while its number is its rank, so the n-th full one closes a run of n
+    full = sums.where(F.col("n") == bucket).withColumn("rank", F.row_number().over(W.partitionBy("tenant").orderBy("bucket")))
+    runs = full.where("bucket = rank - 1").groupBy("tenant").agg(F.max("rank").alias("n_full"))
+    start = confirmed.join(runs, "tenant", "left").select("tenant", F.coalesce("n_full", F.lit(0)).cast("long").alias("bucket"))
+    last = rows.join(start, ["tenant", "bucket"])
+    placed = last.withColumn("k", F.col("bucket") * bucket + F.row_number().over(W.partitionBy("tenant", "bucket").orderBy("cursor")))
+    reached = placed.where("cursor = confirmed + k").groupBy("tenant").agg(F.max("k").alias("in_bucket"))
+    run = F.greatest(F.coalesce("in_bucket", F.lit(0)), F.coalesce("n_full", F.lit(0)) * bucket)
+    return confirmed.join(runs, "tenant", "left").join(reached, "tenant", "left").select("tenant", "confirmed", (F.col("confirmed") + run).cast("long").alias("frontier"))
 
 
 def merge_baselines(base: DataFrame, results: DataFrame) -> DataFrame:

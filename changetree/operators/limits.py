@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 from ..sources.tables import dropped, persisted
 
 
+def follow(starts: DataFrame, jump: DataFrame) -> DataFrame:
+    """(key, at) that lead on from starts (key, at) by jump (key, at, then), a persisted table with one row for each (key, at) at most and without cycles, which is
+    deleted. Each round jumps twice as far as the one before."""
+    reached = persisted(starts)
+    while True:
+        more = reached.join(jump, ["key", "at"]).select("key", F.col("then").alias("at"))
+        if more.isEmpty():
+            break
+        last, reached = reached, persisted(reached.unionByName(more).distinct())
+        step = jump.select("key", F.col("at").alias("then"), F.col("then").alias("beyond"))
+        old, jump = jump, persisted(jump.join(step, ["key", "then"]).select("key", "at", F.col("beyond").alias("then")))
+        dropped(last, old)
+    dropped(jump)
+    return reached
+
+
 def window_starts(times: DataFrame, window: int) -> DataFrame:
     """(key, start): where the windows of each key begin, from the distinct whole seconds (key, at) of its attempts. The first begins with the first
     attempt, each other one with the first attempt at least `window` seconds after the start before it.
@@ -29,16 +45,7 @@ def window_starts(times: DataFrame, window: int) -> DataFrame:
     found = found.join(again, ["key", "bucket"], "left")
     then = F.coalesce("then", F.when(F.col("next_least") >= F.col("at"), F.col("next_least")).otherwise(F.col("after")))
     jump = persisted(found.select("key", F.col("from").alias("at"), then.alias("then")).where("then IS NOT NULL"))
-    reached = persisted(times.groupBy("key").agg(F.min("at").alias("at")))
-    while True:
-        more = reached.join(jump, ["key", "at"]).select("key", F.col("then").alias("at"))
-        if more.isEmpty():
-            break
-        last, reached = reached, persisted(reached.unionByName(more).distinct())
-        step = jump.select("key", F.col("at").alias("then"), F.col("then").alias("beyond"))
-        old, jump = jump, persisted(jump.join(step, ["key", "then"]).select("key", "at", F.col("beyond").alias("then")))
-        dropped(last, old)
-    dropped(jump)
+    reached = follow(times.groupBy("key").agg(F.min("at").alias("at")), jump)
     return reached.select("key", F.col("at").alias("start"))
 
 

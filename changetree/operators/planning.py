@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import collision_key
-from .content import NAME_BYTES
+from ..sources.tables import persisted
+from .content import NAME_BYTES, name_problem
 
 
 def resolve_conflicts(conflicts: DataFrame) -> DataFrame:
@@ -48,22 +49,42 @@ def resolve_conflicts(conflicts: DataFrame) -> DataFrame:
     return conflicts.withColumn("action", action.otherwise("needs_attention"))
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], place: str, marked: Column) -> DataFrame:
+    """rows with place, which counts from 1 in each key by `order`, n_all, the key's rows, and n_marked, those of them that are marked.
+
+    All rows are sorted at once by ranges, so a key with a third of them lies in many tasks. The sorted rows are written with their
+    task and place there; what tasks before hold of a key is added from a table of (key, task)."""
+    whole = rows.orderBy(key, *order).withColumn("n_task", F.spark_partition_id()).withColumn("n_at", F.monotonically_increasing_id())
+    whole = persisted(whole)
+    sums = whole.groupBy(F.col(key).alias("n_key"), F.col("n_task").alias("n_part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("n_at").alias("n_low"), F.count(F.when(marked, 1)).alias("m")
+    )
+    by_key = W.partitionBy("n_key")
+    before = by_key.orderBy("n_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(
+        "n_key", "n_part", "n_low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.sum("n").over(by_key).alias("n_all"), F.sum("m").over(by_key).alias("n_marked")
+    )
+    out = whole.join(sums, F.col(key).eqNullSafe(F.col("n_key")) & (F.col("n_task") == F.col("n_part")))
+    return out.withColumn(place, F.col("n_at") - F.col("n_low") + F.col("n_before") + 1).drop("n_key", "n_part", "n_low", "n_before", "n_task", "n_at")
+
+
 def plan_mutation_order(diff: DataFrame) -> DataFrame:
     """diff (replica, object_id, parent_id, mutation, path, revision) with place, depends_on and base_revision. Creates come by depth and path, each depending on
     its parent's create if there is one; then moves and updates by path, an object's move before its update, which depends on it and counts on one
     revision more; then deletes, deepest first, each depending on the delete before it. place counts from 1 in each replica; depends_on
-    is the place of the mutation that must be through first, null if none. Rows whose mutation is null or another are left out."""
+    is the place of the mutation that must be through first, null if none. Rows whose mutation is null or another are left out. No task
+    orders a whole replica: see numbered()."""
     depth = F.size(F.split("path", "/"))
     phase = F.when(F.col("mutation") == "create", 1).when(F.col("mutation").isin("move", "update"), 2).when(F.col("mutation") == "delete", 3)
-    rows = diff.withColumn("phase", phase).where("phase IS NOT NULL")
     deep = F.when(F.col("phase") == 1, depth).when(F.col("phase") == 3, -depth).otherwise(0)
     last = F.when(F.col("mutation") == "update", 1).otherwise(0)
-    placed = rows.withColumn("place", F.row_number().over(W.partitionBy("replica").orderBy("phase", deep, "path", "object_id", last)))
+    rows = diff.withColumn("phase", phase).where("phase IS NOT NULL").withColumn("deep", deep).withColumn("last", last)
+    placed = numbered(rows, "replica", ["phase", "deep", "path", "object_id", "last"], "place", F.col("phase") == 3)
     of_object = W.partitionBy("replica", "object_id", "phase").orderBy("place")
     moved = (F.col("mutation") == "update") & F.coalesce(F.lag("mutation").over(of_object) == "move", F.lit(False))
     placed = placed.withColumn("move_place", F.when(moved, F.lag("place").over(of_object)))
     parents = placed.where("mutation = 'create'").groupBy("replica", F.col("object_id").alias("parent_id")).agg(F.min("place").alias("parent_place"))
-    before = F.when((F.col("phase") == 3) & (F.lag("phase").over(W.partitionBy("replica").orderBy("place")) == 3), F.col("place") - 1)
+    before = F.when((F.col("phase") == 3) & (F.col("place") > F.col("n_all") - F.col("n_marked") + 1), F.col("place") - 1)
     joined = placed.withColumn("delete_place", before).join(parents, ["replica", "parent_id"], "left")
     depends_on = F.when(F.col("phase") == 1, F.col("parent_place")).when(F.col("phase") == 2, F.col("move_place")).otherwise(F.col("delete_place"))
     base = F.when(F.col("phase") == 1, F.lit(0)).otherwise(F.col("revision") + F.when(F.col("move_place").isNotNull(), 1).otherwise(0)).cast("long")
@@ -88,6 +109,38 @@ def conflict_names(rows: DataFrame, label: str = "Konflikt", note: str = "Notiz"
     return rows.withColumn("copy_name", F.concat(F.when(stem == "", F.when(is_note, note).otherwise(folder)).otherwise(stem), suffix))
 
 
+def recovery_names(rows: DataFrame, occupied: DataFrame, label: str = "Wiederhergestellt", most: int = 999) -> DataFrame:
+    """rows (operation_id, parent_id, stem) with name and number: the stem, the label and the operation, and the smallest number from 1 to `most` behind
+    it where names of the parent (occupied: parent_id, name) have those before; number is 0 for the name without one. The stem is cut at a character so that all fits a
+    name's bytes. Names are equal by collision key. name and number are null where every number is taken, where no character of the stem fits (an empty
+    stem stays empty), or where the name isn't portable. operation_id is unique.
+
+    Only names that end like a row's own can be in its way, so these are joined by parent and ending, and the first number missing among
+    them is found from their places in order; no row is tried against every number."""
+    text = F.col("operation_id").cast("string")
+    suffix = F.concat(F.lit(f" ({label} - "), text, F.lit(")"))
+    key = collision_key(suffix)
+
+    def candidate(number: Column) -> Column:
+        end = F.concat(suffix, F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise(""))
+        room = F.lit(NAME_BYTES) - F.octet_length(end)
+        stem = F.when(F.octet_length("stem") <= room, F.col("stem")).otherwise(_cut(F.when(F.octet_length("stem") > room, F.col("stem")), room))
+        return F.when((room >= 0) & ((stem != "") | (F.col("stem") == "")), F.concat(stem, end))
+
+    own = rows.select("operation_id", F.col("parent_id").alias("r_parent"), "stem", key.alias("r_key"))
+    there = occupied.select(F.col("parent_id").alias("o_parent"), collision_key(F.col("name")).alias("o_key")).distinct()
+    start = F.coalesce(F.regexp_extract("o_key", r"( \([^()]*\))(?:-[1-9][0-9]{0,8})?$", 1), F.lit(""))
+    number = F.when(F.col("o_key").rlike(r"\)-[1-9][0-9]{0,8}$"), F.regexp_extract("o_key", r"-([0-9]+)$", 1).cast("int")).otherwise(0)
+    there = there.select("o_parent", "o_key", start.alias("o_end"), number.alias("o_number")).where("o_end <> ''")
+    met = own.join(there, F.col("r_parent").eqNullSafe(F.col("o_parent")) & (F.col("r_key") == F.col("o_end")))
+    taken = met.where(collision_key(candidate(F.col("o_number"))) == F.col("o_key")).select("operation_id", "o_number").distinct()
+    placed = taken.withColumn("k", F.row_number().over(W.partitionBy("operation_id").orderBy("o_number")) - 1).where("k = o_number")
+    free = placed.groupBy("operation_id").agg(F.count(F.lit(1)).cast("int").alias("free"))
+    joined = rows.join(free, "operation_id", "left").withColumn("number", F.coalesce("free", F.lit(0))).withColumn("name", candidate(F.col("number")))
+    good = F.col("name").isNotNull() & name_problem(F.col("name")).isNull() & (F.col("number") <= most)
+    return joined.select("operation_id", "parent_id", "stem", F.when(good, F.col("name")).alias("name"), F.when(good, F.col("number")).alias("number"))
+
+
 @F.pandas_udf(T.StringType())
 def _trimmed(tags: pd.Series) -> pd.Series:
     return tags.map(lambda x: unicodedata.normalize("NFC", x.strip()), na_action="ignore")

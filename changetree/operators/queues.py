@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import persisted
+from .limits import follow
 
 OBJECT = ["tenant", "object_id"]
 OPEN = ["pending", "attempted", "mismatch"]
@@ -143,20 +144,38 @@ def doomed_dependents(outbox: DataFrame, deps: DataFrame, failed: DataFrame) ->
 
 
 def ingest_changes(pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """Each page (tenant, page, from_cursor, next_cursor and rows of cursor, payload) with its verdict: append (it is dense and begins
-    at the tenant's last stored cursor), replay (dense, wholly stored, equal payloads), else reject. A page goes in whole or not."""
-    frontier = stored.groupBy("tenant").agg(F.max("cursor").alias("frontier"))
-    old = stored.select(F.col("tenant").alias("t"), F.col("cursor").alias("c"), F.col("payload").alias("p"), F.lit(True).alias("is_old")).distinct()
-    rows = pages.join(old, (F.col("tenant") == F.col("t")) & (F.col("cursor") == F.col("c")) & F.col("payload").eqNullSafe(F.col("p")), "left")
+    """Each page (tenant, page, from_cursor, next_cursor and rows of cursor, payload) with its verdict, taken one after the other by page: append (it is dense and
+    begins at the last cursor that stored rows and pages appended before it have), replay (dense, its rows are stored or were appended before it, with
+    equal payloads), else reject. A page goes in whole or not; append_changes gives the rows. Nulls in payloads are equal, those in cursors reject a page.
+
+    A page leads on to the first page behind it that begins where it ends, so the appended ones are found by pointer doubling over
+    pages; no task orders a tenant."""
     key = ["tenant", "page", "from_cursor", "next_cursor"]
-    sums = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cursor").alias("n"), F.min("cursor").alias("low"), F.max("cursor").alias("high"),
-        F.min(F.coalesce("is_old", F.lit(False))).alias("equal"),
-    )
-    dense = F.expr("low = from_cursor + 1 AND high = next_cursor AND n = n_rows AND n = next_cursor - from_cursor")
-    at = F.coalesce("frontier", F.lit(0))
-    verdict = F.when(~dense, "reject").when(F.col("from_cursor") == at, "append").when((F.col("next_cursor") <= at) & F.col("equal"), "replay").otherwise("reject")
-    return sums.join(frontier, "tenant", "left").select(*key, "n_rows", verdict.alias("verdict"))
+    sums = persisted(pages.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cursor").alias("n"), F.min("cursor").alias("low"), F.max("cursor").alias("high")))
+    dense = F.expr("coalesce(low = from_cursor + 1 AND high = next_cursor AND n = n_rows AND n = next_cursor - from_cursor, false)")
+    whole = sums.where(dense).select(F.col("tenant").alias("key"), F.struct("page", "from_cursor", "next_cursor").alias("at"))
+    begins = whole.select("key", "at", F.col("at.from_cursor").alias("c"), F.lit(0).alias("asks"))
+    asked = whole.select("key", "at", F.col("at.next_cursor").alias("c"), F.lit(1).alias("asks"))
+    behind = W.partitionBy("key", "c").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    jump = begins.unionByName(asked).withColumn("then", F.min(F.when(F.col("asks") == 0, F.col("at"))).over(behind)).where("asks = 1 AND then IS NOT NULL")
+    frontier = stored.groupBy(F.col("tenant").alias("key")).agg(F.max("cursor").alias("frontier"))
+    first = whole.join(frontier, "key", "left").where("at.from_cursor = coalesce(frontier, 0)").groupBy("key").agg(F.min("at").alias("at"))
+    appended = follow(first, persisted(jump.select("key", "at", "then")))
+    appended = appended.select(F.col("key").alias("tenant"), "at.*", F.lit(True).alias("appended"))
+    marked = pages.join(appended, key, "left").withColumn("at", F.struct(*key[1:]))
+    old = stored.select("tenant", "cursor", "payload", F.lit(True).alias("is_old"), F.lit(None).cast(marked.schema["at"].dataType).alias("since"))
+    new = marked.where("appended").select("tenant", "cursor", "payload", F.lit(None).cast("boolean").alias("is_old"), F.col("at").alias("since"))
+    had = old.unionByName(new).groupBy(F.col("tenant").alias("t"), F.col("cursor").alias("c"), F.col("payload").alias("p")).agg(F.max("is_old").alias("is_old"), F.min("since").alias("since"))
+    again = marked.where("appended IS NULL").join(had, (F.col("tenant") == F.col("t")) & (F.col("cursor") == F.col("c")) & F.col("payload").eqNullSafe(F.col("p")), "left")
+    equal = again.groupBy(*key).agg(F.min(F.coalesce("is_old", F.col("since") < F.col("at"), F.lit(False))).alias("equal"))
+    verdict = F.when(F.col("appended"), "append").when(dense & F.col("equal"), "replay").otherwise("reject")
+    return sums.join(appended, key, "left").join(equal, key, "left").select(*key, "n_rows", verdict.alias("verdict"))
+
+
+def append_changes(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(tenant, cursor, payload) that ingest_changes' verdicts add to what is stored; each cursor of a tenant comes once."""
+    taken = verdicts.where("verdict = 'append'").select("tenant", "page", "from_cursor", "next_cursor")
+    return pages.join(taken, taken.columns, "left_semi").select("tenant", "cursor", "payload")
 
 
 def rebase_deletes(conflicts: DataFrame, baselines: DataFrame, copies: DataFrame) -> DataFrame:

@@ -262,11 +262,6 @@ HAVING count(*) FILTER (NOT finished) = 0 AND max(sequence) > coalesce((SELECT c
 WHERE o.status = 'pending' AND o.operation_id NOT IN (SELECT needs FROM deps)""",
     "doomed_dependents": with_inputs("outbox", "deps", "failed") + """, reach AS (SELECT operation_id FROM failed UNION SELECT d.operation_id FROM deps d JOIN reach r ON d.needs = r.operation_id)
 SELECT operation_id FROM reach WHERE operation_id NOT IN (SELECT operation_id FROM failed) AND operation_id IN (SELECT operation_id FROM outbox WHERE status IN ('pending', 'attempted', 'mismatch'))""",
-    "ingest_changes": with_inputs("pages_in", "stored") + """, f AS (SELECT tenant, max(cursor) AS frontier FROM stored GROUP BY 1),
-g AS (SELECT p.tenant, page, from_cursor, next_cursor, count(*) AS n_rows, list_sort(list(p.cursor)) AS got, bool_and(EXISTS (SELECT 1 FROM stored s WHERE s.tenant = p.tenant AND s.cursor = p.cursor AND s.payload = p.payload)) AS same
-  FROM pages_in p GROUP BY 1, 2, 3, 4)
-SELECT g.tenant, page, from_cursor, next_cursor, n_rows, CASE WHEN got <> list_transform(range(from_cursor + 1, next_cursor + 1), lambda x: CAST(x AS BIGINT)) THEN 'reject' WHEN from_cursor = coalesce(frontier, 0) THEN 'append'
-WHEN next_cursor <= coalesce(frontier, 0) AND same THEN 'replay' ELSE 'reject' END AS verdict FROM g LEFT JOIN f USING (tenant)""",
     "rebase_deletes": with_inputs("conflicts", "state", "copies") + """ SELECT c.tenant, c.object_id, c.operation_id AS replaces, s.revision AS base_revision, k.create_id AS depends_on FROM conflicts c
 JOIN state s ON s.tenant = c.tenant AND s.object_id = c.object_id AND s.revision = c.canonical_revision
 JOIN (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC, create_id DESC) AS r FROM copies) k ON k.operation_id = c.operation_id AND r = 1""",

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from changetree.functions.names import collision_key
 from changetree.operators import access, content, history, planning, queues, tree
-from changetree.plans import local, notes, recovery, registry, streams
+from changetree.plans import feeds, local, notes, recovery, registry, streams
 
-PARTS = (registry, local, recovery, notes, streams)
+PARTS = (registry, local, recovery, notes, feeds, streams)
 QUERIES, SQL = {n: q for p in PARTS for n, q in p.QUERIES.items()}, {n: q for p in PARTS for n, q in p.SQL.items()}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
