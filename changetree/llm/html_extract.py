@@ -25,6 +25,7 @@ from .common import free_name, persisted, table
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title".split())
 SKIP = set("script style noscript template head nav header footer aside form button select textarea iframe svg canvas object dialog menu title".split())
+INLINE_SKIP = set("button select textarea iframe svg canvas object noscript template".split())  # these of SKIP stand within a line
 BLOCK = set(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
@@ -32,10 +33,15 @@ BLOCK = set(
 PLAIN = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"}  # never furniture by their names alone
 CONTAINERS = set("article main section div td body".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of a class, id or role that mark furniture.
+#: Words of a class, id or role that mark furniture, alone or as a part of a name.
 FURNITURE = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice\w*|"
-    r"pager|pagination|popup|promo\w*|related|replies|respond|share\w*|sidebar\w*|social|sponsor\w*|subscribe|toolbar|widget\w*|complementary|contentinfo|search)(?:[-_ ]|$)"
+    r"pager|pagination|popup|promo\w*|replies|sidebar\w*|sponsor\w*|subscribe|toolbar|widget\w*|complementary|contentinfo)(?:[-_ ]|$)"
+)
+#: Words that an article's own parts are named by too (related work, search results, share of votes): they mark furniture alone, or with a word for the
+#: thing it is made of.
+SHARED = re.compile(
+    r"(?:^| )(?:[a-z0-9]+[-_])*(?:related|respond|share\w*|social|search)(?:[-_](?:post|article|link|story|stories|item|list|box|bar|form|field|input|block|wrap|wrapper|container|button|btn|icon|media|news|read|reading|content|panel)s?)*(?= |$)"
 )
 #: Nothing is tried twice (possessive), and a quote that is never closed is an ordinary character.
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
@@ -133,13 +139,18 @@ def parse(page: str) -> Node:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag == "textarea" or tag == "title":
+            if tag == "title":
                 flush()
             at = close.end() if close else len(page)
             continue
         label, marks = generalised(tag, m[3])
-        named = bool(marks.strip() and tag not in PLAIN and FURNITURE.search(marks))
-        if tag in BLOCK or tag in SKIP:
+        named = bool(marks.strip() and tag not in PLAIN and (FURNITURE.search(marks) or SHARED.search(marks)))
+        if tag in INLINE_SKIP:
+            if m[3].endswith("/"):
+                continue
+            child = Node(tag, label, True, node, around=run)
+            run = []
+        elif tag in BLOCK or tag in SKIP:
             flush()
             if tag in BLOCK and node.tag == "p":
                 leave()

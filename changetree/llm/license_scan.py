@@ -150,7 +150,7 @@ def _sql_form(text: str) -> str:
 
 
 OP6_SQL = f"""
-WITH k(license_id, license_text) AS (VALUES {', '.join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)}),
+WITH k(license_id, license_text) AS (VALUES {', '.join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in [*KNOWN, *full_texts()])}),
 f AS (SELECT license_id, {_sql_form('license_text')} AS form FROM k),
 g AS (SELECT sha256(form) AS sha, min(license_id) AS license_id FROM f WHERE form <> '' GROUP BY 1),
 d AS (SELECT doc_id, sha256({_sql_form('text')}) AS canonical_sha256 FROM documents)

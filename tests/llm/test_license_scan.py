@@ -31,3 +31,14 @@ def test_whole_texts_and_headings(spark):
 def test_query_equals_sql(spark, sf):
     want = duckdb.connect().execute(ls.OP6_SQL.replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall()
     assert sorted(map(tuple, ls.op6_license_scan(spark, sf).collect())) == sorted(want)
+
+
+def test_sql_knows_every_text(spark, tmp_path):
+    """Every known text in every form, changed in case, punctuation and copyright lines, and texts that are none, by the operator and by its SQL."""
+    texts = [t for _, t in [*ls.KNOWN, *ls.full_texts()]]
+    docs = [*texts, *[t.upper().replace("\n", "\r\n") for t in texts], *["Copyright (c) 2021 Jo Doe\n\n" + t for t in texts], *[t + " more" for t in texts], "", None, "!!", texts[0], texts[0] * 50]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, ls.op6_license_scan(spark, str(tmp_path)).collect()))
+    want = duckdb.connect().execute(ls.OP6_SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert got == sorted(want)
+    assert all(x[2] for x in got[: 3 * len(texts)]) and {x[2] for x in got[3 * len(texts) : 4 * len(texts)]} == {None}
