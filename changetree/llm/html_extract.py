@@ -251,6 +251,9 @@ def _votes(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([vote(p) for p in pages], columns=["path", "score"])
 
 
+_votes = _votes.asNondeterministic()  # so that a condition on the vote isn't pushed below it, which would parse each page once more
+
+
 @F.pandas_udf(T.StringType())
 def _texts(pages: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([extract(p, w) for p, w in zip(pages, paths)], dtype=object)
