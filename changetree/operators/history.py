@@ -85,21 +85,18 @@ def contiguous_frontier(inbox: DataFrame, confirmed: DataFrame, bucket: int = BU
     """(tenant, confirmed, frontier): the highest cursor that applied rows reach from `confirmed` without a gap; of rows that share a
     cursor one must be applied, and a null isn't.
 
-    Cursors are counted in buckets from `confirmed` on: the frontier lies in the first bucket that isn't full of applied ones, and
-    only this one is ordered."""
+    Cursors are ordered within buckets counted from `confirmed` on. Each bucket gives the length of its run from its start, and runs add
+    up over buckets without a gap until one isn't full."""
     above = inbox.join(confirmed, "tenant").where("cursor > confirmed")
     rows = above.groupBy("tenant", "confirmed", "cursor").agg(F.max(F.coalesce("applied", F.lit(False))).alias("applied")).where("applied")
-    rows = rows.withColumn("bucket", F.floor((F.col("cursor") - F.col("confirmed") - 1) / bucket))
-    sums = rows.groupBy("tenant", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # a bucket counts with those before it while its number is its rank, so the n-th full one closes a run of n
-    full = sums.where(F.col("n") == bucket).withColumn("rank", F.row_number().over(W.partitionBy("tenant").orderBy("bucket")))
-    runs = full.where("bucket = rank - 1").groupBy("tenant").agg(F.max("rank").alias("n_full"))
-    start = confirmed.join(runs, "tenant", "left").select("tenant", F.coalesce("n_full", F.lit(0)).cast("long").alias("bucket"))
-    last = rows.join(start, ["tenant", "bucket"])
-    placed = last.withColumn("k", F.col("bucket") * bucket + F.row_number().over(W.partitionBy("tenant", "bucket").orderBy("cursor")))
-    reached = placed.where("cursor = confirmed + k").groupBy("tenant").agg(F.max("k").alias("in_bucket"))
-    run = F.greatest(F.coalesce("in_bucket", F.lit(0)), F.coalesce("n_full", F.lit(0)) * bucket)
-    return confirmed.join(runs, "tenant", "left").join(reached, "tenant", "left").select("tenant", "confirmed", (F.col("confirmed") + run).cast("long").alias("frontier"))
+    step = F.col("cursor") - F.col("confirmed") - 1
+    rows = rows.select("tenant", F.floor(step / bucket).alias("bucket"), (step % bucket).alias("at"))
+    placed = rows.withColumn("k", F.row_number().over(W.partitionBy("tenant", "bucket").orderBy("at")))
+    runs = placed.groupBy("tenant", "bucket").agg(F.count(F.when(F.col("at") == F.col("k") - 1, 1)).alias("run"))
+    order = W.partitionBy("tenant").orderBy("bucket")
+    full = F.coalesce(F.min(F.col("run") == bucket).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    joined = runs.withColumn("goes_on", full & (F.col("bucket") == F.row_number().over(order) - 1)).where("goes_on").groupBy("tenant").agg(F.sum("run").alias("run"))
+    return confirmed.join(joined, "tenant", "left").select("tenant", "confirmed", (F.col("confirmed") + F.coalesce("run", F.lit(0))).cast("long").alias("frontier"))
 
 
 def merge_baselines(base: DataFrame, results: DataFrame) -> DataFrame:
