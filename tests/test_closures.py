@@ -123,3 +123,31 @@ def test_changes_below_folders_equal_a_model(spark):
     )
     want = {i: changed(by_tenant[t], root, at) for i, t, root, at in requests}
     assert {r.request_id: r.changed for r in got.collect()} == want and {*want.values()} == {True, False}
+
+
+def test_changes_below_deep_folders_and_circles_take_few_rounds(spark, monkeypatch):
+    """A chain of 400 folders, the last of which changes; two folders that lie in each other; a move out and one into a folder deleted since."""
+    rows = [(1, k + 1, f"o{k}", f"o{k - 1}" if k else None, False) for k in range(400)] + [(1, 1000, "o399", "o398", False)]
+    rows += [(2, 1, "a", "b", False), (2, 2, "b", "a", False), (2, 3, "c", "b", False), (2, 9, "c", None, False)]
+    rows += [(3, 1, "p", None, False), (3, 2, "q", "p", False), (3, 3, "x", "q", False), (3, 7, "x", "q", True), (3, 8, "q", "p", True)]
+    asked = [(1, "o0", 999), (1, "o0", 1000), (1, "o399", 999), (1, "o300", 500), (2, "a", 8), (2, "b", 9), (3, "p", 6), (3, "p", 7), (3, "p", 8), (3, "q", 8), (3, "q", 2), (3, "none", 1)]
+    tables, keep = [], cl.persisted
+    monkeypatch.setattr(cl, "persisted", lambda df: tables.append(keep(df)) or tables[-1])
+    got = cl.subtree_changed_since(
+        spark.createDataFrame(rows, "tenant long, cursor long, object_id string, parent_id string, deleted boolean"), spark.createDataFrame([(k, *a) for k, a in enumerate(asked)], "request_id long, tenant long, root string, cursor long")
+    )
+    want = {k: changed([v[1:] for v in rows if v[0] == t], root, at) for k, (t, root, at) in enumerate(asked)}
+    assert {r.request_id: r.changed for r in got.collect()} == want and len(tables) < 15
+
+
+def test_changes_below_folders_in_circles_equal_a_model(spark):
+    rng, rows, by_tenant, requests = random.Random(5), [], defaultdict(list), []
+    for tenant in range(40):
+        for cursor in range(1, rng.randint(4, 30)):
+            by_tenant[tenant].append((cursor, f"o{rng.randrange(6)}", rng.choice([None, *[f"o{k}" for k in range(6)]]), rng.random() < 0.2))
+        rows += [(tenant, *v) for v in by_tenant[tenant]]
+        requests += [(len(requests) + k, tenant, f"o{rng.randrange(6)}", rng.randrange(32)) for k in range(30)]
+    got = cl.subtree_changed_since(
+        spark.createDataFrame(rows, "tenant long, cursor long, object_id string, parent_id string, deleted boolean"), spark.createDataFrame(requests, "request_id long, tenant long, root string, cursor long")
+    )
+    assert {r.request_id: r.changed for r in got.collect()} == {i: changed(by_tenant[t], root, at) for i, t, root, at in requests}
