@@ -51,18 +51,31 @@ def change_shape_check(inbox: DataFrame) -> DataFrame:
 
 def token_validity(requests: DataFrame, tokens: DataFrame, sessions: DataFrame, devices: DataFrame, users: DataFrame) -> DataFrame:
     """requests (request_id, token_hash, at) with `reason`, the first ground on which one isn't valid, null if it is: unknown token,
-    revoked, not within [issued, expires), session unknown, revoked or not within [created, expires), device or user not active."""
+    revoked, not within [issued, expires), session unknown, revoked or not within [created, expires), device or user not active.
+
+    Sessions meet devices and users, and tokens their sessions, before requests do, which are joined once; rows without a key are dealt out."""
+    t = tokens.select("token_hash", "session_id", "issued", "expires", "revoked")
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    d = devices.select("device_id", F.col("active").alias("d_active"))
+    u = users.select("user_id", F.col("active").alias("u_active"))
     s = sessions.select("session_id", "device_id", "user_id", F.col("created").alias("s_created"), F.col("expires").alias("s_expires"), F.col("revoked").alias("s_revoked"))
-    rows = requests.join(tokens.select("token_hash", "session_id", "issued", "expires", "revoked"), "token_hash", "left").join(s, "session_id", "left")
-    rows = rows.join(devices.select("device_id", F.col("active").alias("d_active")), "device_id", "left").join(users.select("user_id", F.col("active").alias("u_active")), "user_id", "left")
+    s = _left_by(_left_by(s, d, "device_id", "session_id"), u, "user_id", "session_id").select("session_id", "s_created", "s_expires", "s_revoked", on("d_active").alias("d_active"), on("u_active").alias("u_active"))
+    rows = _left_by(requests, _left_by(t, s, "session_id", "token_hash"), "token_hash", "request_id")
     reason = (
         F.when(F.col("issued").isNull(), "unknown_token").when(F.col("revoked"), "revoked").when(F.expr("at < issued OR at >= expires"), "expired")
         .when(F.col("s_created").isNull() | F.col("s_revoked"), "session").when(F.expr("at < s_created OR at >= s_expires"), "session_expired")
-        .when(~F.coalesce("d_active", F.lit(False)), "device").when(~F.coalesce("u_active", F.lit(False)), "user")
+        .when(~on("d_active"), "device").when(~on("u_active"), "user")
     )
     return rows.select(*requests.columns, reason.alias("reason"))
 
 
+def _left_by(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """left joined with right by key. Rows without a key meet nothing; they are dealt to tasks by the column spread, for by their key one task would have them all."""
+    dealt = F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0))
+    same = F.pmod(F.xxhash64(key), F.lit(1))  # 0, but no literal, which would be no key
+    return left.withColumn("dealt", dealt).join(right.withColumn("dealt", same), [key, "dealt"], "left").drop("dealt")
+
+
 def blob_access_check(requests: DataFrame, entitlements: DataFrame, blobs: DataFrame, users: DataFrame) -> DataFrame:
     """requests (request_id, user_id, tenant, blob_hash) with `outcome`: available or unavailable; why it isn't is never told."""
     may = users.where("active").select("user_id", F.lit(True).alias("is_user")).distinct()
@@ -74,13 +87,14 @@ def blob_access_check(requests: DataFrame, entitlements: DataFrame, blobs: DataF
 
 def refresh_reuse_report(uses: DataFrame, tokens: DataFrame) -> DataFrame:
     """uses (use_id, token_hash, at) of refresh tokens (token_hash, session_id, issued, expires) with their outcome. The first use of a
-    token within its time rotates it; any later one revokes its session from then on; what comes at or after that instant fails."""
-    rows = uses.join(tokens, "token_hash", "left")
+    token within its time rotates it; any later one revokes its session from then on; what comes at or after that instant fails.
+    Uses of unknown tokens have no session and are dealt out in the joins."""
+    rows = _left_by(uses, tokens, "token_hash", "use_id")
     valid = F.expr("issued IS NOT NULL AND at >= issued AND at < expires")
     firsts = rows.where(valid).groupBy("token_hash").agg(F.min(F.struct("at", "use_id")).alias("f"))
-    rows = rows.join(firsts, "token_hash", "left").withColumn("reuse", F.col("f").isNotNull() & (F.struct("at", "use_id") > F.col("f")))
+    rows = _left_by(rows, firsts, "token_hash", "use_id").withColumn("reuse", F.col("f").isNotNull() & (F.struct("at", "use_id") > F.col("f")))
     revoked = rows.where("reuse").groupBy("session_id").agg(F.min(F.struct("at", "use_id")).alias("r"))
-    rows = rows.join(revoked, "session_id", "left")
+    rows = _left_by(rows, revoked, "session_id", "use_id")
     here = F.struct("at", "use_id")
     outcome = (
         F.when(F.col("session_id").isNull(), "unknown").when(F.col("r").isNotNull() & (here == F.col("r")), "reuse_revokes")
