@@ -151,3 +151,13 @@ def test_changes_below_folders_in_circles_equal_a_model(spark):
         spark.createDataFrame(rows, "tenant long, cursor long, object_id string, parent_id string, deleted boolean"), spark.createDataFrame(requests, "request_id long, tenant long, root string, cursor long")
     )
     assert {r.request_id: r.changed for r in got.collect()} == {i: changed(by_tenant[t], root, at) for i, t, root, at in requests}
+
+
+def test_what_has_ended_is_not_written_again(spark, monkeypatch):
+    """A chain of 40 and 500 rows next to the root: rounds write what still goes on only."""
+    pointers = [(f"c{k}", f"c{k - 1}" if k else "r") for k in range(40)] + [(f"x{k}", "r") for k in range(500)]
+    tables, keep = [], cl.persisted
+    monkeypatch.setattr(cl, "persisted", lambda df: tables.append(keep(df)) or tables[-1])
+    got = cl.to_roots(spark.createDataFrame(pointers, "id string, up string"), spark.createDataFrame([("r",)], "id string")).collect()
+    assert {(r.id, r.root, r.steps) for r in got} == {("r", "r", 0), *((f"c{k}", "r", k + 1) for k in range(40)), *((f"x{k}", "r", 1) for k in range(500))}
+    assert sum(t.count() for t in tables) < 3 * len(pointers)
