@@ -119,13 +119,17 @@ def _fits(store, row, current: Object | None, reserved: Reserved, key_of) -> boo
     if length > PATH_BYTES or (not inside and key_of(parts[0]) in reserved.barred):
         return False
     if row.kind == "move" and current.type == "folder":
-        waiting = [(c, length) for c in store.children(row.object_id)]
+        waiting = [(iter(store.children(row.object_id)), length)]  # one open list of children for each level
         while waiting:
-            child, above = waiting.pop()
+            children, above = waiting[-1]
+            child = next(children, None)
+            if child is None:
+                waiting.pop()
+                continue
             length = above + 1 + len(store.get(child).name.encode())
             if length > PATH_BYTES or (inside and key_of(parts[0]) in reserved.barred):  # paths below are held to the plain rule
                 return False
-            waiting += [(c, length) for c in store.children(child)]
+            waiting.append((iter(store.children(child)), length))
     return True
 
 

@@ -191,3 +191,54 @@ def test_request_digest(spark):
         body = {"Policy": "p1", "Operation": op, "Kind": kind, "Object": o, "Type": type_, "Base": base, "Parent": parent or "", "Name": name or "", "Blob": blob or ""}
         text = json.dumps(body, ensure_ascii=False, separators=(",", ":")).replace("&", "\\u0026").replace("\u2028", "\\u2028")
         assert d == hashlib.sha256(text.encode()).hexdigest()
+
+
+class Map(dict):
+    """A map state of the stream, as a dictionary."""
+
+    getValue, containsKey, removeKey, updateValue = dict.get, dict.__contains__, dict.pop, dict.__setitem__
+
+
+class Handle:
+    """A tenant's state in memory."""
+
+    def getMapState(self, *_):
+        return Map()
+
+    def getValueState(self, *_):
+        return Cursor()
+
+
+class Cursor:
+    value = None
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_stream_holds_neither_batch_nor_state(spark, monkeypatch):
+    """One batch of a tenant comes back in small frames, equal to the batch, with rows sorted in small runs and few values kept; children are fetched."""
+    import pandas as pd
+
+    from changetree.streaming import admission as stream
+
+    rows = [r for r in random_rows(5, n=1500, tenants=1)] + [("t0", None, "last", "create", "unordered", "folder", 0, None, "u", None)]
+    rows = [("t", *r[1:]) for r in rows]
+    want = ad.admit_mutations(table(spark, rows)).collect()
+    pdf = ad.prepared(table(spark, rows), None, "intent-v1").toPandas().sample(frac=1, random_state=3)
+    for name, value in (("MOST_KEPT", 3), ("GIVEN", 50)):
+        monkeypatch.setattr(stream, name, value)
+    monkeypatch.setattr(stream.in_order, "__defaults__", (70, 9))
+    work = stream.Admission(ad.Reserved(), None)
+    work.init(Handle())
+    frames = list(work.handleInputRows(("t",), iter([pdf[k : k + 100] for k in range(0, len(pdf), 100)]), None))
+    assert max(map(len, frames)) < 60 and len(frames) > 20
+    got = [tuple(None if pd.isna(x) else x for x in r) for f in frames for r in f.itertuples(index=False, name=None)]
+    assert sorted(got, key=key) == sorted(map(tuple, want), key=key)
+    kept = stream.Kept(work.objects, work.holders, work.below, work.counts, work.operations, work.cursor)
+    active = {i: o for (i,), o in work.objects.items() if not o[6]}
+    for folder in {i for (i,) in work.objects}:
+        assert sorted(kept.children(folder)) == sorted(i for i, o in active.items() if o[2] == folder)
+    assert any(len(kept.children(i)) > 1 for i in active)
