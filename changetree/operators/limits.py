@@ -1,13 +1,19 @@
-"""Fixed-window limits without a serial key: windows are found by range search and pointer doubling, places in them by a limited window."""
+"""Fixed-window limits without a serial key: blocks of windows are searched each by itself and linked by pointer doubling, a limited window finds the last
+attempt that each window allows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import dropped, persisted
 
+#: Seconds of a block at least, as whole windows, one if that is longer.
+BLOCK = 1 << 16
+
 
 def follow(starts: DataFrame, jump: DataFrame) -> DataFrame:
     """(key, at) that lead on from starts (key, at) by jump (key, at, then), a persisted table with one row for each (key, at) at most and without cycles, which is
@@ -25,51 +31,85 @@ def follow(starts: DataFrame, jump: DataFrame) -> DataFrame:
     return reached
 
 
-def window_starts(times: DataFrame, window: int) -> DataFrame:
-    """(key, start): where the windows of each key begin, from the distinct whole seconds (key, at) of its attempts. The first begins with the first
+def window_starts(attempts: DataFrame, window: int) -> DataFrame:
+    """(key, start), a persisted table: where the windows of each key begin, from its attempts (key, at in whole seconds). The first begins with the first
     attempt, each other one with the first attempt at least `window` seconds after the start before it.
 
-    The start that would follow each second is found within buckets of `window` seconds, which hold that many rows at most. Then
-    the starts reached so far jump over as many windows as there have been rounds twice over, so n windows take log2(n) rounds."""
-    bucket = lambda at: F.floor(F.col(at) / window)
-    least = times.withColumn("bucket", bucket("at")).groupBy("key", "bucket").agg(F.min("at").alias("least"))
-    later = least.withColumn("next_least", F.lead("least").over(W.partitionBy("key").orderBy("bucket")))
-    asked = times.select("key", F.col("at").alias("from"), (F.col("at") + window).alias("at"), F.lit(1).alias("asks"))
-    rows = times.select("key", F.lit(None).cast("long").alias("from"), "at", F.lit(0).alias("asks")).unionByName(asked).withColumn("bucket", bucket("at"))
-    ahead = W.partitionBy("key", "bucket").orderBy(F.desc("at"), "asks").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = rows.withColumn("then", F.min(F.when(F.col("asks") == 0, F.col("at"))).over(ahead)).where("asks = 1")
-    # in no bucket of its own, the next start is the least of the first bucket behind the asking second's
-    behind = later.select("key", F.col("bucket").alias("own"), "next_least")
-    found = found.withColumn("own", bucket("from")).join(behind, ["key", "own"])
-    again = later.select("key", F.col("bucket"), F.col("next_least").alias("after"))
-    found = found.join(again, ["key", "bucket"], "left")
-    then = F.coalesce("then", F.when(F.col("next_least") >= F.col("at"), F.col("next_least")).otherwise(F.col("after")))
-    jump = persisted(found.select("key", F.col("from").alias("at"), then.alias("then")).where("then IS NOT NULL"))
-    reached = follow(times.groupBy("key").agg(F.min("at").alias("at")), jump)
-    return reached.select("key", F.col("at").alias("start"))
+    The distinct seconds of a block are one row. The first start in a block lies in its first `window` seconds or is the first attempt after them; from each of
+    these entries the block is walked to the entry of the next block that follows. Only entries are linked over blocks, in log2(blocks) rounds. Then
+    each block is walked once more from the entry that was reached."""
+    length = window * max(1, BLOCK // window)
+    block = F.floor(F.col("at") / length).alias("block")
+    seconds = F.sort_array(F.collect_set(F.col("at").cast("long"))).alias("seconds")
+    blocks = persisted(attempts.where("key IS NOT NULL AND at IS NOT NULL").groupBy("key", block).agg(seconds))
+    n_first = F.size(F.filter("seconds", lambda x: x < F.col("block") * length + window))
+    heads = blocks.select("key", "block", F.slice("seconds", F.lit(1), n_first + 1).alias("entries"))
+    by_key = W.partitionBy("key").orderBy("block")
+    heads = heads.withColumn("near", F.lead("entries").over(by_key)).withColumn("far", F.lead(F.col("entries")[0], 2).over(by_key))
+
+    @F.pandas_udf("array<long>")
+    def behind(seconds: pd.Series, entries: pd.Series, near: pd.Series, far: pd.Series) -> pd.Series:
+        """The start in a later block that follows each entry."""
+        out = []
+        for s, e, n, f in zip(seconds, entries, near, far):
+            then = np.append(np.searchsorted(s, s + window), len(s))
+            at = np.arange(len(e))
+            while (then[at] < len(s)).any():
+                at = np.where(then[at] < len(s), then[at], at)
+            n = np.array([] if n is None else n, np.int64)
+            found = np.searchsorted(n, s[at] + window)
+            out.append([int(n[k]) if k < len(n) else None if pd.isna(f) else int(f) for k in found])
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def walked(seconds: pd.Series, entry: pd.Series) -> pd.Series:
+        """The starts in a block from its first."""
+        out = []
+        for s, e in zip(seconds, entry):
+            then, at, starts = np.searchsorted(s, s + window).tolist(), int(np.searchsorted(s, e)), []
+            while at < len(s):
+                starts.append(int(s[at]))
+                at = then[at]
+            out.append(starts)
+        return pd.Series(out, dtype=object)
+
+    linked = blocks.join(heads, ["key", "block"]).select("key", F.explode(F.arrays_zip("entries", behind("seconds", "entries", "near", "far").alias("then"))).alias("j"))
+    jump = persisted(linked.select("key", F.col("j.entries").alias("at"), F.col("j.then").alias("then")).where("then IS NOT NULL"))
+    reached = follow(blocks.groupBy("key").agg(F.min(F.col("seconds")[0]).alias("at")), jump)
+    starts = persisted(reached.select("key", block, "at").join(blocks, ["key", "block"]).select("key", F.explode(walked("seconds", "at")).alias("start")))
+    dropped(blocks, reached)
+    return starts
 
 
 def limit_by_windows(attempts: DataFrame, limit: int, window: int) -> DataFrame:
-    """rate_limit_decisions for keys of any size: attempts (key, at in whole seconds, attempt_id) with `outcome`, null if allowed, else the
+    """rate_limit_decisions for keys of any size: attempts (key, at in whole seconds, attempt_id, and others) with `outcome`, null if allowed, else the
     seconds to wait. Attempts count in the order of at, then of attempt_id, which names an attempt of its key."""
-    a = persisted(attempts.select("key", "at", "attempt_id"))
-    starts = window_starts(a.select("key", "at").distinct(), window)
-    near = starts.select("key", "start", F.explode(F.array(F.floor(F.col("start") / window), F.floor(F.col("start") / window) + 1)).alias("bucket"))
-    placed = a.withColumn("bucket", F.floor(F.col("at") / window)).join(near, ["key", "bucket"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("start") + window))
-    placed = persisted(placed.select("key", "at", "attempt_id", "start"))
+    return limited(persisted(attempts), limit, window)
+
+
+def limited(a: DataFrame, limit: int, window: int) -> DataFrame:
+    """limit_by_windows of a table that gives the same rows each time. A window is known by its start and by the last attempt that it allows, so attempts meet
+    windows and not each other."""
+    bucket = lambda c: F.floor(F.col(c) / window)
+    starts = window_starts(a, window)
+
+    def within(windows: DataFrame, rows: DataFrame) -> DataFrame:
+        near = windows.withColumn("bucket", F.explode(F.array(bucket("start"), bucket("start") + 1)))
+        return rows.withColumn("bucket", bucket("at")).join(near, ["key", "bucket"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("start") + window))
+
     order = W.partitionBy("key", "start").orderBy("at", "attempt_id")
-    first = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("key", "attempt_id", F.lit(True).alias("ok"))
-    joined = placed.join(first, ["key", "attempt_id"], "left")
-    return joined.select("key", "at", "attempt_id", F.when(F.col("ok").isNull(), F.col("start") + window - F.col("at")).cast("long").alias("outcome"))
+    placed = within(starts, a.select("key", "at", "attempt_id")).withColumn("place", F.row_number().over(order))
+    last = placed.where(F.col("place") == limit).select("key", "start", F.struct("at", "attempt_id").alias("last"))
+    rows = within(persisted(starts.join(last, ["key", "start"], "left")), a)
+    ok = (F.col("last").isNull() | (F.struct("at", "attempt_id") <= F.col("last"))) & F.lit(limit > 0)
+    return rows.select(*a.columns, F.when(~ok, F.col("start") + window - F.col("at")).cast("long").alias("outcome"))
 
 
 def rate_limit_stages(attempts: DataFrame, all_limit: int, key_limit: int, window: int) -> DataFrame:
     """attempts (scope, key, at, attempt_id) with `stage` and `outcome`: all of a scope share one limit, and what passes it has one for each
     key. stage is `all` or `key`, which refused it, null if allowed; outcome the seconds to wait."""
-    shared = limit_by_windows(attempts.select(F.col("scope").alias("key"), "at", "attempt_id"), all_limit, window).select(F.col("key").alias("scope"), "attempt_id", F.col("outcome").alias("first"))
-    rows = persisted(attempts.select("scope", "key", "at", "attempt_id").join(shared, ["scope", "attempt_id"]))
-    own = rows.where("first IS NULL").select(F.struct("scope", "key").alias("key"), "at", "attempt_id")
-    second = limit_by_windows(own, key_limit, window).select("key.scope", "key.key", "attempt_id", F.col("outcome").alias("second"))
-    out = rows.join(second, ["scope", "key", "attempt_id"], "left")
-    stage = F.when(F.col("first").isNotNull(), "all").when(F.col("second").isNotNull(), "key")
-    return out.select("scope", "key", "at", "attempt_id", stage.alias("stage"), F.coalesce("first", "second").alias("outcome"))
+    first = persisted(limit_by_windows(attempts.select(F.col("scope").alias("key"), F.col("key").alias("own"), "at", "attempt_id"), all_limit, window))
+    refused = first.where("outcome IS NOT NULL").select(F.col("key").alias("scope"), F.col("own").alias("key"), "at", "attempt_id", F.lit("all").alias("stage"), "outcome")
+    passed = first.where("outcome IS NULL").select(F.struct(F.col("key").alias("scope"), F.col("own").alias("key")).alias("key"), "at", "attempt_id")
+    second = limited(passed, key_limit, window)
+    return refused.unionByName(second.select("key.scope", "key.key", "at", "attempt_id", F.when(F.col("outcome").isNotNull(), "key").alias("stage"), "outcome"))

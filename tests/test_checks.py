@@ -25,6 +25,24 @@ def test_windows_equal_a_loop(spark):
         assert {(r.key, r.attempt_id): r.outcome for r in got} == loop(rows, limit, window) and len(got) == n
 
 
+def test_windows_link_over_blocks_and_gaps(spark, monkeypatch):
+    """Rounds grow with blocks of windows and not with windows; blocks that are empty, end early or hold a few seconds of the first window only."""
+    rng = random.Random(4)
+    rounds = []
+    monkeypatch.setattr(limits, "dropped", lambda *tables, f=limits.dropped: (rounds.append(len(tables)), f(*tables)))
+    rows = [("a", k, k) for k in range(0, 3000, 2)]
+    got = limits.limit_by_windows(spark.createDataFrame(rows, "key string, at long, attempt_id long"), 2, 7).collect()
+    assert {(r.key, r.attempt_id): r.outcome for r in got} == loop(rows, 2, 7) and len(rounds) < 4  # 375 windows took 9 rounds
+    monkeypatch.setattr(limits, "BLOCK", 20)
+    for n, most in ((80, 100), (60, 2000), (400, 300)):
+        rows = [(rng.choice("ab"), rng.randrange(-50, most), k) for k in range(n)]
+        rows += [("c", at, n + k) for k, at in enumerate((0, 13, 14, 19, 20, 21, 22, 40, 41, 60, 90, 91, 140))]
+        for limit in (0, 2):
+            got = limits.limit_by_windows(spark.createDataFrame(rows, "key string, at long, attempt_id long"), limit, 7).collect()
+            want = loop(rows, limit, 7) if limit else None
+            assert len(got) == len(rows) and (all(r.outcome for r in got) if not limit else {(r.key, r.attempt_id): r.outcome for r in got} == want)
+
+
 def test_shared_limit_comes_first(spark):
     rng = random.Random(2)
     rows = [(s, k, a, i) for i, (s, k, a) in enumerate((rng.choice("xy"), rng.choice("pqr"), rng.randrange(120)) for _ in range(150))]
