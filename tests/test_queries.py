@@ -158,3 +158,22 @@ def test_normalize_tags(spark):
     rows = [(1, [" Straße", "STRASSE", "b", "Cafe\u0301"]), (2, []), (3, None), (4, ["a", ""]), (5, ["a", None]), (6, ["a\u0007b"]), (7, ["x" * 40, "é" * 41])]
     got = {r.doc_id: (r.tags, r.valid) for r in planning.normalize_tags(spark.createDataFrame(rows, "doc_id long, tags array<string>")).collect()}
     assert got == {1: (["Straße", "b", "Café"], True), 2: ([], True), 3: ([], True), **{k: (None, False) for k in (4, 5, 6, 7)}}
+
+
+def test_paths_below_broken_chains_and_longest_moves(spark, monkeypatch):
+    """Notes take what their folder has: orphans, cycles, chains too deep by one; only folders are in the rounds. Moves that can't be too long aren't spread over what is below."""
+    written = []
+    monkeypatch.setattr(tree, "persisted", lambda df, f=tree.persisted: (out := f(df), written.append(out))[0])
+    chain = [(f"d{k}", f"d{k - 1}" if k else None, "n") for k in range(256)]
+    rows = [*chain, ("deep", "d255", "x"), ("ok", "d254", "x"), ("lost", "gone", "l"), ("under", "lost", "x"), ("a", "b", "a"), ("b", "a", "b"), ("in", "b", "x"), ("self", "self", "s")]
+    paths = tree.ancestor_paths(spark.createDataFrame([*rows, *[(f"m{k}", "d0", "m") for k in range(300)]], "object_id string, parent_id string, name string"))
+    got = {r.object_id: r for r in paths.collect()}
+    assert len(got) == len(rows) + 300
+    assert {i: got[i].status for i in ("deep", "ok", "lost", "under", "a", "in", "self")} == {"deep": "too_deep", "ok": "ok", "lost": "orphan", "under": "orphan", "a": "cycle", "in": "cycle", "self": "cycle"}
+    assert (got["ok"].depth, got["ok"].ancestors[:2], got["m7"].path, got["d0"].ancestors) == (256, ["d254", "d253"], "n/m", []) and got["deep"].path is None
+    assert max(t.count() for t in written[:-1]) <= len(chain) + 4
+    flat = [("f", None, "f"), ("g", None, "g"), *[(f"x{k}", "f", "x" * k) for k in range(1, 20)], ("y", "g", "y")]
+    moves = spark.createDataFrame([("f", "g", "n" * 18), ("g", None, "h"), ("y", "none", "z" * 99)], "object_id string, new_parent string, new_name string")
+    found = tree.moved_path_check(tree.ancestor_paths(spark.createDataFrame(flat, "object_id string, parent_id string, name string")), moves, most_bytes=30)
+    assert sorted(r.object_id for r in found.collect()) == sorted(f"x{k}" for k in range(10, 20))
+    assert [r.moved for r in written[-1].collect()] == ["f"]
