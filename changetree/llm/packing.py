@@ -31,6 +31,9 @@ from .token_counts import Counter, Remembered, default_tokenizer
 #: made of each, on the histogram, and the one with the fewest sequences is used.
 CHOICES = [(16, 1 / 4), (48, 1 / 4), (48, 1 / 8), (128, 1 / 4)]
 
+#: Words whose ids an idle worker keeps from one task to the next.
+BETWEEN = 1 << 15
+
 
 class Ids:
     """Token ids of texts as bytes, by the library: a text's ids are those of its words as the tokenizer splits them and of the
@@ -98,6 +101,7 @@ def _cut(path: str, budget: int, end_id: int):
                     ranks[n] = rank[-1] + 1
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, [part] * len(at), rank))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        ids.known.trim(BETWEEN)
         give_back()
 
     return run

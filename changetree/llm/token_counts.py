@@ -18,6 +18,7 @@ import json
 import re
 import unicodedata
 from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import pandas as pd
 import regex
@@ -71,6 +72,10 @@ class Remembered:
                 del now[w]
         return out
 
+    def trim(self, most: int) -> None:
+        """Forget all but the `most` words that were found first, which are the frequent ones."""
+        self.now, self.old = dict(islice(chain(self.old.items(), self.now.items()), most)), {}
+
 
 class Transducer:
     """The compiled vocabulary. count(word) runs it over a word's symbols."""

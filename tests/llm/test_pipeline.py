@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark import TaskContext
 
 import corpus_pipeline
 from changetree.llm import quality, token_counts
@@ -37,3 +38,25 @@ def test_stages_equal_brute_force(spark, sf):
         want |= {(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)}
     got = corpus_pipeline.run(spark, sf).collect()
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+
+
+def test_idle_workers_of_packing_keep_few_words():
+    """Between tasks a worker keeps the words found first, and finds the same ids for the others again."""
+    import pyarrow as pa
+
+    from changetree.llm import packing
+
+    path = token_counts.default_tokenizer()
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    texts = [" ".join(word(200 * k + n) for n in range(200)) for k in range(300)]
+    run = packing._cut(path, 4096, 1)
+    packing.TaskContext = type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": classmethod(lambda cls: 0)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    try:
+        first, again = ([x.to_pydict() for x in run(iter([batch]))] for _ in range(2))
+        known = packing.ids_of(path).known
+        assert first == again and len(known.now) + len(known.old) <= packing.BETWEEN
+        known.trim(10)
+        assert [*known.all(["the", "zzyx"], packing.ids_of(path).encode)] == [*packing.ids_of(path).encode(["the", "zzyx"])] and len(known.now) <= 12
+    finally:
+        packing.TaskContext = TaskContext
