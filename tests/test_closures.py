@@ -161,3 +161,67 @@ def test_what_has_ended_is_not_written_again(spark, monkeypatch):
     got = cl.to_roots(spark.createDataFrame(pointers, "id string, up string"), spark.createDataFrame([("r",)], "id string")).collect()
     assert {(r.id, r.root, r.steps) for r in got} == {("r", "r", 0), *((f"c{k}", "r", k + 1) for k in range(40)), *((f"x{k}", "r", 1) for k in range(500))}
     assert sum(t.count() for t in tables) < 3 * len(pointers)
+
+
+def by_place(spark, ops, deps, baselines=(), roots=(("r", "R"),), place=None):
+    verdicts, members = cl.pending_trees(
+        spark.createDataFrame(ops, OPS), spark.createDataFrame(deps, DEPS), spark.createDataFrame([*roots], "operation_id string, object_id string"),
+        spark.createDataFrame([(b,) for b in baselines], "object_id string"), place,
+    )
+    return {r.root_operation: r.problem for r in verdicts.collect()}, sorted(map(tuple, members.drop("root_object").collect()), key=repr)
+
+
+def random_trees(rng, n):
+    """Trees of places 0 to n - 1 with every fault there is, some of which reach into other places."""
+    ops, deps, roots, baselines = [], [], [], []
+    for k in range(n):
+        ops.append(op(f"r-{k}", f"R-{k}", parent=None, status="conflict"))
+        roots.append((f"r-{k}", f"R-{k}"))
+        made = [(f"r-{k}", f"R-{k}", "folder")]
+        for j in range(rng.randint(0, 7)):
+            at, parent, kind = rng.choice([m for m in made if m[2] == "folder" or rng.random() < 0.05] or made[:1])
+            type_ = rng.choice(["folder", "note"])
+            i, o = f"{j}c-{k}", f"{j}O-{k}" if rng.random() > 0.03 else f"0O-{rng.randrange(n)}"
+            ops.append(op(i, o, type_=type_, parent=parent if rng.random() > 0.03 else "else", name=rng.choice(["n", "n", "n", "a:b"]) if rng.random() < 0.05 else f"n{j}", blob=None if (type_ == "folder") == (rng.random() > 0.03) else "h", attempted=rng.random() < 0.03))
+            deps.append((i, at))
+            made.append((i, o, type_))
+            last = i
+            for u in range(rng.choice([0, 0, 1, 2, 4]) if type_ == "note" else rng.random() < 0.02):
+                ops.append(op(f"{j}u{u}-{k}", o if rng.random() > 0.03 else f"1O-{k}", rng.choice(["update"] * 20 + ["delete", None]), "note", blob=f"g{u}"))
+                deps.append((f"{j}u{u}-{k}", last if rng.random() > 0.03 else rng.choice([i, f"gone-{k}", f"{j}u{u}-{k}", f"0c-{rng.randrange(n)}"])))
+                last = f"{j}u{u}-{k}"
+        deps += [(rng.choice(made)[0], rng.choice(made)[0])] * (rng.random() < 0.1) + [deps[-1]] * bool(deps) + [(f"x-{k}", made[-1][0])] * (rng.random() < 0.1)
+        baselines += [f"0O-{k}"] * (rng.random() < 0.05)
+    return ops, deps, baselines, roots
+
+
+def test_pending_trees_by_place_equal_those_by_joins(spark, monkeypatch):
+    """Trees that stay in their place, that reach into others, that are too large, and places that say nothing: always the results of chain_verdicts."""
+    tail, one, own = (lambda c: cl.F.substring_index(c, "-", -1)), (lambda c: cl.F.lit("one")), (lambda c: c)
+    rng = random.Random(11)
+    ops, deps, baselines, roots = random_trees(rng, 150)
+    frames = lambda: (spark.createDataFrame(ops, OPS), spark.createDataFrame(deps, DEPS), spark.createDataFrame(roots, "operation_id string, object_id string"), spark.createDataFrame([(b,) for b in baselines], "object_id string"))
+    whole = frames()
+    verdicts, below = cl.chain_verdicts(*whole)
+    want = {r.root_operation: r.problem for r in verdicts.collect()}
+    members = sorted(map(tuple, cl.with_parents(cl.chain_members(whole[0], verdicts, below)).drop("root_object").collect()), key=repr)
+    assert len({*want.values()}) > 8 and len(members) > 40
+    for place in (tail, one, own):
+        got = by_place(spark, ops, deps, baselines, roots, place)
+        assert {k: (got[0].get(k), v) for k, v in want.items() if got[0].get(k) != v} == {} and got == (want, members)
+    monkeypatch.setattr(cl.places, "MOST_ROWS", 10)
+    assert by_place(spark, ops, deps, baselines, roots, tail) == (want, members)
+
+
+def test_trees_within_their_places_are_dealt_once(spark, monkeypatch):
+    """No join and no table of operations: one small table of counts is written, however deep the trees are."""
+    tables, keep = [], cl.persisted
+    for module in (cl, cl.places):
+        monkeypatch.setattr(module, "persisted", lambda df: tables.append(keep(df)) or tables[-1])
+    ops, deps = [op("r", "R", parent=None, status="conflict")], [("0c", "r")]
+    for j in range(300):
+        ops.append(op(f"{j}c", f"{j}O", parent=f"{j - 1}O" if j else "R"))
+        deps.append((f"{j}c", f"{j - 1}c" if j else "r"))
+    verdicts, members = by_place(spark, ops, deps, place=lambda c: cl.F.lit("here"))
+    assert verdicts == {"r": None} and len(members) == 300
+    assert len(tables) == 1 and tables[0].count() == 1
