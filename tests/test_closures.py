@@ -225,3 +225,15 @@ def test_trees_within_their_places_are_dealt_once(spark, monkeypatch):
     verdicts, members = by_place(spark, ops, deps, place=lambda c: cl.F.lit("here"))
     assert verdicts == {"r": None} and len(members) == 300
     assert len(tables) == 1 and tables[0].count() == 1
+
+
+def test_new_roots_of_trees_by_place_equal_those_of_joins(spark, monkeypatch):
+    """The creates of every tree, and nothing written for them: parents' creates come with the members."""
+    ops, deps, baselines, roots = random_trees(random.Random(12), 60)
+    args = spark.createDataFrame(ops, OPS), spark.createDataFrame(deps, DEPS), spark.createDataFrame(roots, "operation_id string, object_id string"), spark.createDataFrame([(b,) for b in baselines], "object_id string")
+    new = spark.createDataFrame([(o, f"new {i}", "inbox", f"{i} again") for o, i in roots], "root_operation string, new_object string, parent_id string, name string")
+    want = sorted(map(tuple, cl.reroot_pending_tree(cl.chain_members(args[0], *cl.chain_verdicts(*args)), new).collect()), key=repr)
+    members = cl.pending_trees(*args, lambda c: cl.F.substring_index(c, "-", -1))[1]
+    tables, keep = [], cl.persisted
+    monkeypatch.setattr(cl, "persisted", lambda df: tables.append(keep(df)) or tables[-1])
+    assert sorted(map(tuple, cl.reroot_pending_tree(members, new).collect()), key=repr) == want and len(want) > 60 and not tables
