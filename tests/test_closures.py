@@ -237,3 +237,28 @@ def test_new_roots_of_trees_by_place_equal_those_of_joins(spark, monkeypatch):
     tables, keep = [], cl.persisted
     monkeypatch.setattr(cl, "persisted", lambda df: tables.append(keep(df)) or tables[-1])
     assert sorted(map(tuple, cl.reroot_pending_tree(members, new).collect()), key=repr) == want and len(want) > 60 and not tables
+
+
+def test_split_by_place_equals_split_by_joins(spark, monkeypatch):
+    """Roots with none, one and two requests; members, baselines and open operations in the root's place and in others."""
+    rng, members, requests, known, outbox = random.Random(7), [], [], [], []
+    for k in range(120):
+        requests += [(f"s{j}-{k}", f"R-{k}", f"new{j}-{k}") for j in range(rng.choice([0, 1, 1, 1, 2]))]
+        ids = [f"R-{k}"]
+        for j in range(rng.randint(0, 9)):
+            o = f"{j}O-{k}" if rng.random() > 0.02 else f"x{j}{k}-{rng.randrange(120)}"
+            members.append((f"R-{k}", o, rng.choice(ids) if rng.random() > 0.05 else rng.choice(["gone", f"1O-{rng.randrange(120)}", None]), rng.choice(["folder", "note"]), f"n{j}", rng.choice([None, "h"])))
+            ids.append(o)
+            known += [(o,)] * rng.choice([0, 1, 1, 2])
+            outbox += [(f"p{len(outbox)}", o, rng.choice(["pending", "conflict", "accepted"]))] * (rng.random() < (0.5 if (o,) not in known else 0.06))
+    outbox += [(f"q{j}", "0O-3", "pending") for j in range(3)]
+    args = (
+        spark.createDataFrame(members, "root string, object_id string, parent_id string, type string, name string, blob_hash string"), spark.createDataFrame(requests, "operation_id string, root string, new_root string"),
+        spark.createDataFrame(known, "object_id string"), spark.createDataFrame(outbox, "operation_id string, object_id string, status string"),
+    )
+    taken = lambda place: [sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr) for df in cl.split_subtree_plan(*args, place)]
+    want, tail = taken(None), lambda c: cl.F.substring_index(c, "-", -1)
+    assert all(len(x) > 30 for x in want) and {p for _, p in want[0]} == {None, "open_intent", "nothing_known"}
+    assert taken(tail) == want and taken(lambda c: cl.F.lit("one")) == want and taken(lambda c: c) == want
+    monkeypatch.setattr(cl.places, "MOST_ROWS", 8)
+    assert taken(tail) == want
